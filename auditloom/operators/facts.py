@@ -20,6 +20,8 @@ SECTION, FUNCTION, SLOT = 1 << 60, 1 << 36, 1 << 32
 _IMPORTS, _FUNCTIONS, _HANDLERS, _CALLS = range(4)
 ASSIGN_SLOT = 3
 
+_FILES_PER_BATCH = 500
+
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BRANCHES = (
     ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith,
@@ -156,19 +158,21 @@ def extract_facts(
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            for batch in batches:
-                rows: list[dict] = []
-                owners: list[int] = []
-                for i, text in enumerate(batch.column("content").to_pylist()):
-                    facts = _file_rows(text, watched_names, watched_methods)
-                    rows += facts
-                    owners += [i] * len(facts)
-                taken = batch.select(FILE_KEY).take(pa.array(owners, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    taken.columns
-                    + [pa.array([r.get(c) for r in rows], arrow[c]) for c in columns],
-                    names=[*FILE_KEY, *columns],
-                )
+            for whole in batches:
+                for start in range(0, whole.num_rows, _FILES_PER_BATCH):
+                    batch = whole.slice(start, _FILES_PER_BATCH)
+                    rows: list[dict] = []
+                    owners: list[int] = []
+                    for i, text in enumerate(batch.column("content")):
+                        facts = _file_rows(text.as_py(), watched_names, watched_methods)
+                        rows += facts
+                        owners += [i] * len(facts)
+                    taken = batch.select(FILE_KEY).take(pa.array(owners, pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        taken.columns
+                        + [pa.array([r.get(c) for r in rows], arrow[c]) for c in columns],
+                        names=[*FILE_KEY, *columns],
+                    )
 
     source = spread(files.select(*FILE_KEY, "content"), *FILE_KEY)
     return source.mapInArrow(extract, FACTS)

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import auditloom
 
@@ -44,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Mark a table of short keys for broadcast if it has no more than `max_rows` rows.
+
+    A larger one is left to a shuffle join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give per-row Python work a partition per core when the input has fewer."""
     cores = df.sparkSession.sparkContext.defaultParallelism
