@@ -7,7 +7,8 @@ import textwrap
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from auditloom.session import configure  # noqa: E402
 from auditloom.streaming.ratelimit import STATE_STORE  # noqa: E402
