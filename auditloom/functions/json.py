@@ -29,16 +29,13 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def keys(value: Column) -> Column:
-    return F.json_object_keys(F.to_json(value))
-
-
 def as_text(value: Column) -> Column:
     """Python's `str()` of a parsed value; null only for a missing one."""
     plain = F.try_variant_get(value, "$", "string")
+    is_flag = plain.isin("true", "false") & (F.schema_of_variant(value) == "BOOLEAN")
     return (
-        F.when(F.is_variant_null(value), "None")
-        .when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(plain))
+        F.when(plain.isNull() & F.is_variant_null(value), "None")
+        .when(is_flag, F.initcap(plain))
         .otherwise(plain)
     )
 

@@ -29,12 +29,12 @@ def safe_path(path: Column) -> Column:
 
 def relative_to(path: Column, root: Column) -> Column:
     """Path below `root`; null where the path is elsewhere."""
-    prefix = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
+    prefix = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
     return F.when(path.startswith(prefix), F.substr(path, F.char_length(prefix) + 1))
 
 
 def normalize_url(url: Column) -> Column:
-    return F.regexp_replace(strip(url), "/+\\z", "")
+    return F.rtrim(strip(url), F.lit("/"))
 
 
 def is_repository_url(normalized: Column) -> Column:

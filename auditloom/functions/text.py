@@ -11,13 +11,14 @@ from pyspark.sql.types import StringType
 
 from auditloom import fixed
 
-# Python's whitespace: the Unicode set plus four separators that Java leaves out
+# Python's whitespace: the Unicode set plus four separators that Java's pattern leaves out
 SPACE = r"[\s\x1c-\x1f]"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(text: Column) -> Column:
-    """Python's `str.strip()`; Spark's `trim` drops blanks only."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Python's `str.strip()`; Spark's `trim` drops blanks only unless told more."""
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def truncate(text: Column, chars: int) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 
 from auditloom import fixed
 from auditloom.schemas import FACTS, FILE_KEY
-from auditloom.session import spread
 
 # A fact's `seq` orders the findings of one file: section, function, slot within the
 # function, then a running number.
@@ -22,11 +21,18 @@ ASSIGN_SLOT = 3
 
 _FILES_PER_BATCH = 500
 
-_DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_BRANCHES = (
+_DEFINITIONS = frozenset({ast.FunctionDef, ast.AsyncFunctionDef})
+_BRANCHES = frozenset({
     ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith,
     ast.ExceptHandler, ast.Assert, ast.comprehension,
-)
+})
+_NOTED = _DEFINITIONS | _BRANCHES | {ast.BoolOp, ast.ImportFrom, ast.Assign, ast.Call}
+# nodes that tell nothing and have nothing below them
+_LEAVES = frozenset({
+    ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue,
+    *ast.expr_context.__subclasses__(), *ast.operator.__subclasses__(),
+    *ast.unaryop.__subclasses__(), *ast.boolop.__subclasses__(), *ast.cmpop.__subclasses__(),
+})
 
 
 class _Function:
@@ -87,38 +93,51 @@ def file_facts(text: str, names: frozenset[str], methods: frozenset[str]) -> lis
             "line": node.lineno, "end_line": node.end_lineno, **more,
         })
 
+    def look(node: ast.AST, kind: type, scope: _Function | None) -> None:
+        if kind is ast.ImportFrom:
+            for alias in node.names:
+                if alias.name == "*":
+                    note("import_from", _IMPORTS * SECTION, node,
+                         name="*", module=str(node.module))
+        elif kind is ast.Assign and scope:
+            for target in node.targets:
+                if isinstance(target, ast.Name) and target.id in names:
+                    for around in scope.enclosing():
+                        at = (_FUNCTIONS * SECTION + around.order * FUNCTION
+                              + ASSIGN_SLOT * SLOT)
+                        note("assign", at, node, name=target.id, fn_name=around.node.name)
+        elif kind is ast.ExceptHandler:
+            if node.type is None:
+                note("handler", _HANDLERS * SECTION, node, is_bare=True)
+        elif kind is ast.Call and node.args and isinstance(node.func, ast.Attribute):
+            if node.func.attr in methods:
+                note("call", _CALLS * SECTION, node,
+                     name=node.func.attr, arg0_kind=_argument_kind(node.args[0]))
+
     queue: deque[tuple[ast.AST, _Function | None]] = deque([(ast.parse(text), None)])
     while queue:
         node, scope = queue.popleft()
-        if isinstance(node, _DEFINITIONS):
-            scope = _Function(node, scope, len(scopes))
-            scopes.append(scope)
-        weight = 1 if isinstance(node, _BRANCHES) else 0
-        if isinstance(node, ast.BoolOp):
-            weight = len(node.values) - 1
-        if weight and scope:
-            for around in scope.enclosing():
-                around.complexity += weight
-
-        match node:
-            case ast.ImportFrom():
-                for alias in node.names:
-                    if alias.name == "*":
-                        note("import_from", _IMPORTS * SECTION, node,
-                             name="*", module=str(node.module))
-            case ast.Assign() if scope:
-                for target in node.targets:
-                    if isinstance(target, ast.Name) and target.id in names:
-                        for around in scope.enclosing():
-                            at = (_FUNCTIONS * SECTION + around.order * FUNCTION
-                                  + ASSIGN_SLOT * SLOT)
-                            note("assign", at, node, name=target.id, fn_name=around.node.name)
-            case ast.ExceptHandler():
-                if node.type is None:
-                    note("handler", _HANDLERS * SECTION, node, is_bare=True)
-            case ast.Call(func=ast.Attribute(attr=method), args=[first, *_]) if method in methods:
-                note("call", _CALLS * SECTION, node, name=method, arg0_kind=_argument_kind(first))
-        queue.extend((child, scope) for child in ast.iter_child_nodes(node))
+        kind = type(node)
+        if kind in _NOTED:
+            if kind in _DEFINITIONS:
+                scope = _Function(node, scope, len(scopes))
+                scopes.append(scope)
+            weight = kind in _BRANCHES
+            if kind is ast.BoolOp:
+                weight = len(node.values) - 1
+            if weight and scope:
+                for around in scope.enclosing():
+                    around.complexity += weight
+            look(node, kind, scope)
+        for name in kind._fields:
+            below = getattr(node, name, None)
+            if type(below) is list:
+                queue.extend(
+                    (child, scope) for child in below
+                    if isinstance(child, ast.AST) and type(child) not in _LEAVES
+                )
+            elif isinstance(below, ast.AST) and type(below) not in _LEAVES:
+                queue.append((below, scope))
 
     return found + [_function_fact(scope) for scope in scopes]
 
@@ -174,5 +193,4 @@ def extract_facts(
                         names=[*FILE_KEY, *columns],
                     )
 
-    source = spread(files.select(*FILE_KEY, "content"), *FILE_KEY)
-    return source.mapInArrow(extract, FACTS)
+    return files.select(*FILE_KEY, "content").mapInArrow(extract, FACTS)

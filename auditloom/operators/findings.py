@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom import fixed
@@ -20,18 +20,30 @@ def union_findings(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _best_first() -> list[Column]:
+    return [severity_rank(F.col("severity")).alias("_rank"), F.col("source_rank"), F.col("seq")]
+
+
 def dedup(findings: DataFrame, run_key: Sequence[str] = SNAPSHOT_KEY) -> DataFrame:
-    """One finding per run, file, line and rule.
+    """One finding per run, file, line and rule: the most severe, on a tie the first seen.
 
-    The highest severity stays, on a tie the first seen. `first_rank` and `first_seq` hold the
-    place of the first sighting. Both minima are combined before the shuffle, so many copies of
-    one key reach the reducers as one row per map task.
+    The filter on the first row lets Spark drop all but one row of a key in each map task, so
+    many copies of one key never meet in one reducer.
+    """
+    window = Window.partitionBy(*run_key, *_DEDUP_KEY).orderBy(*_best_first())
+    ranked = findings.withColumn("_place", F.row_number().over(window))
+    return ranked.filter(F.col("_place") == 1).drop("_place")
+
+
+def dedup_in_order(findings: DataFrame, run_key: Sequence[str] = SNAPSHOT_KEY) -> DataFrame:
+    """`dedup` with the place of the first sighting in `first_rank` and `first_seq`.
+
+    A key's place in the output is that of its first finding, also when a later one is kept.
     """
     key = [*run_key, *_DEDUP_KEY]
-    order = [severity_rank(F.col("severity")).alias("_rank"), F.col("source_rank"), F.col("seq")]
     payload = [c for c in findings.columns if c not in {*key, "source_rank", "seq"}]
     best = findings.groupBy(*key).agg(
-        F.min(F.struct(*order, *payload)).alias("best"),
+        F.min(F.struct(*_best_first(), *payload)).alias("best"),
         F.min(F.struct("source_rank", "seq")).alias("first"),
     )
     return best.select(
@@ -55,6 +67,27 @@ def run_counts(kept: DataFrame, run_key: Sequence[str] = SNAPSHOT_KEY) -> DataFr
     return kept.groupBy(*run_key).agg(*severity_counts())
 
 
+def counts_of_raw(findings: DataFrame, run_key: Sequence[str] = SNAPSHOT_KEY) -> DataFrame:
+    """All counts per run from raw findings, in one pass.
+
+    The severity that dedup keeps is the least rank of a key, so no finding's text is moved: a
+    hash aggregate per key, then one per run.
+    """
+    is_review = F.col("analyzer") == "review"
+    keys = findings.groupBy(*run_key, *_DEDUP_KEY).agg(
+        F.min(severity_rank(F.col("severity"))).alias("rank"),
+        F.count_if(~is_review).alias("static"),
+        F.count_if(is_review).alias("review"),
+    )
+    return keys.groupBy(*run_key).agg(
+        F.count("*").alias("total_findings"),
+        F.count_if(F.col("rank") == 0).alias("critical_count"),
+        F.count_if(F.col("rank") == 1).alias("high_count"),
+        F.sum("static").alias("static_count"),
+        F.sum("review").alias("review_count"),
+    )
+
+
 def analyzer_counts(findings: DataFrame, run_key: Sequence[str] = SNAPSHOT_KEY) -> DataFrame:
     """Static and review findings per run, before dedup."""
     is_review = F.col("analyzer") == "review"

@@ -16,10 +16,12 @@ MAX_GROUP_ROWS = 2_000_000
 _LEADING_ROWS = 1000
 
 
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group: partial counts, then one number."""
+def groups_fit(df: DataFrame, group: Sequence[str], max_rows: int) -> bool:
+    """Whether no group has more than `max_rows` rows: by the table's size, else by counting."""
+    if df.count() <= max_rows:
+        return True
     sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    return sizes.agg(F.max("n")).first()[0] <= max_rows
 
 
 def number_rows(
@@ -37,7 +39,7 @@ def number_rows(
     is numbered alone and shifted by the sizes of the group's earlier pieces. `sized_by` can be
     any cheaper table whose groups are at least as large.
     """
-    if largest_group(df if sized_by is None else sized_by, group) <= max_group_rows:
+    if groups_fit(df if sized_by is None else sized_by, group, max_group_rows):
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
 

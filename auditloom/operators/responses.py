@@ -2,49 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom import fixed
 from auditloom.functions import json
 from auditloom.functions.text import SPACE, strip, truncate
-from auditloom.schemas import FINDINGS, SNAPSHOT_KEY
+from auditloom.schemas import FINDING_BODY, FINDINGS, SNAPSHOT_KEY
 
 REVIEW_ANALYZER = "review"
 
 
 def clean_response(raw: Column) -> Column:
     """Strip white space and code fences at the start and end of lines."""
-    opened = F.regexp_replace(strip(raw), rf"(?mdU)^```(?:json)?{SPACE}*", "")
-    return F.regexp_replace(opened, rf"(?mdU){SPACE}*```$", "")
-
-
-def _check(item: Column) -> Column:
-    """Struct with the normalized finding, or null for one that is not valid."""
-    def text(name: str, chars: int | None = None) -> Column:
-        value = json.as_text(json.field(item, name))
-        return value if chars is None else truncate(value, chars)
-
-    required = F.array(*map(F.lit, fixed.RESPONSE_KEYS))
-    category, severity = F.lower(text("category")), F.lower(text("severity"))
-    valid = (
-        json.is_object(item)
-        & (F.size(F.array_except(required, json.keys(item))) == 0)
-        & category.isin(fixed.CATEGORIES)
-        & severity.isin(fixed.SEVERITIES)
-    )
-    return F.when(valid, F.struct(
-        category.alias("category"),
-        severity.alias("severity"),
-        text("title", fixed.TITLE_CHARS).alias("title"),
-        text("description", fixed.TEXT_CHARS).alias("description"),
-        text("file_path", fixed.PATH_CHARS).alias("file_path"),
-        json.as_int(json.field(item, "line_start")).alias("line_start"),
-        json.as_int(json.field(item, "line_end")).alias("line_end"),
-        F.coalesce(text("rule_id", fixed.RULE_CHARS), F.lit(fixed.DEFAULT_REVIEW_RULE))
-        .alias("rule_id"),
-        text("recommendation", fixed.TEXT_CHARS).alias("recommendation"),
-    ))
+    text = strip(raw)
+    opened = F.regexp_replace(text, rf"(?mdU)^```(?:json)?{SPACE}*", "")
+    closed = F.regexp_replace(opened, rf"(?mdU){SPACE}*```$", "")
+    return F.when(text.contains("```"), closed).otherwise(text)
+
+
+_OPTIONAL = ["line_start", "line_end", "rule_id"]
+_TEXTS = {
+    "title": fixed.TITLE_CHARS, "description": fixed.TEXT_CHARS, "file_path": fixed.PATH_CHARS,
+    "recommendation": fixed.TEXT_CHARS,
+}
+
+
+def _members(item: Column) -> Column:
+    """The wanted members of one item as variants; all null where it is no object."""
+    return F.struct(*[json.field(item, n).alias(n) for n in [*fixed.RESPONSE_KEYS, *_OPTIONAL]])
+
+
+def _read(members: Column) -> Column:
+    """Texts and numbers of one item, and whether no required key is missing."""
+    rule = truncate(json.as_text(members["rule_id"]), fixed.RULE_CHARS)
+    values = {n: truncate(json.as_text(members[n]), c) for n, c in _TEXTS.items()}
+    values |= {n: F.lower(json.as_text(members[n])) for n in ("category", "severity")}
+    values |= {n: json.as_int(members[n]) for n in ("line_start", "line_end")}
+    values["rule_id"] = F.coalesce(rule, F.lit(fixed.DEFAULT_REVIEW_RULE))
+    return F.struct(*[values[n].alias(n) for n in FINDING_BODY.names])
+
+
+def _is_valid(body: Column) -> Column:
+    required = [body[n].isNotNull() for n in fixed.RESPONSE_KEYS]
+    allowed = [body["category"].isin(fixed.CATEGORIES), body["severity"].isin(fixed.SEVERITIES)]
+    return reduce(and_, [*required, *allowed])
 
 
 def parse_responses(responses: DataFrame, raw: str = "raw_content") -> DataFrame:
@@ -58,21 +64,24 @@ def parse_responses(responses: DataFrame, raw: str = "raw_content") -> DataFrame
         F.try_variant_get(found, "$", "array<variant>"), F.array().cast("array<variant>")
     ))
     summary = F.coalesce(json.as_text(json.field(F.col("_doc"), "summary")), F.lit(""))
-    checked = F.transform(
-        "_items", lambda item, i: F.struct(i.cast("long").alias("seq"), _check(item).alias("body"))
+    # each step reads a member once; later steps use its value
+    bodies = F.transform(F.transform("_items", _members), _read)
+    numbered = F.transform(
+        "_bodies", lambda b, i: F.struct(i.cast("long").alias("seq"), b.alias("body"))
     )
+    valid = F.filter(numbered, lambda n: _is_valid(n["body"]))
+    nothing = F.array().cast(T.ArrayType(T.StructType(
+        [T.StructField("seq", T.LongType()), T.StructField("body", FINDING_BODY)]
+    )))
     return (
         responses.withColumn("_doc", json.parse(clean_response(F.col(raw))))
         .withColumn("_items", items)
-        .withColumn("_checked", F.coalesce(checked, F.array().cast(
-            "array<struct<seq:bigint,body:struct<category:string,severity:string,title:string,"
-            "description:string,file_path:string,line_start:int,line_end:int,rule_id:string,"
-            "recommendation:string>>>")))
-        .withColumn("valid", F.filter("_checked", lambda c: c["body"].isNotNull()))
-        .withColumn("discarded", F.size("_checked") - F.size("valid"))
+        .withColumn("_bodies", bodies)
+        .withColumn("valid", F.coalesce(valid, nothing))
+        .withColumn("discarded", F.coalesce(F.size("_items"), F.lit(0)) - F.size("valid"))
         .withColumn("summary", F.when(F.col("_items").isNotNull(),
                                       truncate(summary, fixed.SUMMARY_CHARS)).otherwise(""))
-        .drop("_doc", "_items", "_checked")
+        .drop("_doc", "_items", "_bodies")
     )
 
 

@@ -44,9 +44,11 @@ def redact(df: DataFrame, column: str = "content", hits: str = "redactions") ->
     """Replace every injection phrase, pattern after pattern; `hits` counts patterns found."""
     found = F.lit(0)
     for i, pattern in enumerate(fixed.REDACT_PATTERNS):
-        df = df.withColumn(f"_hit{i}", F.col(column).rlike(pattern).cast("int"))
-        df = df.withColumn(column, F.regexp_replace(column, pattern, fixed.REDACTED))
-        found = found + F.col(f"_hit{i}")
+        hit = F.col(f"_hit{i}")
+        df = df.withColumn(f"_hit{i}", F.col(column).rlike(pattern))
+        replaced = F.regexp_replace(column, pattern, fixed.REDACTED)
+        df = df.withColumn(column, F.when(hit, replaced).otherwise(F.col(column)))
+        found = found + hit.cast("int")
     return df.withColumn(hits, found).drop(*[f"_hit{i}" for i in range(len(fixed.REDACT_PATTERNS))])
 
 

@@ -28,9 +28,10 @@ def secret_findings(files: DataFrame, source_rank: int = 1) -> DataFrame:
     A cheap test of the whole text comes first, so only suspect files are split into lines.
     """
     suspect = F.col("content").rlike(f"{ASSIGNED}|{PROVIDER_KEY}|{PRIVATE_KEY}")
-    lines = files.filter(suspect).select(
-        *FILE_KEY, F.posexplode(F.split("content", "\n")).alias("pos", "line")
-    )
+    split = F.when(suspect, F.split("content", "\n"))
+    lines = files.select(
+        *FILE_KEY, F.posexplode_outer(split).alias("pos", "line")
+    ).filter(F.col("pos").isNotNull())
     line = F.col("line")
     values = F.regexp_extract_all(line, F.lit(ASSIGNED), F.lit(2))
     names = F.regexp_extract_all(line, F.lit(ASSIGNED), F.lit(1))

@@ -72,11 +72,11 @@ def audit(
     found = findings.union_findings(
         [*static, responses.review_findings(parsed, review_rank)]
     )
-    # both the stored rows and the counts read the union and its reduced form
-    raw_counts = findings.analyzer_counts(found)
-    kept = cut(findings.dedup(found))
+    found = cut(found)  # the stored rows and the counts both read it
+    kept = findings.dedup(found)
 
-    metrics = _metrics(runs, guard, kept, raw_counts, findings.most_files(analyzed), parsed)
+    counts = findings.counts_of_raw(found)
+    metrics = _metrics(runs, guard, counts, findings.most_files(analyzed), parsed)
     metrics = cut(metrics.withColumn(
         "duration_seconds", findings.duration_seconds(started_at, finished_at)
     ))
@@ -89,8 +89,7 @@ def audit(
 
 
 def _metrics(
-    runs: DataFrame, guard: DataFrame, kept: DataFrame, raw_counts: DataFrame,
-    analyzed: DataFrame, parsed: DataFrame,
+    runs: DataFrame, guard: DataFrame, counts: DataFrame, analyzed: DataFrame, parsed: DataFrame,
 ) -> DataFrame:
     """One row per run. Each side is one row per snapshot before it is joined."""
     review = parsed.groupBy(*SNAPSHOT_KEY).agg(
@@ -99,7 +98,7 @@ def _metrics(
         F.max("summary").alias("summary"),
     )
     joined = runs.select(*RUN_FIELDS).join(guard, SNAPSHOT_KEY, "left")
-    for side in (findings.run_counts(kept), raw_counts, analyzed, review):
+    for side in (counts, analyzed, review):
         joined = joined.join(side, SNAPSHOT_KEY, "left")
     error = (
         F.when(F.col("commit_sha").isNull(), "unknown ref")
@@ -108,13 +107,13 @@ def _metrics(
             F.lit("repository too large: "), F.col("total_bytes").cast("string"), F.lit(" bytes")
         ))
     )
-    counts = [
+    numbers = [
         "total_findings", "critical_count", "high_count", "static_count", "review_count",
         "files_analyzed", "tokens_used", "discarded",
     ]
-    counted = joined.fillna(0, counts).fillna("", ["summary"]).withColumn("error_message", error)
+    counted = joined.fillna(0, numbers).fillna("", ["summary"]).withColumn("error_message", error)
     return counted.select(
-        *RUN_FIELDS, *counts, "summary",
+        *RUN_FIELDS, *numbers, "summary",
         truncate(F.col("error_message"), fixed.ERROR_CHARS).alias("error_message"),
         catalog.terminal_status(F.col("error_message"), F.col("total_findings")).alias("status"),
     )

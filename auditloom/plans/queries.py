@@ -14,9 +14,9 @@ from auditloom.operators import (
     analyzers, catalog, facts, findings, ordering, ratelimit, responses, review, rules, secrets,
     webhooks,
 )
-from auditloom.plans.bindings import bind
+from auditloom.plans.bindings import bind, table
 from auditloom.schemas import SNAPSHOT_KEY
-from auditloom.session import configure
+from auditloom.session import configure, cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,22 +62,24 @@ def dedup_findings(spark: SparkSession, folder: str) -> DataFrame:
     both = findings.union_findings(
         [raw.filter("analyzer = 'static'"), raw.filter("analyzer = 'review'")]
     )
-    kept = findings.dedup(both, RUN)
+    kept = findings.dedup_in_order(both, RUN)
     return _longs(kept, "line_start", "source_rank", "first_rank")
 
 
 @query
 def run_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counts = findings.run_counts(_kept(spark, folder), RUN)
-    raw = findings.analyzer_counts(bind(spark, folder, "findings"), RUN)
-    return counts.join(raw, RUN)
+    return findings.counts_of_raw(bind(spark, folder, "findings"), RUN)
+
+
+def _report(spark: SparkSession, folder: str) -> DataFrame:
+    """Report rows; raw findings bound the size of a run without running the dedup."""
+    raw = bind(spark, folder, "findings", even=False)
+    return catalog.prioritized_report(_kept(spark, folder), RUN, sized_by=raw)
 
 
 @query
 def prioritized_report(spark: SparkSession, folder: str) -> DataFrame:
-    raw = bind(spark, folder, "findings")
-    report = catalog.prioritized_report(findings.dedup(raw, RUN), RUN, sized_by=raw)
-    return _longs(report, "line_start").select(
+    return _longs(_report(spark, folder), "line_start").select(
         "analysis_id", "position", "severity", "category", "file_path", "line_start", "rule_id",
         "title",
     )
@@ -107,10 +109,10 @@ def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def analysis_detail(spark: SparkSession, folder: str) -> DataFrame:
-    raw = bind(spark, folder, "findings")
-    report = catalog.prioritized_report(findings.dedup(raw, RUN), RUN, sized_by=raw).select(
+    # written once, as the report is read twice
+    report = cut(_report(spark, folder).select(
         "analysis_id", "position", "severity", "title", "file_path", "line_start", "rule_id"
-    )
+    ))
     analyses = bind(spark, folder, "analyses").select(
         "id", "repository_id", "commit_sha", "status", "triggered_by", "error_message"
     )
@@ -188,9 +190,9 @@ def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def email_exists(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = spark.read.parquet(f"{folder}/customer.parquet").select(
+    wanted = table(spark, folder, "customer").select(
         F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("email")
-    ).union(spark.read.parquet(f"{folder}/nation.parquet").select(
+    ).union(table(spark, folder, "nation").select(
         F.concat(F.replace(F.lower("n_name"), F.lit(" "), F.lit("")), F.lit("@example.com"))
     ))
     return catalog.exists_all(bind(spark, folder, "users"), "email", wanted)
@@ -244,7 +246,7 @@ def run_state(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def terminal_status(spark: SparkSession, folder: str) -> DataFrame:
-    counts = findings.run_counts(_kept(spark, folder), RUN)
+    counts = findings.counts_of_raw(bind(spark, folder, "findings"), RUN)
     runs = bind(spark, folder, "analyses").select(
         F.col("id").alias("analysis_id"), "error_message"
     )
@@ -325,7 +327,7 @@ def decode_source(spark: SparkSession, folder: str) -> DataFrame:
         F.encode(F.lit("end"), "UTF-8"),
     )
     decoded = text.decode_source(raw)
-    return spark.read.parquet(f"{folder}/documents.parquet").select(
+    return table(spark, folder, "documents", even=True).select(
         "doc_id",
         F.md5(decoded).alias("text_md5"),
         F.char_length(decoded).cast("long").alias("chars"),
@@ -458,7 +460,7 @@ def prompt_reject(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sanitize_text(spark: SparkSession, folder: str) -> DataFrame:
     dirty = F.concat(F.lit(" \u200b\n"), F.col("text"), F.lit("\x00\t\u00ad\x1f end \ufeff"))
-    cleaned = spark.read.parquet(f"{folder}/documents.parquet").withColumn(
+    cleaned = table(spark, folder, "documents", even=True).withColumn(
         "c", text.sanitize_input(dirty)
     )
     return cleaned.select("doc_id", "c.is_rejected", F.md5("c.cleaned").alias("cleaned_md5"))

@@ -53,9 +53,12 @@ def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give per-row Python work a partition per core when the input has fewer."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a scanned table a partition per core when its files have fewer row groups.
+
+    For plain scans only: asking for the partitions of a joined table would run the join.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)

@@ -47,19 +47,30 @@ def keep_first_best(rows):
 
 def test_dedup(spark):
     rows = some_findings()
-    kept = findings.dedup(spark.createDataFrame(rows, SCHEMA), ["analysis_id"]).collect()
+    raw = spark.createDataFrame(rows, SCHEMA)
     expected = keep_first_best(rows)
-    assert len(kept) == len(expected)
-    for r in kept:
-        first, best = expected[r.analysis_id, r.file_path, r.line_start, r.rule_id]
-        assert (r.title, r.severity, r.seq) == (best[6], best[5], best[3])
+    kept = findings.dedup(raw, ["analysis_id"])
+    ordered = findings.dedup_in_order(raw, ["analysis_id"]).collect()
+    for result in (kept.collect(), ordered):
+        assert len(result) == len(expected)
+        for r in result:
+            _, best = expected[r.analysis_id, r.file_path, r.line_start, r.rule_id]
+            assert (r.title, r.severity, r.seq) == (best[6], best[5], best[3])
+    for r in ordered:
+        first, _ = expected[r.analysis_id, r.file_path, r.line_start, r.rule_id]
         assert (r.first_rank, r.first_seq) == (first[2], first[3])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")  # the one in the map tasks
 
 
 def test_counts(spark):
     rows = some_findings()
-    kept = findings.dedup(spark.createDataFrame(rows, SCHEMA), ["analysis_id"])
+    raw = spark.createDataFrame(rows, SCHEMA)
+    kept = findings.dedup(raw, ["analysis_id"])
     counts = {r.analysis_id: r for r in findings.run_counts(kept, ["analysis_id"]).collect()}
+    parts = {r.analysis_id: r for r in findings.analyzer_counts(raw, ["analysis_id"]).collect()}
+    for r in findings.counts_of_raw(raw, ["analysis_id"]).collect():
+        assert tuple(r) == (*counts[r.analysis_id], *parts[r.analysis_id][1:])
     best = Counter((k[0], v[1][5]) for k, v in keep_first_best(rows).items())
     for run, row in counts.items():
         assert row.total_findings == sum(n for (r, _), n in best.items() if r == run)
