@@ -13,12 +13,15 @@ from auditloom import fixed
 
 # Python's whitespace: the Unicode set plus four separators that Java's pattern leaves out
 SPACE = r"[\s\x1c-\x1f]"
-_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
 def strip(text: Column) -> Column:
     """Python's `str.strip()`; Spark's `trim` drops blanks only unless told more."""
-    return F.btrim(text, F.lit(_SPACES))
+    ends = F.left(text, F.lit(1)).isin(_SPACES) | F.right(text, F.lit(1)).isin(_SPACES)
+    return F.when(
+        ends, F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    ).otherwise(text)
 
 
 def truncate(text: Column, chars: int) -> Column:
