@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,15 +129,18 @@ def stored_form(kept: DataFrame, run_key: Sequence[str] = ("analysis_id",)) -> D
     )
 
 
-def append_findings(stored: DataFrame, path: str) -> None:
-    """Append rows whose id the table at `path` does not hold yet."""
+def append_findings(stored: DataFrame, path: str, day: str) -> None:
+    """Append a job's rows to the table at `path`, below the job's day.
+
+    A repeated job finds its own rows there by id and adds none twice. Only that day is read.
+    """
     spark = stored.sparkSession
-    table = spark.read.schema(STORED_FINDINGS)
+    folder = f"{path}/day={day}"
     try:
-        known = table.parquet(path).select("id")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+        known = spark.read.schema(STORED_FINDINGS).parquet(folder).select("id")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
         stored = stored.join(known, "id", "left_anti")
-    stored.select(*STORED_FINDINGS.names).write.mode("append").parquet(path)
+    stored.select(*STORED_FINDINGS.names).write.mode("append").parquet(folder)

@@ -9,8 +9,8 @@ length:
   all. Most clients never leave this case, which needs counts only and stays in the JVM.
 * The other cells form chains. Each chain starts from a cell whose accepted requests are known,
   so chains are independent, also those of one busy client.
-* A long chain is worked off in slices. A slice starts from the accepted requests of the cell
-  before it, so no task gets more than a slice's worth of one client.
+* A long chain is worked off in slices of time. A slice starts from the accepted requests of the
+  window before it, so no task gets much more than a slice's worth of one client.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom import fixed
-from auditloom.session import cut
+from auditloom.session import cut, cut_by
 
 MICROS = 1_000_000
-# Requests of one client and path in one round; one window's cell is never divided
-SLICE_ROWS = 5_000_000
+# Requests of one client and path that one task takes at a time
+SLICE_ROWS = 50_000_000
+# A slice ends with a whole tick: a second, or less for short windows
+_TICKS_PER_WINDOW = 64
 _BROADCAST_POLICIES = 10_000
 _CLIENT = ["path", "client_ip"]
 
@@ -118,25 +120,22 @@ def _decide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 ts[part], limits[part], int(windows[low]), seeds[part], kept
             )
         rows = pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in _DECIDED if c in batch.schema.names),
+            [*(batch.column(c) for c in _WAITING),
              pa.array(accepted), pa.array(wait, mask=wait < 0)],
-            names=[*_DECIDED[:-2], "accepted", "retry_after"],
+            names=[*_WAITING, "accepted", "retry_after"],
         )
         yield rows.filter(pa.array(~seeds))
 
 
-_DECIDED = [
-    "event_id", *_CLIENT, "cell", "chain", "at", "max_requests", "window_us",
-    "accepted", "retry_after",
-]
-_DECIDED_SCHEMA = (
-    "event_id long, path string, client_ip string, cell long, chain long, at long, "
-    "max_requests long, window_us long, accepted boolean, retry_after long"
+_WAITING = ["event_id", *_CLIENT, "chain", "at", "max_requests", "window_us"]
+_DECIDED = (
+    "event_id long, path string, client_ip string, chain long, at long, max_requests long, "
+    "window_us long, accepted boolean, retry_after long"
 )
 
 
-def _busy_cells(limited: DataFrame, slice_rows: int) -> DataFrame:
-    """Cells that need decisions in order, with their chain and slice."""
+def _busy_cells(limited: DataFrame) -> DataFrame:
+    """Cells that need decisions in order, with their chain and size."""
     by_time = Window.partitionBy(*_CLIENT).orderBy("cell")
     counted = limited.groupBy(*_CLIENT, "cell").agg(
         F.count("*").alias("n"), F.min("lowest").alias("lowest")
@@ -149,19 +148,24 @@ def _busy_cells(limited: DataFrame, slice_rows: int) -> DataFrame:
     )
     next_busy = (F.lead("cell").over(by_time) == F.col("cell") + 1) & F.lead("busy").over(by_time)
     chained = marked.withColumn("leads", ~F.col("busy") & F.coalesce(next_busy, F.lit(False)))
-    chained = chained.filter(F.col("busy") | F.col("leads")).withColumn(
-        "chain", F.max(F.when(F.col("leads") | ~F.col("follows"), F.col("cell"))).over(
-            by_time.rowsBetween(Window.unboundedPreceding, 0))
+    starts = F.when(F.col("leads") | ~F.col("follows"), F.col("cell"))
+    return chained.filter(F.col("busy") | F.col("leads")).select(
+        *_CLIENT, "cell", "n",
+        F.max(starts).over(by_time.rowsBetween(Window.unboundedPreceding, 0)).alias("chain"),
     )
-    earlier = (
-        Window.partitionBy(*_CLIENT, "chain").orderBy("cell")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return chained.select(
-        *_CLIENT, "cell", "chain",
-        F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / F.lit(slice_rows))
-        .alias("slice"),
+
+
+def _slices(waiting: DataFrame, slice_rows: int) -> DataFrame:
+    """Slice of each tick of each chain, and the chain's last slice."""
+    chain = [*_CLIENT, "chain"]
+    earlier = Window.partitionBy(*chain).orderBy("tick").rowsBetween(
+        Window.unboundedPreceding, -1
     )
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    ticks = waiting.groupBy(*chain, "tick").agg(F.count("*").alias("n"))
+    return ticks.select(
+        *chain, "tick", F.floor(before / F.lit(slice_rows)).alias("slice")
+    ).withColumn("last_slice", F.max("slice").over(Window.partitionBy(*chain)))
 
 
 def rate_limit(
@@ -178,50 +182,55 @@ def rate_limit(
         "event_id", *_CLIENT, "max_requests", "lowest",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         (F.col("window_s") * MICROS).alias("window_us"),
-    )
-    limited = timed.filter(F.col("max_requests").isNotNull()).withColumn(
-        "cell", F.floor(F.col("at") / F.col("window_us"))
-    )
-    cells = cut(_busy_cells(limited, slice_rows))
-    slices = (cells.agg(F.max("slice")).first()[0] or 0) + 1
+    ).withColumn("cell", F.floor(F.col("at") / F.col("window_us")))
+    cells = cut(_busy_cells(timed.filter(F.col("max_requests").isNotNull())))
+    longest = cells.groupBy(*_CLIENT, "chain").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
 
-    marked = timed.withColumn("cell", F.floor(F.col("at") / F.col("window_us"))).join(
-        cells, [*_CLIENT, "cell"], "left"
-    )
-    result = ["event_id", *_CLIENT, "accepted", "retry_after"]
+    marked = timed.join(cells.drop("n"), [*_CLIENT, "cell"], "left")
     free = marked.filter(F.col("chain").isNull()).select(
         "event_id", *_CLIENT,
         F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("retry_after"),
     )
-    waiting = marked.filter(F.col("chain").isNotNull()).drop("lowest").withColumn(
-        "is_seed", F.lit(False)
-    )
-    parts = [free]
-    if slices == 1:
-        parts.append(_decide(waiting).select(*result))
+    waiting = marked.filter(F.col("chain").isNotNull()).select(*_WAITING)
+    if (longest or 0) <= slice_rows:
+        decided = [_decide(waiting.withColumn("is_seed", F.lit(False)))]
     else:
-        waiting = cut(waiting)
-        seeds = None
-        for number in range(slices):
-            rows = waiting.filter(F.col("slice") == number).drop("slice")
-            if seeds is not None:
-                rows = rows.unionByName(seeds)
-            decided = cut(_decide(rows))
-            last = cells.filter(F.col("slice") == number).groupBy(*_CLIENT, "chain").agg(
-                F.max("cell").alias("cell")
-            )
-            seeds = (
-                decided.filter("accepted")
-                .join(last, [*_CLIENT, "chain", "cell"], "left_semi")
-                .drop("accepted", "retry_after")
-                .withColumn("is_seed", F.lit(True))
-            )
-            parts.append(decided.select(*result))
-    return reduce(DataFrame.unionByName, parts)
+        decided = _decide_slices(waiting, slice_rows)
+    columns = ["event_id", *_CLIENT, "accepted", "retry_after"]
+    return reduce(DataFrame.unionByName, [free, *[d.select(*columns) for d in decided]])
+
+
+def _decide_slices(waiting: DataFrame, slice_rows: int) -> list[DataFrame]:
+    """Decide slice after slice; all chains' slices of one number go together."""
+    tick = F.least(F.lit(MICROS), F.ceil(F.col("window_us") / _TICKS_PER_WINDOW))
+    ticked = waiting.withColumn("tick", F.floor(F.col("at") / tick))
+    chain = [*_CLIENT, "chain"]
+    sliced = ticked.join(_slices(ticked, slice_rows), [*chain, "tick"]).drop("tick")
+    sliced = cut_by(sliced, "slice")
+    last = sliced.agg(F.max("slice")).first()[0]
+
+    decided, seeds = [], None
+    for number in range(last + 1):
+        rows = sliced.filter(F.col("slice") == number).drop("slice")
+        longer = rows.filter(F.col("last_slice") > number).select(*chain).distinct()
+        rows = rows.drop("last_slice").withColumn("is_seed", F.lit(False))
+        done = cut(_decide(rows if seeds is None else rows.unionByName(seeds)))
+        decided.append(done)
+        accepted = done.filter("accepted").select(*_WAITING).withColumn("is_seed", F.lit(True))
+        if seeds is not None:
+            # a tick above the slice size leaves slices without rows: carry on what was known
+            longer = longer.unionByName(seeds.select(*chain)).distinct()
+            accepted = accepted.unionByName(seeds)
+        # what the next slice can still see: no more than a policy's limit per chain
+        ends = accepted.groupBy(*chain).agg(F.max("at").alias("end"))
+        seeds = cut(
+            accepted.join(longer, chain, "left_semi").join(ends, chain)
+            .filter(F.col("at") > F.col("end") - F.col("window_us")).drop("end")
+        )
+    return decided
 
 
 def _decide(rows: DataFrame) -> DataFrame:
-    columns = [c for c in _DECIDED if c not in {"accepted", "retry_after"}]
-    placed = rows.select(*columns, "is_seed").repartition(*_CLIENT, "chain")
+    placed = rows.repartition(*_CLIENT, "chain")
     ordered = placed.sortWithinPartitions(*_CLIENT, "chain", "at", "event_id")
-    return ordered.mapInArrow(_decide_batches, _DECIDED_SCHEMA)
+    return ordered.mapInArrow(_decide_batches, _DECIDED)

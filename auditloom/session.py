@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import auditloom
 
@@ -16,6 +18,8 @@ SETTINGS = {
     # joins of facts to a keyed side rely on this to split a hot key over many tasks
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # whole files travel to Python: bound a batch by bytes, too
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # as in Python, the last of two equal JSON keys wins
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -32,9 +36,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder now and go on from the written copy."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; a temporary one only where tests run in one process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -42,9 +46,24 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="auditloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder now and go on from the written copy."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def cut_by(df: DataFrame, column: str) -> DataFrame:
+    """As `cut`, in a table with a folder per value of `column`: a filter on it reads no more."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/{column}-{uuid.uuid4()}"
+    df.write.partitionBy(column).parquet(path)
+    kept = [f for f in df.schema.fields if f.name != column]
+    return spark.read.schema(T.StructType([*kept, df.schema[column]])).parquet(path)
+
+
 def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Mark a table of short keys for broadcast if it has no more than `max_rows` rows.
 
