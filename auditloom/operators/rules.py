@@ -9,7 +9,7 @@ from auditloom import fixed
 from auditloom.operators.facts import ASSIGN_SLOT, SLOT
 from auditloom.schemas import FILE_KEY, FINDINGS
 
-STATIC_ANALYZER = "ast_analyzer"
+STATIC_ANALYZER = "python_rules"
 
 # rule, category, severity, title, description, recommendation
 RULES = [
@@ -55,8 +55,11 @@ RULE_FIELDS = [
 
 def rule_dimension(spark: SparkSession) -> DataFrame:
     """The rule table: a fixed handful of rows, so it can always be broadcast."""
-    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(RULE_FIELDS, rule)]) for rule in RULES]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = ", ".join(
+        "(" + ", ".join("'" + value.replace("'", "\\'") + "'" for value in rule) + ")"
+        for rule in RULES
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS rules({', '.join(RULE_FIELDS)})")
 
 
 def _hit(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.operators.rules import build_findings
 from auditloom.schemas import FILE_KEY
 
-SECRET_ANALYZER = "secret_detector"
+SECRET_ANALYZER = "secrets"
 
 # Our own patterns
 ASSIGNED = (

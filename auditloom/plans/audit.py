@@ -77,9 +77,9 @@ def audit(
 
     counts = findings.counts_of_raw(found)
     metrics = _metrics(runs, guard, counts, findings.most_files(analyzed), parsed)
-    metrics = cut(metrics.withColumn(
+    metrics = metrics.withColumn(
         "duration_seconds", findings.duration_seconds(started_at, finished_at)
-    ))
+    )
     owned = kept.join(runs.select("analysis_id", *SNAPSHOT_KEY), SNAPSHOT_KEY)
     return Audit(
         findings=findings.stored_form(owned),

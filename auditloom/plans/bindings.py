@@ -73,6 +73,14 @@ SELECT p_partkey AS k, p_size AS s, lower(p_brand) AS repo,
        ) AS content
 FROM part"""
 
+# Two runs of every snapshot of the generated files, and one of a commit without files
+BINDINGS["source_runs"] = """
+SELECT DISTINCT concat(kind, '-', lower(p_brand)) AS analysis_id, lower(p_brand) AS repository_id,
+       lower(p_brand) AS repo,
+       CASE kind WHEN 'gone' THEN repeat('0', 40) ELSE concat(md5(p_brand), '00000000') END AS commit_sha
+FROM (SELECT p_brand, 'first' AS kind FROM part UNION ALL SELECT p_brand, 'again' AS kind FROM part
+      UNION ALL SELECT p_brand, 'gone' AS kind FROM part) AS asked"""
+
 BINDINGS["corpus"] = """
 SELECT source AS repo, concat(md5(source), '00000000') AS commit_sha, doc_id,
        concat(CASE doc_id % 9 WHEN 0 THEN 'tests/' WHEN 1 THEN 'Migrations/' WHEN 2 THEN '.github/' ELSE 'src/' END, 'd', cast(doc_id AS string), '.py') AS file_path,

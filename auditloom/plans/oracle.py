@@ -324,14 +324,17 @@ WHERE n > 0""", "corpus")
 
 # Review --------------------------------------------------------------------------
 
-_PICKED = f"""
+def _picked(table: str, size: str) -> str:
+    return f"""
 picked AS (
   SELECT * FROM (
-    SELECT repo, commit_sha, file_path, size_bytes, substr(content, 1, {fixed.REVIEW_FILE_CHARS}) AS content,
-           row_number() OVER (PARTITION BY repo, commit_sha ORDER BY size_bytes DESC, file_path) AS place
-    FROM corpus
+    SELECT repo, commit_sha, file_path, {size} AS size_bytes, substr(content, 1, {fixed.REVIEW_FILE_CHARS}) AS content,
+           row_number() OVER (PARTITION BY repo, commit_sha ORDER BY {size} DESC, file_path) AS place
+    FROM {table}
     WHERE NOT regexp_matches(lower(file_path), 'test_|tests|migration|__pycache__|[.]git|venv')) AS ranked
   WHERE place <= {fixed.REVIEW_FILES})"""
+
+
 _RE2 = [p.replace("(?iU)", "(?i)") for p in fixed.REDACT_PATTERNS]
 
 
@@ -341,8 +344,8 @@ def _redacted(column: str) -> str:
     return column
 
 
-def _kept_files(max_chars: int) -> str:
-    return f"""{_PICKED},
+def _kept_files(max_chars: int, table: str = "corpus", size: str = "size_bytes") -> str:
+    return f"""{_picked(table, size)},
 cleaned AS (
   SELECT repo, commit_sha, file_path AS safe_path, place,
          {_redacted(f"substr(content, 1, {max_chars})")} AS content FROM picked),
@@ -356,7 +359,7 @@ budgeted AS (
 
 add("review_pick", """
 SELECT repo, place, file_path, size_bytes, md5(content) AS content_md5 FROM picked""",
-    "corpus", steps=_PICKED)
+    "corpus", steps=_picked("corpus", "size_bytes"))
 
 add("review_budget", """
 SELECT repo, safe_path, place, chars_before, length(content) AS chars FROM budgeted""",
@@ -404,12 +407,13 @@ FROM (SELECT doc_id, concat(regexp_replace(text, '^\\s+', ''), chr(9), ' end') A
 
 _BLOCKS = """string_agg(concat(chr(10), '--- ARCHIVO: ', safe_path, ' ---', chr(10), '```python', chr(10),
        content, chr(10), '```', chr(10)), '' ORDER BY place)"""
-_REQUESTS = f"""{_kept_files(fixed.REVIEW_MAX_CHARS)},
+_ASSEMBLE = f"""
 requests AS (
   SELECT repo, commit_sha, count(*) AS file_count,
          concat('Analiza el siguiente código del repositorio ''', repo, ''':', chr(10), {_BLOCKS},
                 {quoted(fixed.REQUEST_FOOTER)}) AS request
   FROM budgeted GROUP BY repo, commit_sha)"""
+_REQUESTS = _kept_files(fixed.REVIEW_MAX_CHARS) + "," + _ASSEMBLE
 add("review_requests", """
 SELECT repo, file_count, md5(request) AS request_md5, length(request) AS chars FROM requests""",
     "corpus", steps=_REQUESTS)
@@ -441,6 +445,44 @@ SELECT a.id AS analysis_id, cast(coalesce({_GOOD}, false) AS bigint) AS review_f
 FROM analyses AS a LEFT JOIN review_responses AS r ON a.id = concat('a', cast(2 * r.k AS string))""",
     "analyses", "review_responses")
 
+# The whole job -------------------------------------------------------------------
+
+add("audit_runs", f"""
+SELECT r.analysis_id, r.repository_id, r.repo, r.commit_sha,
+       coalesce(h.total + 1, 0) AS total_findings, coalesce(h.critical, 0) AS critical_count,
+       coalesce(h.high + 1, 0) AS high_count, coalesce(h.total, 0) AS static_count,
+       cast(h.total IS NOT NULL AS bigint) AS review_count, coalesce(f.n, 0) AS files_analyzed,
+       cast(coalesce(length(q.request) // 4, 0) AS bigint) AS tokens_used,
+       cast(h.total IS NOT NULL AS bigint) AS discarded,
+       CASE WHEN h.total IS NOT NULL THEN 's' ELSE '' END AS summary,
+       CASE WHEN h.total IS NULL THEN 'no files for this commit' END AS error_message,
+       CASE WHEN h.total IS NULL THEN 'failed' ELSE 'completed' END AS status,
+       cast(7.13 AS double) AS duration_seconds
+FROM source_runs AS r
+LEFT JOIN (SELECT repo, commit_sha, count(*) AS total,
+                  count(*) FILTER (severity = 'critical') AS critical,
+                  count(*) FILTER (severity = 'high') AS high
+           FROM ({" UNION ALL ".join(_expected(rule) for rule in RULES[:8])}) AS hits
+           GROUP BY repo, commit_sha) AS h USING (repo, commit_sha)
+LEFT JOIN (SELECT repo, commit_sha, count(*) AS n FROM source_files
+           GROUP BY repo, commit_sha) AS f USING (repo, commit_sha)
+LEFT JOIN requests AS q USING (repo, commit_sha)""", "source_files", "source_runs",
+    steps=_LAYOUT + "," + _kept_files(
+        fixed.REVIEW_MAX_CHARS, "source_files", "length(content)") + "," + _ASSEMBLE)
+
+add("public_analyses", """
+SELECT a.id, a.repository_id, a.commit_sha, a.status, a.triggered_by,
+       epoch_us(a.started_at) AS started_at, epoch_us(a.completed_at) AS completed_at,
+       round((epoch_us(a.completed_at) - epoch_us(a.started_at)) / 1000000.0, 2) AS duration_seconds,
+       coalesce(c.total, 0) AS total_findings, coalesce(c.critical, 0) AS critical_count,
+       coalesce(c.high, 0) AS high_count, a.error_message, epoch_us(a.created_at) AS created_at
+FROM analyses AS a
+LEFT JOIN (SELECT analysis_id, count(*) AS total,
+                  count(*) FILTER (severity = 'critical') AS critical,
+                  count(*) FILTER (severity = 'high') AS high
+           FROM kept GROUP BY analysis_id) AS c ON c.analysis_id = a.id""",
+    "findings", "analyses", steps=KEPT)
+
 # Webhooks and limits -------------------------------------------------------------
 
 _KEY = q.WEBHOOK_SECRET if len(q.WEBHOOK_SECRET) <= 64 else hashlib.sha256(q.WEBHOOK_SECRET).digest()

@@ -14,8 +14,9 @@ from auditloom.operators import (
     analyzers, catalog, facts, findings, ordering, ratelimit, responses, review, rules, secrets,
     webhooks,
 )
+from auditloom.plans.audit import audit
 from auditloom.plans.bindings import bind, table
-from auditloom.schemas import SNAPSHOT_KEY
+from auditloom.schemas import FILE_KEY, SNAPSHOT_KEY
 from auditloom.session import configure, cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,6 +520,51 @@ def degrade_join(spark: SparkSession, folder: str) -> DataFrame:
     return _longs(joined, "review_findings", "discarded", "tokens_used")
 
 
+# The whole job ---------------------------------------------------------------------
+
+def one_finding(requests: pd.DataFrame) -> pd.DataFrame:
+    """Stands in for a model: one good finding and one without its keys per request."""
+    return requests.assign(
+        raw_content='{"findings":[{"category":"quality","severity":"high","title":"t",'
+                    '"description":"d","file_path":"a.py","recommendation":"r"},{}],"summary":"s"}',
+        tokens_used=requests["request"].str.len() // 4,
+        model="fake",
+    )
+
+
+@query
+def audit_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Files to facts, rules, secrets, requests, responses, dedup and metrics, in one job."""
+    files = bind(spark, folder, "source_files").select(
+        *FILE_KEY, "content", F.char_length("content").cast("long").alias("size_bytes")
+    )
+    runs = bind(spark, folder, "source_runs")
+    requests = review.review_requests(review.within_budget(review.pick_files(files)))
+    done = audit(
+        runs, files.withColumn("content", F.encode("content", "UTF-8")),
+        review.review(requests, one_finding),
+        F.lit("2024-01-01 00:00:00").cast("timestamp"),
+        F.lit("2024-01-01 00:00:07.126").cast("timestamp"),
+    )
+    return done.metrics
+
+
+@query
+def public_analyses(spark: SparkSession, folder: str) -> DataFrame:
+    """The analysis as its owner sees it: state, duration and counts."""
+    counts = findings.counts_of_raw(bind(spark, folder, "findings"), RUN)
+    runs = bind(spark, folder, "analyses").withColumn(
+        "duration_seconds", findings.duration_seconds(
+            F.col("started_at").cast("timestamp"), F.col("completed_at").cast("timestamp"))
+    )
+    full = runs.join(counts.withColumnRenamed("analysis_id", "id"), "id", "left").fillna(
+        0, ["total_findings", "critical_count", "high_count"]
+    )
+    times = {c: F.unix_micros(F.col(c).cast("timestamp"))
+             for c in ("created_at", "started_at", "completed_at")}
+    return catalog.public(full, catalog.ANALYSIS_FIELDS).withColumns(times)
+
+
 # Webhooks and limits -------------------------------------------------------------
 
 def deliveries(spark: SparkSession, folder: str) -> DataFrame:
