@@ -54,11 +54,12 @@ def policy_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
 
 
 def apply_policies(log: DataFrame, policies: Sequence[Policy]) -> DataFrame:
-    """Requests with their policy; those of routes without one are not limited."""
+    """Requests with their client and policy; those of routes without one are not limited."""
     table = policy_table(log.sparkSession, policies)
     if len(policies) <= _BROADCAST_POLICIES:
         table = F.broadcast(table)
-    return log.join(table, ["route", "method"], "left")
+    known = log.withColumn("client_ip", F.coalesce("client_ip", F.lit(fixed.DEFAULT_CLIENT)))
+    return known.join(table, ["route", "method"], "left")
 
 
 def decide_run(

@@ -15,7 +15,7 @@ from auditloom.operators.facts import extract_facts
 from auditloom.operators.secrets import SECRET_ANALYZER, secret_findings
 from auditloom.schemas import FILE_KEY, SNAPSHOT_KEY
 from auditloom.session import cut, small
-from auditloom.sources.tree import decoded, scanned
+from auditloom.sources.tree import decoded, scanned, targeted
 
 RUN_FIELDS = ["analysis_id", "repository_id", "repo", "commit_sha"]
 
@@ -39,12 +39,13 @@ def audit(
     max_complexity: int = fixed.MAX_COMPLEXITY,
     more_analyzers: tuple[Analyzer, ...] = (Analyzer(SECRET_ANALYZER, secret_findings),),
     max_snapshot_bytes: int = fixed.MAX_SNAPSHOT_BYTES,
+    targets: DataFrame | None = None,
 ) -> Audit:
     """Audit all `runs` (analysis_id, repository_id, repo, commit_sha) together.
 
     File contents are never shuffled while the wanted snapshots fit a broadcast. Snapshots are audited once however many runs ask for them. Every file is parsed once: facts
     are written before rules and counters read them. A run whose commit has no files, or too many
-    bytes, fails.
+    bytes, fails. With `targets` (file keys) only those files are audited.
     """
     wanted = small(runs.select(*SNAPSHOT_KEY).distinct())
     sizes = source_files.select(*SNAPSHOT_KEY, "size_bytes")
@@ -52,7 +53,10 @@ def audit(
         sizes.join(wanted, SNAPSHOT_KEY, "left_semi"), max_snapshot_bytes
     ))
     allowed = small(guard.filter(~F.col("is_too_large")).select(*SNAPSHOT_KEY))
-    python = decoded(scanned(source_files.join(allowed, SNAPSHOT_KEY, "left_semi")))
+    kept_files = source_files.join(allowed, SNAPSHOT_KEY, "left_semi")
+    python = decoded(
+        scanned(kept_files) if targets is None else targeted(kept_files, targets)
+    )
 
     facts = cut(extract_facts(python))
     static = [rules.rule_findings(facts, max_lines, max_complexity)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,7 @@ LISTING = "repo string, commit_sha string, file_path string, abs_path string, si
 _BATCH_BYTES = 16 * 1024 * 1024
 
 
-@dataclass
-class _Entry(InputPartition):
+class _Entry(NamedTuple):
     """One file or folder at the top of a snapshot."""
 
     repo: str
@@ -33,8 +33,13 @@ class _Entry(InputPartition):
     name: str
 
 
+@dataclass
+class _Entries(InputPartition):
+    entries: list[_Entry]
+
+
 class SourceTree(DataSource):
-    """Listing of all files below `path`, without their content."""
+    """Listing of all files below `path`, without their content, by at most `tasks` tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -44,33 +49,31 @@ class SourceTree(DataSource):
         return LISTING
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"])
+        return _TreeReader(self.options["path"], int(self.options.get("tasks", "1000")))
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[_Entry]:
-        """A task per top-level entry, so a large snapshot is listed by many."""
-        entries = []
-        for owner in _folders(self.path):
-            for name in _folders(owner.path):
-                for commit in _folders(name.path):
-                    for top in sorted(os.listdir(commit.path)):
-                        if top not in fixed.IGNORED_DIRS:
-                            entries.append(_Entry(
-                                f"{owner.name}/{name.name}", commit.name, commit.path, top
-                            ))
-        return entries
-
-    def read(self, partition: _Entry) -> Iterator[tuple]:
-        for path in _files(os.path.join(partition.root, partition.name)):
-            yield (
-                partition.repo, partition.commit_sha,
-                os.path.relpath(path, partition.root).replace(os.sep, "/"),
-                path, os.path.getsize(path),
-            )
+    def __init__(self, path: str, tasks: int) -> None:
+        self.path, self.tasks = path, tasks
+
+    def partitions(self) -> list[_Entries]:
+        """Deal the snapshots' top-level entries out, so a large snapshot is listed by many."""
+        entries = [
+            _Entry(f"{owner.name}/{name.name}", commit.name, commit.path, top)
+            for owner in _folders(self.path)
+            for name in _folders(owner.path)
+            for commit in _folders(name.path)
+            for top in sorted(os.listdir(commit.path))
+            if top not in fixed.IGNORED_DIRS
+        ]
+        tasks = max(1, min(self.tasks, len(entries)))  # Spark needs one also for an empty tree
+        return [_Entries(entries[i::tasks]) for i in range(tasks)]
+
+    def read(self, partition: _Entries) -> Iterator[tuple]:
+        for entry in partition.entries:
+            for path in _files(os.path.join(entry.root, entry.name)):
+                relative = os.path.relpath(path, entry.root).replace(os.sep, "/")
+                yield entry.repo, entry.commit_sha, relative, path, os.path.getsize(path)
 
 
 def _folders(path: str) -> list[os.DirEntry]:
@@ -87,15 +90,15 @@ def _files(top: str) -> Iterator[str]:
             yield os.path.join(folder, name)
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, tasks: int = 1000) -> DataFrame:
     """Files to audit below `root`."""
     spark.dataSource.register(SourceTree)
-    listing = spark.read.format("source_tree").load(root)
+    listing = spark.read.format("source_tree").option("tasks", tasks).load(root)
     return listing.filter(is_scanned(F.col("file_path")))
 
 
 def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Add the bytes of each listed file. A file that is gone by now is left out.
+    """Add the bytes of each listed file. A file that cannot be read is left out.
 
     Paths are spread over tasks by hash, so a large snapshot is read by many.
     """
@@ -110,7 +113,7 @@ def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFram
                 try:
                     with open(row["abs_path"], "rb") as file:
                         row["content"] = file.read()
-                except FileNotFoundError:
+                except OSError:
                     continue
                 rows.append({n: row[n] for n in names})
                 held += len(row["content"])

@@ -23,7 +23,7 @@ def get_user(user_id: int) -> None:
 CLEAN = 'def add(a: int, b: int) -> int:\n    """Adds."""\n    return a + b\n'
 
 
-def run_audit(spark):
+def run_audit(spark, targets=None):
     sha = {name: name * 40 for name in "abc"}
     files = [
         ("o/one", sha["a"], "src/vulnerable.py", VULNERABLE),
@@ -53,7 +53,7 @@ def run_audit(spark):
     )
     return audit(
         runs, source, answers, F.lit(NOW), F.lit(NOW + timedelta(seconds=2.5)),
-        max_snapshot_bytes=5000,
+        max_snapshot_bytes=5000, targets=targets,
     )
 
 
@@ -85,6 +85,16 @@ def test_audit(spark):
     assert state == {k: r.status for k, r in metrics.items()}
 
 
+def test_targets_only(spark):
+    targets = spark.createDataFrame(
+        [("o/one", "a" * 40, "venv/x.py"), ("o/one", "a" * 40, "bad.py")],
+        "repo string, commit_sha string, file_path string",
+    )
+    done = run_audit(spark, targets)
+    assert {r.file_path for r in done.findings.filter("rule_id <> 'LLM-001'").collect()} == {"venv/x.py"}
+    assert {r.files_analyzed for r in done.metrics.filter("analysis_id = 'a1'").collect()} == {2}
+
+
 def test_new_push_is_not_answered_from_an_old_result(spark):
     repositories = spark.createDataFrame([("r1", "main")], "id string, default_branch string")
     done = spark.createDataFrame(

@@ -23,7 +23,8 @@ def some_log(n=1500, seed=3, hot=0.4):
         if draw.random() < hot:
             path, client, second = "/a", "hot", draw.uniform(0, 2000)
         else:
-            path, client = draw.choice(["/a", "/b", "/free"]), f"c{draw.randrange(8)}"
+            path = draw.choice(["/a", "/b", "/free"])
+            client = draw.choice([None, *(f"c{i}" for i in range(8))])
             second = draw.choice([draw.uniform(0, 4000), 60 * draw.randrange(60)])
         method = draw.choice(["GET", "POST"]) if path == "/a" else "GET"
         rows.append((i, path, method, path, client, START + timedelta(seconds=round(second, 3))))

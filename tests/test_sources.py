@@ -25,6 +25,17 @@ def test_tree(spark, tmp_path):
     assert got["src/a.py"].size_bytes == 7
 
 
+def test_empty_tree(spark, tmp_path):
+    assert tree.read_contents(tree.list_tree(spark, str(tmp_path))).count() == 0
+
+
+def test_listing_tasks_are_bounded(tmp_path):
+    for i in range(10):
+        (tmp_path / "o" / "r" / "c" / f"d{i}").mkdir(parents=True)
+    parts = tree._TreeReader(str(tmp_path), 3).partitions()
+    assert sorted(len(p.entries) for p in parts) == [3, 3, 4]
+
+
 def test_decode(spark):
     raws = [b"abc", b"\xff\xfe", b"a\xc3(b", "é\r\n\rx".encode(), b"\xe2\x82", b"", b"\xf0\x9f\x98\x80"]
     df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(raws)], "i int, b binary")
