@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom import fixed
-from auditloom.session import cut, cut_by
+from auditloom.session import cut, cut_by, small
 
 MICROS = 1_000_000
 # Requests of one client and path that one task takes at a time
@@ -187,7 +187,8 @@ def rate_limit(
     cells = cut(_busy_cells(timed.filter(F.col("max_requests").isNotNull())))
     longest = cells.groupBy(*_CLIENT, "chain").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
 
-    marked = timed.join(cells.drop("n"), [*_CLIENT, "cell"], "left")
+    # few cells are busy: mostly the log itself is not shuffled
+    marked = timed.join(small(cells.drop("n")), [*_CLIENT, "cell"], "left")
     free = marked.filter(F.col("chain").isNull()).select(
         "event_id", *_CLIENT,
         F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("retry_after"),

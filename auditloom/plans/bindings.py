@@ -196,7 +196,9 @@ SOURCES = {
     "events": ["event_id"], "documents": ["doc_id"],
 }
 # Bindings whose rows cost much work each: sorting, parsing, regular expressions, JSON
-EVEN = {"findings", "source_files", "corpus", "review_responses", "webhooks"}
+EVEN = {
+    "findings", "source_files", "corpus", "review_responses", "webhooks", "registrations",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str, even: bool = False) -> DataFrame:

@@ -40,7 +40,7 @@ def _shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder; a temporary one only where tests run in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import random
+from collections import deque
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from auditloom import fixed
@@ -55,6 +59,35 @@ def decisions(df):
     return {r.event_id: (r.accepted, r.retry_after) for r in df.collect()}
 
 
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 30), st.sampled_from([1, 2, 3])), min_size=1, max_size=60),
+    st.lists(st.integers(1, 59), max_size=3),
+)
+def test_fold(requests, cuts):
+    """Any split into batches gives what a loop over single requests gives."""
+    requests = sorted(requests, key=lambda r: r[0])
+    ts = np.array([t * 500_000 for t, _ in requests], np.int64)
+    limits = np.array([n for _, n in requests], np.int64)
+    window = 3_000_000
+    times, want = [], []
+    for now, limit in zip(ts.tolist(), limits.tolist()):
+        times = [t for t in times if now - t < window]
+        ok = len(times) < limit
+        want.append((ok, -1 if ok else (window - (now - times[0])) // 1_000_000))
+        times += [now] * ok
+    kept, got = deque(), []
+    bounds = sorted({0, len(ts), *(c for c in cuts if c < len(ts))})
+    for low, high in zip(bounds, bounds[1:]):
+        part = slice(low, high)
+        accepted, wait = ratelimit.decide_run(
+            ts[part], limits[part], window, np.zeros(high - low, bool), kept
+        )
+        got += zip(accepted.tolist(), wait.tolist())
+    assert got == want
+    assert len(kept) <= 3
+
+
 @pytest.mark.parametrize("slice_rows, seed", [(ratelimit.SLICE_ROWS, 3), (150, 3), (7, 4)])
 def test_batch(spark, slice_rows, seed):
     rows = some_log(150 if slice_rows == 7 else 1500, seed)
