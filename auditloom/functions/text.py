@@ -45,7 +45,7 @@ def _nfkc_batch(text: pa.Array) -> pa.Array:
 
 def nfkc(text: Column) -> Column:
     """NFKC form. Plain ASCII is its own NFKC form and never leaves the JVM."""
-    is_ascii = text.rlike(r"\A\p{ASCII}*\z")
+    is_ascii = F.octet_length(text) == F.char_length(text)
     return F.coalesce(F.when(is_ascii, text), _nfkc_batch(F.when(~is_ascii, text)))
 
 

@@ -112,10 +112,10 @@ def _rule_hits(max_lines: int, max_complexity: int) -> list[Column]:
 def build_findings(hits: DataFrame, analyzer: str, source_rank: int) -> DataFrame:
     """Attach the rule texts to hits (file key, seq, rule_id, line_start, line_end, name, ...)."""
     def fill(template: str) -> Column:
-        text = F.col(template)
+        text = template
         for slot in ("name", "limit", "detail"):
-            text = F.replace(text, F.lit("{%s}" % slot), F.col(slot))
-        return text
+            text = f"replace({text}, '{{{slot}}}', {slot})"
+        return F.expr(text)
 
     rules = rule_dimension(hits.sparkSession)
     return hits.join(F.broadcast(rules), "rule_id").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.operators import catalog, findings, ordering
-from auditloom.operators.analyzers import Analyzer, check_schema, run_analyzers
+from auditloom.operators.analyzers import Analyzer, check_schema, default_analyzers, run_analyzers
 from auditloom.operators.secrets import secret_findings
 from auditloom.schemas import FINDINGS
 
@@ -158,6 +158,9 @@ def test_analyzer_schema_is_checked(spark, source):
     kept = run_analyzers(files, [Analyzer("broken", broken), Analyzer("s", secret_findings)])
     assert [(r.rule_id, r.source_rank) for r in kept.collect()] == [("SEC-001", 1)]
     assert run_analyzers(files, [Analyzer("broken", broken)]).count() == 0
+    both = source({"a.py": "password = 'hunter22'\nfrom x import *\n"})
+    found = run_analyzers(both, default_analyzers()).collect()
+    assert {(r.rule_id, r.source_rank) for r in found} == {("AST-Q001", 0), ("SEC-001", 1)}
 
 
 def test_secrets(source):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from auditloom import schemas
 from auditloom.functions.signature import hmac_sha256
 from auditloom.operators import webhooks
+from auditloom.sources.tables import stream_table
 from auditloom.streaming.webhooks import queue_webhooks
 
 SECRET = b"s3cret"
@@ -126,9 +127,9 @@ def test_stream(spark, repositories, tmp_path):
 def test_redelivery(spark, repositories, tmp_path):
     """A second delivery of the same body runs again unless the window is set."""
     same = [CASES[0], CASES[0]]
-    deliveries(spark, same).write.parquet(str(tmp_path / "in"))
+    deliveries(spark, same).write.parquet(str(tmp_path / "webhooks"))
     for folder, window, count in [("all", None, 2), ("once", "1 hour", 1)]:
-        stream = spark.readStream.schema(schemas.WEBHOOKS).parquet(str(tmp_path / "in"))
+        stream = stream_table(spark, str(tmp_path), "webhooks")
         queue_webhooks(
             stream, lambda: repositories, SECRET, str(tmp_path / folder),
             str(tmp_path / f"cp-{folder}"), redelivery_window=window, once=True,
