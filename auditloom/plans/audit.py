@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ def audit(
     source_files: DataFrame,
     review_responses: DataFrame,
     started_at: Column,
-    finished_at: Column,
+    finished_at: Column | Callable[[], Column],
     max_lines: int = fixed.MAX_FUNCTION_LINES,
     max_complexity: int = fixed.MAX_COMPLEXITY,
     more_analyzers: tuple[Analyzer, ...] = (Analyzer(SECRET_ANALYZER, secret_findings),),
@@ -81,14 +83,16 @@ def audit(
 
     counts = findings.counts_of_raw(found)
     metrics = _metrics(runs, guard, counts, findings.most_files(analyzed), parsed)
+    # by now the files are parsed and all findings written
+    ended_at = finished_at() if callable(finished_at) else finished_at
     metrics = metrics.withColumn(
-        "duration_seconds", findings.duration_seconds(started_at, finished_at)
+        "duration_seconds", findings.duration_seconds(started_at, ended_at)
     )
     owned = kept.join(runs.select("analysis_id", *SNAPSHOT_KEY), SNAPSHOT_KEY)
     return Audit(
         findings=findings.stored_form(owned),
         metrics=metrics,
-        events=_events(metrics, started_at, finished_at),
+        events=_events(metrics, started_at, ended_at),
     )
 
 
@@ -149,3 +153,31 @@ def runs_to_audit(
         return named
     split = catalog.split_by_reuse(named, catalog.fresh_results(analyses, as_of))
     return split.filter(F.col("decision") == "run").drop("decision")
+
+
+def write_audit(done: Audit, root: str, day: str, job: str) -> None:
+    """Store a job's results; a repeated job replaces or finds its own rows.
+
+    The terminal events come last: a run counts as completed when its findings are there.
+    """
+    findings.append_findings(done.findings, f"{root}/findings", day)
+    done.metrics.write.mode("overwrite").parquet(f"{root}/run_metrics/job={job}")
+    done.events.write.mode("overwrite").parquet(f"{root}/analysis_events/job={job}")
+
+
+def audit_batches(
+    source_files: Callable[[], DataFrame],
+    review_responses: Callable[[], DataFrame],
+    root: str,
+    now: Callable[[], datetime],
+) -> Callable[[DataFrame, int], None]:
+    """A function that audits each batch of queued runs, for `streaming.queue_webhooks`."""
+    def run(queued: DataFrame, number: int) -> None:
+        started = now()
+        runs = queued.withColumn("repo", F.col("full_name"))
+        done = audit(
+            runs, source_files(), review_responses(), F.lit(started), lambda: F.lit(now()),
+        )
+        write_audit(done, root, started.date().isoformat(), f"webhooks-{number}")
+
+    return run

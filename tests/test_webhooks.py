@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from auditloom import schemas
 from auditloom.functions.signature import hmac_sha256
-from auditloom.operators import webhooks
+from auditloom.operators import catalog, webhooks
+from auditloom.operators.review import RESPONSES
+from auditloom.plans.audit import audit_batches
 from auditloom.sources.tables import stream_table
 from auditloom.streaming.webhooks import queue_webhooks
 
@@ -135,3 +137,28 @@ def test_redelivery(spark, repositories, tmp_path):
             str(tmp_path / f"cp-{folder}"), redelivery_window=window, once=True,
         ).awaitTermination()
         assert spark.read.parquet(str(tmp_path / folder)).count() == count
+
+
+def test_webhook_to_findings(spark, repositories, tmp_path):
+    """A push is queued, audited and stored; a repeated batch stores nothing twice."""
+    source = spark.createDataFrame(
+        [("o/r", SHA, "src/a.py", bytearray(b"from os import *\n"), 17)], schemas.SOURCE_FILES
+    )
+    answers = spark.createDataFrame([], RESPONSES)
+    run = audit_batches(lambda: source, lambda: answers, str(tmp_path / "out"), lambda: NOW)
+    deliveries(spark, CASES[:3]).write.parquet(str(tmp_path / "webhooks"))
+    queue_webhooks(
+        stream_table(spark, str(tmp_path), "webhooks"), lambda: repositories, SECRET,
+        str(tmp_path / "queue"), str(tmp_path / "cp"), on_runs=run, once=True,
+    ).awaitTermination()
+    queued = spark.read.parquet(str(tmp_path / "queue"))
+    run(queued.drop("batch"), 0)
+
+    found = spark.read.parquet(str(tmp_path / "out" / "findings")).collect()
+    assert sorted(r.rule_id for r in found) == ["AST-Q001"] * 2
+    events = spark.read.parquet(str(tmp_path / "out" / "analysis_events"))
+    states = catalog.run_state(events).collect()
+    assert {r.analysis_id for r in states} == {r.analysis_id for r in queued.collect()}
+    assert [r.status for r in states] == ["completed"] * 2
+    metrics = spark.read.parquet(str(tmp_path / "out" / "run_metrics")).collect()
+    assert [(r.total_findings, r.files_analyzed) for r in metrics] == [(1, 1)] * 2
