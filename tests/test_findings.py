@@ -78,8 +78,17 @@ def test_counts(spark):
         assert row.high_count == best[run, "high"]
 
 
+@pytest.fixture
+def many_pieces(spark):
+    """Small partitions are not joined, so small test groups span several, too."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 @pytest.mark.parametrize("limit", [ordering.MAX_GROUP_ROWS, 20])
-def test_report_positions(spark, limit):
+def test_report_positions(spark, limit, many_pieces):
     """A window and the split of large groups give the same places."""
     rows = some_findings()
     kept = findings.dedup(spark.createDataFrame(rows, SCHEMA), ["analysis_id"])
@@ -99,6 +108,17 @@ def test_report_positions(spark, limit):
     assert {(r.analysis_id, r.position): r.title for r in report} == expected
 
 
+def test_a_large_group_spans_tasks(spark, many_pieces, monkeypatch):
+    written = []
+    monkeypatch.setattr(ordering, "cut", lambda df: written.append(df.cache()) or written[0])
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 50)) AS g", "id")
+    numbered = ordering.number_rows(df, ["g"], [F.col("id").desc()], max_group_rows=100)
+    window = ordering.number_rows(df, ["g"], [F.col("id").desc()])
+    assert sorted(numbered.collect()) == sorted(window.collect())
+    pieces = written[0].groupBy("g").agg(F.count_distinct("_piece").alias("n"))
+    assert pieces.filter("g = 'hot'").first().n > 1
+
+
 def test_page_of_each(spark):
     rows = [(f"g{i % 3}", i) for i in range(100)]
     df = spark.createDataFrame(rows, "g string, id long")
