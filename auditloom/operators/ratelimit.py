@@ -15,6 +15,7 @@ length:
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -39,6 +40,10 @@ _CLIENT = ["path", "client_ip"]
 Policy = tuple[str, str, int, int]
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def policy_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
     """Policies as rows. Methods of one route share their list of times, hence one window."""
     windows: dict[str, int] = {}
@@ -47,9 +52,12 @@ def policy_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
         if windows.setdefault(route, window) != window:
             raise ValueError(f"policies of {route} have different windows")
         lowest[route] = min(limit, lowest.get(route, limit))
-    rows = [(*p, lowest[p[0]]) for p in policies]
-    return spark.createDataFrame(
-        rows, "route string, method string, max_requests long, window_s long, lowest long"
+    rows = ", ".join(
+        f"({_quoted(route)}, {_quoted(method)}, {limit}L, {window}L, {lowest[route]}L)"
+        for route, method, limit, window in policies
+    )
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows} AS p(route, method, max_requests, window_s, lowest)"
     )
 
 
@@ -70,26 +78,33 @@ def decide_run(
     Returns accepted flags and, for rejected requests, the seconds to wait (else -1). Rejected
     stretches are skipped by binary search, so the work follows the accepted requests.
     """
-    n = len(ts)
-    accepted = np.zeros(n, bool)
-    wait = np.full(n, -1, np.int64)
-    changes = np.flatnonzero(limits[1:] != limits[:-1]) + 1
+    times, at_most, known = ts.tolist(), limits.tolist(), seeds.tolist()
+    n = len(times)
+    changes = (np.flatnonzero(limits[1:] != limits[:-1]) + 1).tolist()
+    accepted = np.ones(n, bool)
+    oldest: list[int] = []
+    lengths: list[int] = []
     i = 0
     while i < n:
-        now, limit = int(ts[i]), int(limits[i])
+        now = times[i]
         while kept and now - kept[0] >= window:
             kept.popleft()
-        if seeds[i] or len(kept) < limit:
+        if known[i] or len(kept) < at_most[i]:
             kept.append(now)
-            accepted[i] = True
             i += 1
             continue
         # nothing changes until the oldest time leaves the window or the limit differs
-        same = np.searchsorted(changes, i, side="right")
-        stop = int(changes[same]) if same < len(changes) else n
-        end = i + int(np.searchsorted(ts[i:stop], kept[0] + window, side="left"))
-        wait[i:end] = (window - (ts[i:end] - kept[0])) // MICROS
+        same = bisect_right(changes, i)
+        stop = changes[same] if same < len(changes) else n
+        end = bisect_left(times, kept[0] + window, i, stop)
+        accepted[i:end] = False
+        oldest.append(kept[0])
+        lengths.append(end - i)
         i = end
+    wait = np.full(n, -1, np.int64)
+    rejected = np.flatnonzero(~accepted)
+    held_since = np.repeat(np.array(oldest, np.int64), lengths)
+    wait[rejected] = (window - (ts[rejected] - held_since)) // MICROS
     return accepted, wait
 
 
