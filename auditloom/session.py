@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,22 +39,27 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder; a temporary one only where tests run in one process."""
+    """The checkpoint folder; a temporary one, gone at the end, only where all is one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="auditloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder now and go on from the written copy."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` as Parquet to the checkpoint folder now and go on from the written copy.
+
+    Later readers read only the columns they use.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_by(df: DataFrame, column: str) -> DataFrame:
