@@ -77,3 +77,48 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (n * size)::BIGINT AS taken, n::BIGINT AS copies FROM k
 """
+
+ORACLE["op7_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, list_slice(w, p, p + 4) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id
+FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
+
+ORACLE["op5_substring_dedup"] = rf"""
+WITH d AS (
+  SELECT doc_id, {WORDS} AS w FROM documents
+), g AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50
+), s AS (
+  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY list_slice(w, p, p + 49)) AS first FROM g
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM s WHERE first < doc_id
+), k AS (
+  SELECT doc_id, list(p) AS gone FROM r GROUP BY doc_id
+), x AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+         CASE WHEN gone IS NULL THEN w
+              ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END AS kept
+  FROM d LEFT JOIN k USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM x
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import mixing, quality
+from auditloom.llm import (
+    language, mixing, ngram_join, packing, quality, substrings, tokens, urls,
+)
 from auditloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +26,47 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, vocabulary("piece_bpe_32k.model")).drop("text")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the documents is held out of the training."""
+    docs = read(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.filter(~held).select("doc_id", "lang", "text"))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+        F.size("lang_spans").alias("n_spans"),
+    )
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that a smaller document has."""
+    return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of the current policy for every document."""
@@ -35,6 +78,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's n-gram set and its component of near duplicates."""
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 @query
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
@@ -43,4 +94,26 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+
+
+@query
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url; a page is labelled through the document its url names by number."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read(spark, sf_dir, "labels")
+    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("label")
+    )
+    number = F.regexp_extract("url", r"://[^?#]*/([0-9]{1,18})", 1)
+    numbered = pages.withColumn("doc_id", F.when(number != "", number.cast("long")))
+    labelled = numbered.join(good, "doc_id", "left")
+    return urls.judge(labelled, URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "template", "purity"
+    )
+
+
 from auditloom.llm.oracle import ORACLE  # noqa: E402, F401
