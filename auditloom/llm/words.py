@@ -7,7 +7,7 @@ hashes everywhere.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +174,21 @@ class Shared:
         return self.levels[(names >> _U(64 - HEAVY_SLOT_BITS)).astype(np.int64)]
 
 
-def shared_names(rows: DataFrame, names_of: Callable[[pa.RecordBatch], np.ndarray]) -> Shared:
-    """Count the names (64-bit hashes) that `names_of` finds in batches of `rows`, over all rows.
+def name_filter(names: DataFrame) -> Shared:
+    """Of a table with one column of names (long): `contains` is true for each of them."""
+    return shared_names(
+        names, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64),
+        least=1, slices=lambda batch: [batch],
+    )
+
+
+def shared_names(
+    rows: DataFrame, names_of: Callable[[pa.RecordBatch], np.ndarray], least: int = 2,
+    slices: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]] = lambda batch: steps(batch, 0),
+) -> Shared:
+    """Count the names (64-bit hashes) that `names_of` finds in `slices` of `rows`, over all rows.
 
+    `contains` is true for names that occur `least` times or more.
     A task adds up the names it gathers and sends them as arrays, one per range of hashes; each range
     is counted by itself. There are four ranges per shuffle partition, so a range's size follows the
     setting of the cluster. What comes back has `SHARED_BITS` bits and one byte per heavy slot.
@@ -202,7 +214,7 @@ def shared_names(rows: DataFrame, names_of: Callable[[pa.RecordBatch], np.ndarra
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for step in steps(batch, 0):
+            for step in slices(batch):
                 held.append(names_of(step))
                 size += len(held[-1])
                 if size >= GATHERED:
@@ -222,7 +234,7 @@ def shared_names(rows: DataFrame, names_of: Callable[[pa.RecordBatch], np.ndarra
         edges = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         low, many = low[edges], np.add.reduceat(many, edges)
         flags = np.zeros(1 << (SHARED_BITS - bits), np.uint8)
-        flags[low[many > 1] >> np.uint32(32 - SHARED_BITS + bits)] = 1
+        flags[low[many >= least] >> np.uint32(32 - SHARED_BITS + bits)] = 1
         levels = np.zeros(1 << (HEAVY_SLOT_BITS - bits), np.uint8)
         heavy = many >= HEAVY
         slots = (low[heavy].astype(np.int64)) >> (32 - HEAVY_SLOT_BITS + bits)
