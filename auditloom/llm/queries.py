@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import (
-    language, lines, mixing, ngram_join, packing, quality, substrings, tokens, urls,
+    language, lines, mixing, ngram_join, packing, quality, substrings, tokens, urls, vectors,
 )
 from auditloom.session import configure
 
@@ -102,6 +102,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of near duplicates of every vector."""
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 URL_RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
