@@ -147,6 +147,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     )
 
 
+def repeated(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """The rows of `docs` as the mix takes them: none, one or several of each."""
+    mixed = mix(docs, weights, share, most)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.filter("copies > 0").select(*docs.columns, times.alias("_time")).drop("_time")
+
+
 def _few(plan: DataFrame, rows: int = 10_000) -> bool:
     """Whether a table with a row per source is safe to broadcast (under a megabyte)."""
     return len(plan.take(rows + 1)) <= rows

@@ -229,3 +229,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` that are the first of their component, by `doc_id` (null last).
+
+    Rows without words are components of their own and stay. Of rows equal in `doc_id` and `text` one
+    stays. All columns are kept.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col("_row").alias("doc_id"), "text")
+    found = near_duplicates(rows, words, percent).select(
+        F.col("doc_id").alias("_row"), "component_id"
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    ids = keyed.select("_row", "doc_id").groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.count("*").alias("times")
+    )
+    first = cut(
+        found.distinct().join(ids, "_row").groupBy("component_id")
+        .agg(F.min_by(F.struct("_row", "times"), order).alias("x")).select("x.*")
+    )
+    kept = keyed.join(first.select("_row"), "_row", "left_semi")
+    if not first.filter("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(*docs.columns)
