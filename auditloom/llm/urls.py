@@ -19,6 +19,8 @@ from auditloom.session import cut
 DEPTH, MIN_VALUES, MIN_REPEATS = 6, 8, 5
 #: Branches differ beyond this z score; weight of the corpus in smoothing; least purity.
 DIFFERENT, SMOOTHING, MIN_PURITY = 3.0, 10.0, 0.5
+#: Ranges of the share of bad labels within which branches that differ from their parent merge.
+BINS = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"://([^/?#]*)([^?#]*)"
@@ -86,8 +88,9 @@ def judged_templates(counts: DataFrame) -> DataFrame:
     """`host, path, template, class_node, purity` for rows of `host, path, n, n_good, n_bad`.
 
     From the root down, a node joins its parent's class unless its share of bad labels differs from
-    that of the parent's own node beyond `DIFFERENT`; then it starts a class. A class's purity is the
-    share of good labels, smoothed by `SMOOTHING` labels of the corpus' share.
+    that class's beyond `DIFFERENT`; such siblings form a class for each of `BINS` ranges of their
+    smoothed share. A class's purity is the share of good labels, smoothed by `SMOOTHING` labels of
+    the corpus' share.
     """
     tree = templates(counts)
     leaves = cut(
@@ -123,10 +126,17 @@ def judged_templates(counts: DataFrame) -> DataFrame:
         apart = F.abs(F.col("bad") - n * F.col("p")) > DIFFERENT * F.sqrt(
             n * F.col("p") * (1 - F.col("p"))
         )
-        known = cut(children.join(parents, ["host", "parent"]).select(
-            "host", "node",
-            F.when(apart, F.col("node")).otherwise(F.col("above")).alias("class_node"),
-            F.when(apart, rate(F.col("good"), F.col("bad"))).otherwise(F.col("p")).alias("rate"),
+        own = rate(F.col("good"), F.col("bad"))
+        side = F.least(F.floor(own * BINS), F.lit(BINS - 1))
+        judged = cut(children.join(parents, ["host", "parent"]).withColumn(
+            "class_node",
+            F.when(apart, F.concat("parent", F.lit("#"), side)).otherwise(F.col("above")),
+        ).withColumn("apart", F.coalesce(apart, F.lit(False))))
+        merged = judged.filter("apart").groupBy("host", "class_node").agg(
+            rate(F.sum("good"), F.sum("bad")).alias("rate")
+        )
+        known = cut(judged.join(merged, ["host", "class_node"], "left").select(
+            "host", "node", "class_node", F.when(F.col("apart"), F.col("rate")).otherwise(F.col("p")).alias("rate"),
         ))
         classes = classes.unionByName(known)
     placed = leaves.withColumn("node", F.element_at("nodes", -1)).join(
