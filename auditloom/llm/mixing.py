@@ -149,9 +149,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
 
 def repeated(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The rows of `docs` as the mix takes them: none, one or several of each."""
-    mixed = mix(docs, weights, share, most)
+    kept = F.struct(*docs.columns)  # whole, as the mix replaces some columns
+    mixed = mix(docs.select("doc_id", "text", "source", kept.alias("_row")), weights, share, most)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return mixed.filter("copies > 0").select(*docs.columns, times.alias("_time")).drop("_time")
+    return mixed.filter("copies > 0").select("_row", times.alias("_time")).select("_row.*")
 
 
 def _few(plan: DataFrame, rows: int = 10_000) -> bool:
