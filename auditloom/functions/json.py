@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditloom.functions.text import strip
+
+_DIGITS = [c for c in map(chr, range(sys.maxunicode)) if unicodedata.category(c) == "Nd"]
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
 
 def parse(text: Column) -> Column:
     """Variant, or null for bad JSON.
 
     `try_parse_json` ignores what follows the first value. Wrapped in brackets, exactly one
-    element must be there.
+    element must be there; with one more behind it, two. The second test fails where the text
+    closes the bracket itself.
     """
-    whole = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    def length(after: str) -> Column:
+        return F.json_array_length(F.concat(F.lit("["), text, F.lit(after + "]")))
+
+    whole = (length("") == 1) & (length(",0") == 2)
     return F.when(whole, F.try_parse_json(text))
 
 
@@ -41,5 +53,13 @@ def as_text(value: Column) -> Column:
 
 
 def as_int(value: Column) -> Column:
-    """Whole number: fractions cut off, numeric text read, anything else null."""
-    return F.try_variant_get(value, "$", "int")
+    """Whole number of 32 bits: fractions cut off, text read as `int()` does, anything else null.
+
+    Text can have white space around it, a sign, digits of any script and single `_` between them.
+    """
+    text = F.translate(strip(F.try_variant_get(value, "$", "string")), "".join(_DIGITS), _VALUES)
+    number = F.when(
+        text.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.replace(text, F.lit("_"), F.lit(""))
+    ).try_cast("int")
+    is_text = F.schema_of_variant(value) == "STRING"
+    return F.when(is_text, number).otherwise(F.try_variant_get(value, "$", "int"))

@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom import fixed
 from auditloom.functions.text import severity_rank, truncate
 from auditloom.schemas import FINDING_BODY, SNAPSHOT_KEY, STORED_FINDINGS
 
+#: Folders of the findings table.
+PARTS = 256
 _DEDUP_KEY = ["file_path", "line_start", "rule_id"]
 
 
@@ -129,18 +132,22 @@ def stored_form(kept: DataFrame, run_key: Sequence[str] = ("analysis_id",)) -> D
     )
 
 
-def append_findings(stored: DataFrame, path: str, day: str) -> None:
-    """Append a job's rows to the table at `path`, below the job's day.
+def append_findings(stored: DataFrame, path: str) -> None:
+    """Append a job's rows to the table at `path`, in `PARTS` folders by their run's id.
 
-    A repeated job finds its own rows there by id and adds none twice. Only that day is read.
+    A run's rows always go to the same folder, on whatever day, so a repeated job finds its own rows
+    there by id and adds none twice. Only the folders of the job's runs are read.
     """
     spark = stored.sparkSession
-    folder = f"{path}/day={day}"
+    part = F.pmod(F.crc32(F.col("analysis_id").cast("binary")), F.lit(PARTS)).cast("int")
+    placed = stored.select(*STORED_FINDINGS.names, part.alias("part"))
+    parts = [r["part"] for r in placed.select("part").distinct().collect()]  # at most PARTS
+    schema = T.StructType([STORED_FINDINGS["id"], T.StructField("part", T.IntegerType())])
     try:
-        known = spark.read.schema(STORED_FINDINGS).parquet(folder).select("id")
+        known = spark.read.schema(schema).parquet(path).filter(F.col("part").isin(parts))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        stored = stored.join(known, "id", "left_anti")
-    stored.select(*STORED_FINDINGS.names).write.mode("append").parquet(folder)
+        placed = placed.join(known.select("id"), "id", "left_anti")
+    placed.select(*STORED_FINDINGS.names, "part").write.mode("append").partitionBy("part").parquet(path)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom import fixed
-from auditloom.session import cut, cut_by, small
+from auditloom.session import cut, cut_by
 
 MICROS = 1_000_000
 # Requests of one client and path that one task takes at a time
@@ -51,6 +51,8 @@ def policy_table(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
     for route, _, limit, window in policies:
         if windows.setdefault(route, window) != window:
             raise ValueError(f"policies of {route} have different windows")
+        if limit < 1:
+            raise ValueError(f"the limit of {route} is {limit}; it must be 1 or more")
         lowest[route] = min(limit, lowest.get(route, limit))
     rows = ", ".join(
         f"({_quoted(route)}, {_quoted(method)}, {limit}L, {window}L, {lowest[route]}L)"
@@ -203,7 +205,7 @@ def rate_limit(
     longest = cells.groupBy(*_CLIENT, "chain").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
 
     # few cells are busy: mostly the log itself is not shuffled
-    marked = timed.join(small(cells.drop("n")), [*_CLIENT, "cell"], "left")
+    marked = timed.join(cells.drop("n"), [*_CLIENT, "cell"], "left")
     free = marked.filter(F.col("chain").isNull()).select(
         "event_id", *_CLIENT,
         F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("retry_after"),

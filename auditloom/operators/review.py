@@ -20,6 +20,7 @@ RESPONSES = T.StructType([
     T.StructField("raw_content", T.StringType()),
     T.StructField("tokens_used", T.LongType()),
     T.StructField("model", T.StringType()),
+    T.StructField("error", T.StringType()),
 ])
 
 
@@ -32,7 +33,7 @@ def pick_files(files: DataFrame, limit: int = fixed.REVIEW_FILES,
     """
     by_size = Window.partitionBy(*SNAPSHOT_KEY).orderBy(F.col("size_bytes").desc(), "file_path")
     return (
-        files.filter(is_reviewed(F.col("file_path")))
+        files.filter(is_reviewed(F.col("file_path")) & F.col("content").isNotNull())
         .select(*SNAPSHOT_KEY, "file_path", "size_bytes",
                 truncate(F.col("content"), file_chars).alias("content"))
         .withColumn("place", F.row_number().over(by_size))
@@ -127,16 +128,27 @@ def review(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """Send requests to the caller's scorer, batch by batch.
 
     The scorer takes a frame with repo, commit_sha and request and adds raw_content, tokens_used
-    and model. A batch that raises gives no responses: its snapshots keep their static findings.
+    and model. The requests of a batch that raises are sent one by one; one that raises alone has
+    a row with its `error` and no content, so its snapshot keeps its static findings.
     """
     names = RESPONSES.names
 
+    def scored(batch: pd.DataFrame) -> pd.DataFrame:
+        return scorer(batch).assign(error=None)[names]
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                scored = scorer(batch)
-            except Exception:
+                yield scored(batch)
                 continue
-            yield scored[names]
+            except Exception:
+                pass
+            for i in range(len(batch)):
+                one = batch.iloc[i : i + 1]
+                try:
+                    yield scored(one)
+                except Exception as error:
+                    text = f"{type(error).__name__}: {error}"[: fixed.ERROR_CHARS]
+                    yield one.assign(raw_content=None, tokens_used=0, model=None, error=text)[names]
 
     return requests.select(*SNAPSHOT_KEY, "request").mapInPandas(send, RESPONSES)

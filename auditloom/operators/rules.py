@@ -151,3 +151,9 @@ def files_analyzed(facts: DataFrame) -> DataFrame:
     """Files that count as analyzed, per snapshot: parsed ones and those with a syntax error."""
     files = facts.filter((F.col("kind") == "file") & (F.col("parse_status") != "error"))
     return files.groupBy("repo", "commit_sha").agg(F.count("*").alias("files_analyzed"))
+
+
+def files_failed(facts: DataFrame) -> DataFrame:
+    """Files per snapshot that could not be read or parsed for another reason than their syntax."""
+    failed = facts.filter((F.col("kind") == "file") & (F.col("parse_status") == "error"))
+    return failed.groupBy("repo", "commit_sha").agg(F.count("*").alias("failed_files"))

@@ -12,7 +12,8 @@ SECRET_ANALYZER = "secrets"
 
 # Our own patterns
 ASSIGNED = (
-    r"(?i)(password|passwd|pwd|secret|api_key|token)[\"']?\s*[:=]\s*[\"']([^\"'\s]{4,})[\"']"
+    r"(?i)(password|passwd|pwd|secret|api_key|token)[\"']?\s*(?::\s*[A-Za-z_][\w.,| \[\]]*)?"
+    r"[:=]\s*[\"']([^\"'\s]{4,})[\"']"
 )
 PROVIDER_KEY = (
     r"\b(AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{16,}"

@@ -16,7 +16,7 @@ from auditloom.operators.analyzers import Analyzer, run_analyzers
 from auditloom.operators.facts import extract_facts
 from auditloom.operators.secrets import SECRET_ANALYZER, secret_findings
 from auditloom.schemas import FILE_KEY, SNAPSHOT_KEY
-from auditloom.session import cut, small
+from auditloom.session import cut
 from auditloom.sources.tree import decoded, scanned, targeted
 
 RUN_FIELDS = ["analysis_id", "repository_id", "repo", "commit_sha"]
@@ -42,19 +42,24 @@ def audit(
     more_analyzers: tuple[Analyzer, ...] = (Analyzer(SECRET_ANALYZER, secret_findings),),
     max_snapshot_bytes: int = fixed.MAX_SNAPSHOT_BYTES,
     targets: DataFrame | None = None,
+    snapshot_sizes: DataFrame | None = None,
 ) -> Audit:
     """Audit all `runs` (analysis_id, repository_id, repo, commit_sha) together.
 
-    File contents are never shuffled while the wanted snapshots fit a broadcast. Snapshots are audited once however many runs ask for them. Every file is parsed once: facts
-    are written before rules and counters read them. A run whose commit has no files, or too many
+    Snapshots are audited once however many runs ask for them; contents are not shuffled where
+    Spark broadcasts the wanted snapshots. Every file is parsed once: facts are written before rules
+    and counters read them. A file without content counts as failed. A run whose commit has no files, or too many
     bytes, fails. With `targets` (file keys) only those files are audited.
+    `snapshot_sizes` (`size_bytes` per snapshot or file) gives the guard the whole snapshots, where
+    `source_files` has the audited files only.
     """
-    wanted = small(runs.select(*SNAPSHOT_KEY).distinct())
-    sizes = source_files.select(*SNAPSHOT_KEY, "size_bytes")
+    wanted = runs.select(*SNAPSHOT_KEY).distinct()
+    sizes = source_files if snapshot_sizes is None else snapshot_sizes
+    sizes = sizes.select(*SNAPSHOT_KEY, "size_bytes")
     guard = cut(catalog.guard_size(
         sizes.join(wanted, SNAPSHOT_KEY, "left_semi"), max_snapshot_bytes
     ))
-    allowed = small(guard.filter(~F.col("is_too_large")).select(*SNAPSHOT_KEY))
+    allowed = guard.filter(~F.col("is_too_large")).select(*SNAPSHOT_KEY)
     kept_files = source_files.join(allowed, SNAPSHOT_KEY, "left_semi")
     python = decoded(
         scanned(kept_files) if targets is None else targeted(kept_files, targets)
@@ -82,7 +87,8 @@ def audit(
     kept = findings.dedup(found)
 
     counts = findings.counts_of_raw(found)
-    metrics = _metrics(runs, guard, counts, findings.most_files(analyzed), parsed)
+    unread = rules.files_failed(facts)
+    metrics = _metrics(runs, guard, counts, findings.most_files(analyzed), unread, parsed)
     # by now the files are parsed and all findings written
     ended_at = finished_at() if callable(finished_at) else finished_at
     metrics = metrics.withColumn(
@@ -97,16 +103,19 @@ def audit(
 
 
 def _metrics(
-    runs: DataFrame, guard: DataFrame, counts: DataFrame, analyzed: DataFrame, parsed: DataFrame,
+    runs: DataFrame, guard: DataFrame, counts: DataFrame, analyzed: DataFrame,
+    unread: DataFrame, parsed: DataFrame,
 ) -> DataFrame:
     """One row per run. Each side is one row per snapshot before it is joined."""
+    failed = F.count_if(F.col("error").isNotNull()) if "error" in parsed.columns else F.lit(0)
     review = parsed.groupBy(*SNAPSHOT_KEY).agg(
+        failed.cast("long").alias("failed_reviews"),
         F.sum(F.coalesce("tokens_used", F.lit(0))).alias("tokens_used"),
         F.sum("discarded").alias("discarded"),
         F.max("summary").alias("summary"),
     )
     joined = runs.select(*RUN_FIELDS).join(guard, SNAPSHOT_KEY, "left")
-    for side in (counts, analyzed, review):
+    for side in (counts, analyzed, unread, review):
         joined = joined.join(side, SNAPSHOT_KEY, "left")
     error = (
         F.when(F.col("commit_sha").isNull(), "unknown ref")
@@ -117,7 +126,7 @@ def _metrics(
     )
     numbers = [
         "total_findings", "critical_count", "high_count", "static_count", "review_count",
-        "files_analyzed", "tokens_used", "discarded",
+        "files_analyzed", "tokens_used", "discarded", "failed_files", "failed_reviews",
     ]
     counted = joined.fillna(0, numbers).fillna("", ["summary"]).withColumn("error_message", error)
     return counted.select(
@@ -155,12 +164,12 @@ def runs_to_audit(
     return split.filter(F.col("decision") == "run").drop("decision")
 
 
-def write_audit(done: Audit, root: str, day: str, job: str) -> None:
+def write_audit(done: Audit, root: str, job: str) -> None:
     """Store a job's results; a repeated job replaces or finds its own rows.
 
     The terminal events come last: a run counts as completed when its findings are there.
     """
-    findings.append_findings(done.findings, f"{root}/findings", day)
+    findings.append_findings(done.findings, f"{root}/findings")
     done.metrics.write.mode("overwrite").parquet(f"{root}/run_metrics/job={job}")
     done.events.write.mode("overwrite").parquet(f"{root}/analysis_events/job={job}")
 
@@ -178,6 +187,6 @@ def audit_batches(
         done = audit(
             runs, source_files(), review_responses(), F.lit(started), lambda: F.lit(now()),
         )
-        write_audit(done, root, started.date().isoformat(), f"webhooks-{number}")
+        write_audit(done, root, f"webhooks-{number}")
 
     return run

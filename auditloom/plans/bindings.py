@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.session import spread
 
 BINDINGS: dict[str, str] = {}
 
@@ -92,7 +91,7 @@ BINDINGS["review_responses"] = """
 SELECT o_orderkey AS k, concat('r', cast(o_custkey AS string)) AS repo,
        concat(md5(cast(o_orderkey AS string)), '00000000') AS commit_sha,
        concat(CASE WHEN o_orderkey % 4 = 0 THEN concat('```json', chr(10)) ELSE '' END,
-         CASE WHEN o_orderkey % 10 = 0 THEN 'no json' ELSE concat(
+         CASE WHEN o_orderkey % 20 = 0 THEN 'no json' WHEN o_orderkey % 20 = 10 THEN '{"findings":[],"summary":"s"}]' ELSE concat(
            '{"findings":[{"category":"', CASE o_orderkey % 6 WHEN 0 THEN 'bogus' WHEN 1 THEN 'SECURITY' ELSE 'quality' END,
            '","severity":"', CASE WHEN o_orderkey % 5 = 0 THEN 'ultra' ELSE 'high' END,
            '","title":"t', cast(o_orderkey AS string), '","description":"d","file_path":"f.py"',
@@ -113,7 +112,7 @@ BINDINGS["webhooks"] = """
 SELECT event_id, ts AS received_at,
        CASE event_type WHEN 'view' THEN 'ping' WHEN 'signup' THEN 'pull_request' ELSE 'push' END AS event,
        CASE event_id % 29 WHEN 0 THEN 'missing' WHEN 1 THEN 'malformed' WHEN 2 THEN 'wrong' ELSE 'valid' END AS sig_mode,
-       CASE WHEN event_id % 17 = 0 THEN '{not json'
+       CASE WHEN event_id % 34 = 0 THEN '{not json' WHEN event_id % 17 = 0 THEN '{"after":"x"}]'
             WHEN event_id % 19 = 0 THEN '{"after":"x"}'
             ELSE concat('{"repository":{"html_url":"https://github.com/org', cast((user_id * 20) % 25 AS string), '/repo', cast(user_id * 20 AS string), '"},',
               CASE WHEN event_type = 'signup'
@@ -201,6 +200,14 @@ EVEN = {
 }
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a test table a partition per core when its files have fewer row groups."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def table(spark: SparkSession, folder: str, name: str, even: bool = False) -> DataFrame:
     """A driver table; with `even`, read by every core also where it is one row group."""
     scan = spark.read.parquet(f"{folder}/{name}.parquet")

@@ -405,12 +405,12 @@ SELECT doc_id, length(t) > {fixed.INPUT_CHARS} AS is_rejected,
 FROM (SELECT doc_id, concat(regexp_replace(text, '^\\s+', ''), chr(9), ' end') AS t
       FROM documents) AS cleaned""")
 
-_BLOCKS = """string_agg(concat(chr(10), '--- ARCHIVO: ', safe_path, ' ---', chr(10), '```python', chr(10),
+_BLOCKS = """string_agg(concat(chr(10), '=== file ', safe_path, ' ===', chr(10), '```python', chr(10),
        content, chr(10), '```', chr(10)), '' ORDER BY place)"""
 _ASSEMBLE = f"""
 requests AS (
   SELECT repo, commit_sha, count(*) AS file_count,
-         concat('Analiza el siguiente código del repositorio ''', repo, ''':', chr(10), {_BLOCKS},
+         concat('Review the code below. Repository: ', repo, chr(10), {_BLOCKS},
                 {quoted(fixed.REQUEST_FOOTER)}) AS request
   FROM budgeted GROUP BY repo, commit_sha)"""
 _REQUESTS = _kept_files(fixed.REVIEW_MAX_CHARS) + "," + _ASSEMBLE
@@ -420,8 +420,11 @@ SELECT repo, file_count, md5(request) AS request_md5, length(request) AS chars F
 
 add("review_scored", """
 SELECT repo, commit_sha,
-       concat('{"findings":[],"summary":"', cast(length(request) AS string), ' chars"}') AS raw_content,
-       length(request) // 4 AS tokens_used, 'fake' AS model
+       CASE WHEN length(request) % 2 = 1 THEN
+         concat('{"findings":[],"summary":"', cast(length(request) AS string), ' chars"}') END AS raw_content,
+       CASE WHEN length(request) % 2 = 1 THEN length(request) // 4 ELSE 0 END AS tokens_used,
+       CASE WHEN length(request) % 2 = 1 THEN 'fake' END AS model,
+       CASE WHEN length(request) % 2 = 0 THEN 'ValueError: even' END AS error
 FROM requests""", "corpus", steps=_REQUESTS)
 
 _ANSWERED, _GOOD = "k % 10 <> 0", "k % 10 <> 0 AND k % 6 <> 0 AND k % 5 <> 0 AND k % 7 <> 0"
@@ -454,6 +457,7 @@ SELECT r.analysis_id, r.repository_id, r.repo, r.commit_sha,
        cast(h.total IS NOT NULL AS bigint) AS review_count, coalesce(f.n, 0) AS files_analyzed,
        cast(coalesce(length(q.request) // 4, 0) AS bigint) AS tokens_used,
        cast(h.total IS NOT NULL AS bigint) AS discarded,
+       cast(0 AS bigint) AS failed_files, cast(0 AS bigint) AS failed_reviews,
        CASE WHEN h.total IS NOT NULL THEN 's' ELSE '' END AS summary,
        CASE WHEN h.total IS NULL THEN 'no files for this commit' END AS error_message,
        CASE WHEN h.total IS NULL THEN 'failed' ELSE 'completed' END AS status,

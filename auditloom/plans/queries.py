@@ -482,8 +482,10 @@ def review_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fake_scorer(requests: pd.DataFrame) -> pd.DataFrame:
-    """Stands in for a model: reports the size of the request."""
+    """Stands in for a model: reports the size of the request, and fails on even sizes."""
     size = requests["request"].str.len()
+    if (size % 2 == 0).any():
+        raise ValueError("even")
     return requests.assign(
         raw_content='{"findings":[],"summary":"' + size.astype(str) + ' chars"}',
         tokens_used=size // 4,

@@ -9,7 +9,6 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import auditloom
@@ -69,22 +68,3 @@ def cut_by(df: DataFrame, column: str) -> DataFrame:
     df.write.partitionBy(column).parquet(path)
     kept = [f for f in df.schema.fields if f.name != column]
     return spark.read.schema(T.StructType([*kept, df.schema[column]])).parquet(path)
-
-
-def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Mark a table of short keys for broadcast if it has no more than `max_rows` rows.
-
-    A larger one is left to a shuffle join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give a scanned table a partition per core when its files have fewer row groups.
-
-    For plain scans only: asking for the partitions of a joined table would run the join.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *keys)

@@ -55,15 +55,22 @@ def rate_limit_stream(
     """Decisions for a stream of requests that arrives in time order.
 
     Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`). The source's
-    rate option bounds what one client can have in a batch. Requests without a policy pass.
+    rate option bounds what one client can have in a batch. Requests without a policy pass and
+    are not counted.
     """
     timed = apply_policies(log, policies).select(
-        "event_id", "path", "client_ip",
-        F.coalesce("max_requests", F.lit(2**31 - 1)).alias("max_requests"),
+        "event_id", "path", "client_ip", "max_requests",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        (F.coalesce("window_s", F.lit(0)) * MICROS).alias("window_us"),
+        (F.col("window_s") * MICROS).alias("window_us"),
     )
-    return timed.groupBy("path", "client_ip").transformWithStateInPandas(
+    decided = timed.filter("max_requests IS NOT NULL").groupBy("path", "client_ip")
+    limited = decided.transformWithStateInPandas(
         statefulProcessor=_Limiter(), outputStructType=DECISIONS,
         outputMode="Append", timeMode="None",
     )
+    # neither state nor quota
+    free = timed.filter("max_requests IS NULL").select(
+        "event_id", "path", "client_ip", F.lit(True).alias("accepted"),
+        F.lit(None).cast("long").alias("retry_after"),
+    )
+    return limited.unionByName(free)

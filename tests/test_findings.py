@@ -152,9 +152,9 @@ def test_append_is_repeatable(spark, tmp_path):
     })
     stored = findings.stored_form(full)
     path = str(tmp_path / "findings")
-    findings.append_findings(stored.limit(10), path, "2024-05-01")
-    findings.append_findings(stored, path, "2024-05-01")
-    findings.append_findings(stored, path, "2024-05-01")
+    findings.append_findings(stored.limit(10), path)
+    findings.append_findings(stored, path)
+    findings.append_findings(stored, path)
     table = spark.read.parquet(path)
     assert table.count() == kept.count() == table.select("id").distinct().count()
     assert table.agg(F.max(F.length("title"))).first()[0] == 300

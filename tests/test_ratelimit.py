@@ -20,7 +20,7 @@ LOG = "event_id long, route string, method string, path string, client_ip string
 
 
 def some_log(n=1500, seed=3, hot=0.4):
-    """Quiet clients, one that never stops, and a route without a policy."""
+    """Quiet clients, one that never stops, a route and a method without a policy."""
     draw = random.Random(seed)
     rows = []
     for i in range(n):
@@ -30,7 +30,7 @@ def some_log(n=1500, seed=3, hot=0.4):
             path = draw.choice(["/a", "/b", "/free"])
             client = draw.choice([None, *(f"c{i}" for i in range(8))])
             second = draw.choice([draw.uniform(0, 4000), 60 * draw.randrange(60)])
-        method = draw.choice(["GET", "POST"]) if path == "/a" else "GET"
+        method = draw.choice(["GET", "POST", "OPTIONS"]) if path == "/a" else "GET"
         rows.append((i, path, method, path, client, START + timedelta(seconds=round(second, 3))))
     return rows
 
@@ -137,6 +137,8 @@ def test_policies():
     assert len(fixed.ROUTE_POLICIES) == 10
     with pytest.raises(ValueError, match="different windows"):
         ratelimit.policy_table(None, [("/a", "GET", 1, 10), ("/a", "POST", 1, 20)])
+    with pytest.raises(ValueError, match="1 or more"):
+        ratelimit.policy_table(None, [("/a", "GET", 0, 10)])
 
 
 def test_stream_equals_batch_over_a_restart(spark, tmp_path):

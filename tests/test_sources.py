@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from auditloom.functions import paths, text
+from auditloom.operators import rules
+from auditloom.operators.facts import extract_facts
 from auditloom.sources import tree
 from auditloom.sources.tables import read_table
 
@@ -29,11 +33,27 @@ def test_empty_tree(spark, tmp_path):
     assert tree.read_contents(tree.list_tree(spark, str(tmp_path))).count() == 0
 
 
-def test_listing_tasks_are_bounded(tmp_path):
-    for i in range(10):
-        (tmp_path / "o" / "r" / "c" / f"d{i}").mkdir(parents=True)
-    parts = tree._TreeReader(str(tmp_path), 3).partitions()
-    assert sorted(len(p.entries) for p in parts) == [3, 3, 4]
+def test_tree_of_odd_files(spark, tmp_path):
+    root, base = tmp_path / "root", tmp_path / "root" / "o" / "r" / "c"
+    (base / "src").mkdir(parents=True)
+    (tmp_path / "outside.py").write_text("password = 'hunter2xyz'")
+    (base / "src" / "a.py").write_text("x = 1\n")
+    (base / "data.bin").write_bytes(b"1234567890")
+    os.symlink("a.py", base / "src" / "inside.py")
+    os.symlink("nowhere.py", base / "src" / "dangling.py")
+    os.symlink(tmp_path / "outside.py", base / "src" / "leaves.py")
+    os.symlink(tmp_path, base / "folder.py")
+    with open(os.path.join(os.fsencode(base), b"odd\xff.py"), "wb") as file:
+        file.write(b"y = 2\n")
+    listing = tree.list_files(spark, str(root), 3).cache()
+    assert tree.snapshot_bytes(listing).first().size_bytes == 28  # the link inside counts, too
+    rows = tree.decoded(tree.read_contents(tree.list_tree(spark, str(root), 3), 2)).collect()
+    assert {r.file_path: r.content for r in rows} == {
+        "src/a.py": "x = 1\n", "src/inside.py": "x = 1\n", "src/dangling.py": None,
+        "src/leaves.py": None, "folder.py": None, "odd\ufffd.py": "y = 2\n",
+    }
+    facts = extract_facts(tree.decoded(tree.read_contents(tree.list_tree(spark, str(root), 3), 2)))
+    assert rules.files_failed(facts).first().failed_files == 3
 
 
 def test_decode(spark):
