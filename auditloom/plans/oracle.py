@@ -163,6 +163,30 @@ FROM (SELECT c.analysis_id, c.repository_id, coalesce(c.requested, 'HEAD') AS re
                     AND refs.ref = coalesce(c.requested, 'main')
       WHERE {_VALID}) AS resolved""", "commit_requests", "refs")
 
+add("runs_to_audit", f"""
+SELECT analysis_id, repository_id, ref, sha AS commit_sha
+FROM (SELECT c.analysis_id, c.repository_id, coalesce(c.requested, 'HEAD') AS ref,
+             CASE WHEN length(c.requested) = 40 THEN lower(c.requested) ELSE refs.sha END AS sha
+      FROM commit_requests AS c
+      LEFT JOIN refs ON refs.repository_id = c.repository_id
+                    AND refs.ref = coalesce(c.requested, 'main')
+      WHERE {_VALID}) AS resolved
+WHERE NOT EXISTS (
+  SELECT 1 FROM analyses AS f
+  WHERE f.repository_id = resolved.repository_id AND f.commit_sha = resolved.sha
+    AND f.status = 'completed' AND f.completed_at <= timestamp '{q.AS_OF}'
+    AND f.completed_at > timestamp '{q.AS_OF}' - interval '1' day)""",
+    "commit_requests", "refs", "analyses")
+
+add("public_repositories", """
+SELECT id, github_url, full_name, default_branch, is_active, epoch_us(created_at) AS created_at
+FROM repositories WHERE is_active""", "repositories")
+
+add("unique_emails", """
+SELECT concat(owner_id, '@example.com') AS email, min(request_id) AS request_id
+FROM registrations WHERE owner_id NOT IN (SELECT id FROM users WHERE is_active)
+GROUP BY owner_id""", "registrations", "users")
+
 add("create_analyses", f"""
 SELECT analysis_id, repository_id, coalesce(requested, 'HEAD') AS commit_sha, triggered_by,
        'pending' AS status, epoch_us(created_at) AS event_us
@@ -265,9 +289,9 @@ _EXPECTED = {
 }
 
 
-def _expected(rule: tuple) -> str:
+def _expected(rule: tuple, table: dict = _EXPECTED) -> str:
     rule_id, category, severity, title, description, _ = rule
-    when, first, last, name, detail, limit = _EXPECTED[rule_id]
+    when, first, last, name, detail, limit = table[rule_id]
 
     def fill(text: str) -> str:
         filled = quoted(text)
@@ -290,6 +314,19 @@ SELECT repo, rule_id, severity, count(*) AS findings, count(DISTINCT file_path)
 FROM ({" UNION ALL ".join(_expected(rule) for rule in RULES[:8])}) AS hits
 GROUP BY repo, rule_id, severity""", "source_files", steps=_LAYOUT)
 
+_LOWER = {
+    "AST-A001": (f"{_LENGTH} > {q.LOW_LINES}", "def", "last_line", "fn", _LENGTH, str(q.LOW_LINES)),
+    "AST-Q005": (f"{_COMPLEXITY} > {q.LOW_COMPLEXITY}", "def", "last_line", "fn", _COMPLEXITY,
+                 str(q.LOW_COMPLEXITY)),
+}
+add("rule_thresholds", " UNION ALL ".join(
+    _expected(rule, _LOWER) for rule in RULES[:8] if rule[0] in _LOWER
+), "source_files", steps=_LAYOUT)
+
+add("audit_errors", """
+SELECT repo, commit_sha, count(*) AS failed_files FROM source_files WHERE k % 10 = 3
+GROUP BY repo, commit_sha""", "source_files")
+
 add("files_analyzed", """
 SELECT repo, commit_sha, count(*) AS files_analyzed FROM source_files GROUP BY repo, commit_sha""",
     "source_files")

@@ -15,9 +15,11 @@ from auditloom.operators import (
     webhooks,
 )
 from auditloom.plans.audit import audit
+from auditloom.plans.audit import runs_to_audit as to_audit
 from auditloom.plans.bindings import bind, table
 from auditloom.schemas import FILE_KEY, SNAPSHOT_KEY
 from auditloom.session import configure, cut
+from auditloom.sources import tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +37,7 @@ DAY_POLICIES = [
 ]
 LISTING_PAGE, LISTING_SIZE = 2, 5
 SIZE_LIMIT = 60_000
+LOW_LINES, LOW_COMPLEXITY = 5, 3
 BUDGET_CHARS = 2500
 
 
@@ -313,11 +316,9 @@ def source_targets(spark: SparkSession, folder: str) -> DataFrame:
     clone = bind(spark, folder, "clone_paths").withColumn(
         "file_path", paths.relative_to(F.col("abs_path"), F.col("root"))
     )
-    targets = bind(spark, folder, "target_paths")
-    return (
-        clone.filter(F.col("file_path").endswith(".py"))
-        .join(targets, "k", "left_semi").select("k", "file_path")
-    )
+    files = clone.withColumns({"repo": F.col("k").cast("string"), "commit_sha": F.lit("c")})
+    targets = files.join(bind(spark, folder, "target_paths"), "k", "left_semi")
+    return tree.targeted(files, targets).select("k", "file_path")
 
 
 @query
@@ -364,6 +365,29 @@ def rule_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def rule_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    """The two rules with limits, under lower ones."""
+    found = rules.rule_findings(
+        facts.extract_facts(bind(spark, folder, "source_files")), LOW_LINES, LOW_COMPLEXITY
+    )
+    return _longs(found, "line_start", "line_end").filter(
+        F.col("rule_id").isin("AST-A001", "AST-Q005")
+    ).select(
+        "repo", "commit_sha", "file_path", "line_start", "line_end", "rule_id", "category",
+        "severity", "title", "description",
+    )
+
+
+@query
+def audit_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Files without content, as a tree gives them for what it cannot read."""
+    files = bind(spark, folder, "source_files").withColumn(
+        "content", F.when(F.col("k") % 10 != 3, F.col("content"))
+    )
+    return rules.files_failed(facts.extract_facts(files))
+
+
 @query
 def files_analyzed(spark: SparkSession, folder: str) -> DataFrame:
     return rules.files_analyzed(facts.extract_facts(bind(spark, folder, "source_files")))
@@ -606,6 +630,43 @@ def webhook_queue(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def runs_to_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Requested commits, resolved, without a fresh result."""
+    checked = bind(spark, folder, "commit_requests").withColumn(
+        "c", catalog.requested_commit(F.col("requested"))
+    )
+    valid = checked.filter("c.is_valid").select("analysis_id", "repository_id", "c.ref")
+    analyses = bind(spark, folder, "analyses").withColumn(
+        "completed_at", F.col("completed_at").cast("timestamp")
+    )
+    found = to_audit(
+        valid, bind(spark, folder, "refs"), bind(spark, folder, "repositories"), analyses,
+        F.lit(AS_OF).cast("timestamp"),
+    )
+    return found.select("analysis_id", "repository_id", "ref", "commit_sha")
+
+
+@query
+def public_repositories(spark: SparkSession, folder: str) -> DataFrame:
+    active = catalog.active_repositories(bind(spark, folder, "repositories"))
+    return catalog.public(active, catalog.REPOSITORY_FIELDS).withColumn(
+        "created_at", F.unix_micros(F.col("created_at").cast("timestamp"))
+    )
+
+
+@query
+def unique_emails(spark: SparkSession, folder: str) -> DataFrame:
+    """The first registration of each email that no user has."""
+    rows = bind(spark, folder, "registrations").select(
+        F.concat("owner_id", F.lit("@example.com")).alias("email"), "request_id"
+    )
+    users = bind(spark, folder, "users").filter("is_active").select(
+        F.concat("id", F.lit("@example.com")).alias("email")
+    )
+    return catalog.first_of_key(rows, "email", ["request_id"], users)
+
+
 @query
 def incremental_audit(spark: SparkSession, folder: str) -> DataFrame:
     queued = webhooks.queued_analyses(_routed(spark, folder))
