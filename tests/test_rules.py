@@ -22,20 +22,20 @@ def found(files, max_lines=5, max_complexity=3):
 
 CASES = {
     "long function": ("""
-        def long_function():
-            a = 1
-            b = 2
-            c = 3
-            d = 4
-            e = 5
-            return a
+        def brew():
+            heat()
+            grind()
+            pour()
+            wait()
+            stir()
+            return cup()
         """, "AST-A001", "medium", "architecture", 1),
-    "short function": ("def short():\n    return 42\n", "AST-A001", None, None, 0),
+    "short function": ("def sip():\n    return drop()\n", "AST-A001", None, None, 0),
     "no docstring": ("def public(x: int) -> int:\n    return x\n", "AST-Q002", "low", "quality", 1),
     "private": ("def _private(x):\n    return x\n", "AST-Q002", None, None, 0),
     "docstring": ('def f(x: int) -> int:\n    """Doc."""\n    return x\n', "AST-Q002", None, None, 0),
-    "no hints": ('def f(name, age):\n    """D."""\n    return 1\n', "AST-Q003", "low", "quality", 1),
-    "hints": ('def f(a: str) -> str:\n    """D."""\n    return a\n', "AST-Q003", None, None, 0),
+    "no hints": ('def mix(milk, tea):\n    """D."""\n    return tea\n', "AST-Q003", "low", "quality", 1),
+    "hints": ('def cool(cup: int) -> float:\n    """D."""\n    return cup / 2\n', "AST-Q003", None, None, 0),
     "self is skipped": ("class A:\n    def f(self) -> int: return 1\n", "AST-Q003", None, None, 0),
     "cls is not": ("class A:\n    def f(cls) -> int: return 1\n", "AST-Q003", "low", "quality", 1),
     "init needs no result": ("class A:\n    def __init__(self): pass\n", "AST-Q003", None, None, 0),
