@@ -24,7 +24,7 @@ LINKS, UPPER_LINKS, BUILD_BEAM, STEP = 24, 12, 48, 1024
 #: Beam of the first search, recall that an audit asks for, and vectors that it compares in full.
 BEAM, RECALL, AUDITED = 32, 0.99, 512
 #: Shards at least, vectors of a shard at most, queries of one search task.
-SHARDS, SHARD_SIZE, BLOCK = 4, 500_000, 16_384
+SHARDS, SHARD_SIZE, BLOCK = 4, 100_000, 16_384
 #: Nodes a beam expands at once, and what rounding to single precision may hide.
 EXPANDED, SLACK = 4, 1e-4
 #: How far below the threshold a search still follows links.
