@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ WORDS, PERCENT, MATCHES = 5, 75, (1, 2, 4, 8, 16)
 #: Estimated cost of verifying a pair, per n-gram, against 1 for a look-up; occurrences assumed for
 #: an n-gram that is shared, but not heavy.
 VERIFY_COST, LIGHT = 0.1, 3.0
-#: Rounds that link documents to leaders before the remaining pairs are joined.
-LEADER_ROUNDS = 3
+#: Classes that one task compares with as many others.
+BLOCK = 512
 
 _U = np.uint64
 
@@ -144,14 +145,13 @@ def _alike(percent: int, one: str, other: str):
     return F.expr(f"100 * least({one}, {other}) >= {percent} * greatest({one}, {other})")
 
 
-def _leaders(postings: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each class with the leader it shares most n-grams with, of those in another component.
+def _leaders(postings: DataFrame, percent: int) -> DataFrame:
+    """`a, b`: each class `b` with the leader `a` it shares most n-grams with.
 
-    The leader of an n-gram is first the class with the most popular n-grams, later any one. Only one
-    row per n-gram is looked up, so a hot n-gram costs as much as its rows.
+    The leader of an n-gram is the class with the most popular n-grams that has it. Only one row per
+    n-gram is looked up, so a hot n-gram costs as much as its rows.
     """
-    order = F.struct(F.col("popular") if not turn else F.xxhash64("cls", F.lit(turn)),
-                     "cls", "component", "n")
+    order = F.struct("popular", "cls", "component", "n")
     leader = postings.groupBy("gram").agg(F.max(order).alias("top"), F.count("*").alias("k"))
     met = (
         postings.alias("p").join(leader.filter("k > 1").alias("l"), "gram")
@@ -162,45 +162,104 @@ def _leaders(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
 
+def _overlaps(own: list[np.ndarray], others: list[np.ndarray]):
+    """For each set of `own`, how many grams it shares with each of `others`."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    grams = np.concatenate(others)
+    member = np.repeat(np.arange(len(others)), sizes)
+    order = np.argsort(grams, kind="stable")
+    grams, member = grams[order], member[order]
+    for x in own:
+        low, high = np.searchsorted(grams, x, "left"), np.searchsorted(grams, x, "right")
+        count = high - low
+        spot = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        yield np.bincount(member[np.repeat(low, count) + spot], minlength=len(others)), sizes
+
+
+def _links_by_leader(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of one leader that are still in different components.
+
+    `placed` has `cls, component, leader`. Only classes outside the leader's component ask; they are
+    compared with all of their leader's classes, in blocks of at most about `BLOCK` each.
+    """
+    main = placed.filter("cls = leader").select("leader", F.col("component").alias("main"))
+    asked = placed.join(main, "leader").withColumn("asks", F.col("component") != F.col("main"))
+    sizes = asked.groupBy("leader").agg(
+        F.count("*").alias("k"), F.count_if("asks").alias("o")
+    ).filter("o > 0").select(
+        "leader", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"),
+        F.ceil(F.col("o") / BLOCK).cast("int").alias("turns"),
+    )
+    spread = asked.join(sizes, "leader").withColumns({
+        "part": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"),
+        "turn": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns")).cast("int"),
+    })
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    kind = "array<struct<part: int, turn: int, asks: boolean>>"
+    compared = F.transform(count("turns"), lambda t: F.struct("part", t, F.lit(False))).cast(kind)
+    asking = F.transform(count("parts"), lambda p: F.struct(p, "turn", F.lit(True))).cast(kind)
+    some = F.when(F.col("asks"), F.concat(compared, asking)).otherwise(compared)
+    roles = spread.select("leader", "cls", "component", F.inline(some))
+    rows = roles.join(sets.select("cls", "ngrams"), "cls")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["asks"].to_numpy(bool)
+        read = lambda x: [np.frombuffer(b, np.uint64) for b in x["ngrams"]]
+        one, other = group[asks], group[~asks]
+        a, b = [], []
+        if len(one) and len(other):
+            cls, component = other["cls"].to_numpy(), other["component"].to_numpy()
+            for own, home, x, (common, sizes) in zip(
+                one["cls"], one["component"], read(one), _overlaps(read(one), read(other))
+            ):
+                hit = (100 * common >= percent * (len(x) + sizes - common)) & (component != home)
+                _, first = np.unique(component[hit], return_index=True)
+                b += cls[hit][first].tolist()  # one link into each component suffices
+                a += [own] * len(first)
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return cut(rows.groupBy("leader", "part", "turn").applyInPandas(run, "a long, b long"))
+
+
 def link_classes(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`id, component` of all linked classes; `reps` has one row per class with a prefix.
 
-    Classes are first linked to leaders, in linear rounds. Then all pairs of classes that are still in
-    different components are joined, so no link is lost, while a large group of copies, long in
-    one component by then, is not expanded into its pairs.
+    Classes are first linked to the leader with which they share most n-grams, a linear round. Classes of
+    one leader that are then still in different components are compared in blocks, and those of
+    different leaders are joined by the n-grams of their prefixes. So no link is lost, while a large
+    group of copies is not expanded into its pairs.
     """
     grams = reps.select("cls", "n", "matches", "popular", F.explode("grams").alias("gram"))
-    links = found = None
-
-    def placed() -> DataFrame:
-        if found is None:
-            return grams.withColumn("component", F.col("cls"))
-        own = found.withColumnRenamed("id", "cls")
-        return grams.join(own, "cls", "left").withColumn(
-            "component", F.coalesce("component", "cls")
-        )
-
-    for turn in range(LEADER_ROUNDS):
-        more = verified(_leaders(placed(), turn, percent), reps, percent)
-        if more.isEmpty():
-            continue
-        links = more if links is None else links.unionByName(more)
-        found = components(links)
-    postings = cut(placed())
+    led = cut(_leaders(grams.withColumn("component", F.col("cls")), percent))
+    links = verified(led, reps, percent)
+    found = components(links).withColumnRenamed("id", "cls")
+    placed = cut(
+        reps.select("cls").join(found, "cls", "left")
+        .join(led.select(F.col("b").alias("cls"), F.col("a").alias("leader")), "cls", "left")
+        .select("cls", F.coalesce("component", "cls").alias("component"),
+                F.coalesce("leader", "cls").alias("leader"))
+    )
+    # a leader belongs to its own classes, too
+    own = placed.unionByName(
+        placed.filter("cls <> leader").withColumn("leader", F.col("cls"))
+    )
+    own = own.join(placed.select("leader").distinct(), "leader", "left_semi")
+    links = links.unionByName(_links_by_leader(own, reps, percent))
+    postings = cut(grams.join(placed, "cls"))
     several = postings.groupBy("gram").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low <> high").select("gram")
+        F.min("component").alias("a"), F.max("component").alias("b"),
+        F.min("leader").alias("x"), F.max("leader").alias("y"),
+    ).filter("a <> b AND x <> y").select("gram")
     open_ = postings.join(several, "gram")
     pairs = (
         open_.alias("a").join(open_.alias("b"), "gram")
-        .filter("a.cls < b.cls AND a.component <> b.component")
+        .filter("a.cls < b.cls AND a.component <> b.component AND a.leader <> b.leader")
         .filter(_alike(percent, "a.n", "b.n"))
         .groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
         .agg(F.count("*").alias("k"), F.min(F.least("a.matches", "b.matches")).alias("least"))
         .filter("k >= least").select("a", "b")
     )
-    rest = verified(pairs, reps, percent)
-    return components(rest if links is None else links.unionByName(rest))
+    return components(links.unionByName(verified(pairs, reps, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
