@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from auditloom.session import cut
 
 WINDOW = 50
 #: Rounds: what is joined, and the most words that a new symbol may stand for.
-ROUNDS = (("run", 4), ("pair", 4), ("pair", 4), ("pair", 8))
+ROUNDS = (("run", 2), ("pair", 2), ("pair", 4), ("pair", 4), ("pair", 8))
 #: Words from a sequence's end within which its symbols depend on what lies beyond: each round adds
 #: the length of one of its symbols.
 MARGIN = sum(most for _, most in ROUNDS)
@@ -111,15 +112,12 @@ FOUND = (
 )
 
 
-def _windows(docs: DataFrame, symbols: Shared, repeats: Shared, window: int) -> DataFrame:
+def _windows(docs: DataFrame, symbols: Broadcast, repeats: Shared, window: int) -> DataFrame:
     """One row of `FOUND` per document; `text`, `at` and `names` are null without a repeated window."""
-    table = docs.sparkSession.sparkContext.broadcast(
-        (symbols.bits, symbols.levels, repeats.bits, repeats.levels)
-    )
+    table = docs.sparkSession.sparkContext.broadcast((repeats.bits, repeats.levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, levels, more_bits, more_levels = table.value
-        known, twice = Shared(bits, levels), Shared(more_bits, more_levels)
+        known, twice = Shared(*symbols.value), Shared(*table.value)
         for batch in batches:
             for step in steps(batch, 1):
                 words = _Words(step.column(1))
@@ -146,6 +144,31 @@ def _windows(docs: DataFrame, symbols: Shared, repeats: Shared, window: int) ->
     return docs.mapInArrow(run, FOUND)
 
 
+def _names(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """`doc_id, name` of the windows of `found` whose row is in `rows`, and perhaps of others."""
+    def numbers(batch: pa.RecordBatch) -> np.ndarray:
+        return mix(batch.column(0).to_numpy().astype(np.uint64))
+
+    wanted = shared_names(rows, numbers, least=1, slices=lambda batch: [batch])
+    table = found.sparkSession.sparkContext.broadcast((wanted.bits, wanted.levels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shared(*table.value)
+        for batch in batches:
+            batch = batch.filter(pa.array(known.contains(numbers(batch))))
+            for at in range(0, batch.num_rows, 256):
+                _, doc_id, name = batch.slice(at, 256).columns
+                sizes = np.diff(name.offsets.to_numpy())
+                names, sizes = distinct(name.flatten().to_numpy().view(np.uint64), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                     pa.array(names.view(np.int64))],
+                    ["doc_id", "name"],
+                )
+
+    return found.mapInArrow(run, "doc_id long, name long")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """`doc_id, n_words, n_removed, kept_sha256` for each row of `docs` (`doc_id, text`).
 
@@ -178,50 +201,48 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
 
     repeats = shared_names(texts, windows_of)
     found = cut(
-        _windows(plain, symbols, repeats, window).withColumn("row", F.monotonically_increasing_id())
+        _windows(plain, table, repeats, window).withColumn("row", F.monotonically_increasing_id())
     )
-    # a copy of a whole smaller document loses every word and needs no windows
+    # a copy of a whole smaller document loses every word; its windows can be left out
     open_ = found.filter("at IS NOT NULL AND doc_id IS NOT NULL")
     least = open_.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"))
     copies = cut(
         open_.select("row", "doc_id", "whole", "n_words").join(least, ["whole", "n_words"])
-        .select("row", (F.col("doc_id") > F.col("first")).alias("copy"))
-    )
-    windows = (
-        open_.select("row", "doc_id", "at", "names")
-        .join(copies.filter("NOT copy").select("row"), "row")
-        .select("row", "doc_id", F.explode(F.arrays_zip("at", "names")).alias("w"))
-        .select("row", "doc_id", "w.at", F.col("w.names").alias("name"))
+        .select("row", "doc_id", "whole", (F.col("doc_id") > F.col("first")).alias("copy"))
     )
-    first = windows.groupBy("name").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
-    ).filter("first < last").drop("last")
-    hits = windows.join(first, "name").filter("doc_id > first").groupBy("row").agg(
-        F.collect_list("at").alias("gone")  # at most the words of one document
+    names = _names(open_.select("row", "doc_id", "names"), copies.filter("NOT copy").select("row"))
+    # windows that stay: the least document's own, in all its rows
+    first = names.groupBy("name").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(
+        F.collect_list("name").alias("own")  # at most the windows of one document
     )
+    copied = copies.filter("copy").groupBy("doc_id").agg(F.collect_set("whole").alias("copied"))
     changed = (
-        found.filter("text IS NOT NULL").select("row", "doc_id", "n_words", "kept_sha256", "text")
-        .join(copies, "row", "left").join(hits, "row", "left")
+        found.filter("text IS NOT NULL")
+        .select("doc_id", "n_words", "kept_sha256", "whole", "text", "at", "names")
+        .join(copied, "doc_id", "left").join(first, "doc_id", "left")  # texts move once
+        .withColumn("copy", F.coalesce(F.array_contains("copied", F.col("whole")), F.lit(False)))
     )
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_id, n_words, sha, text, copy, gone = batch.columns
+            doc_id, n_words, sha, text, at, names, copy, own = batch.columns
             removed, kept_sha, kept_text = [], [], []
             for i, (t, c) in enumerate(zip(text.cast(pa.binary()), copy)):
-                if not c.as_py() and not gone[i].is_valid:
-                    removed.append(0)
-                    kept_sha.append(sha[i].as_py())
-                    kept_text.append(None)
-                    continue
                 words = t.as_py().split()
                 stay = np.zeros(len(words), bool)
                 if not c.as_py():
-                    at = gone[i].values.to_numpy()
+                    place = at[i].values.to_numpy()
+                    if own[i].is_valid:
+                        place = place[~np.isin(names[i].values.to_numpy(), own[i].values.to_numpy())]
+                    if not len(place) or not doc_id[i].is_valid:
+                        removed.append(0)
+                        kept_sha.append(sha[i].as_py())
+                        kept_text.append(None)
+                        continue
                     edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + window, -1)
+                    np.add.at(edges, place, 1)
+                    np.add.at(edges, place + window, -1)
                     stay = np.cumsum(edges)[:-1] == 0
                 left = [w for w, s in zip(words, stay) if s]
                 removed.append(len(words) - len(left))
@@ -232,7 +253,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
                 pa.array(kept_text, pa.string()),
             ], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    done = changed.select("doc_id", "n_words", "kept_sha256", "text", "copy", "gone").mapInArrow(remove, out)
+    done = changed.select(
+        "doc_id", "n_words", "kept_sha256", "text", "at", "names", "copy", "own"
+    ).mapInArrow(remove, out)
     same = found.filter("text IS NULL").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
         F.lit(None).cast("string").alias("kept_text"),
