@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditloom.llm import (
     language, lines, mixing, ngram_join, packing, quality, substrings, tokens, urls, vectors,
 )
-from auditloom.session import configure
+from auditloom.llm.worker import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,8 +22,7 @@ def query(function: Query) -> Query:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query

@@ -1,13 +1,26 @@
-"""State of a Python worker that outlives a task: caches that only save time."""
+"""What Python workers need: small batches, and state that outlives a task."""
 
 from __future__ import annotations
 
 import sys
 import types
 
+from pyspark.sql import SparkSession
+
+from auditloom.session import configure
+
+#: Rows of a batch that goes to Python; a bound of memory, results do not depend on it.
+BATCH_ROWS = 2000
+
 _HOLDER = "auditloom_worker_state"
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The engine's settings, with batches small enough for whole documents and their arrays."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def kept(name: str, make):
     """What `make()` returned when this Python process first asked for `name`.
 
