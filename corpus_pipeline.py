@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import lines, mixing, ngram_join, packing, quality
 from auditloom.llm.queries import vocabulary
-from auditloom.session import configure, cut
+from auditloom.llm.worker import ready
+from auditloom.session import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the current policy rejects."""
-    configure(spark)
+    ready(spark)
     entries = quality.apply_policy(quality.ledger(docs), quality.POLICIES["v2"])
     return entries.filter("kept").select(*docs.columns)
 
@@ -25,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     `n_chars` follows the text.
     """
-    configure(spark)
+    ready(spark)
     left = lines.dedup_lines(docs).filter("n_removed = 0 OR trim(text) <> ''")
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -35,19 +36,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    configure(spark)
+    ready(spark)
     return ngram_join.drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    configure(spark)
+    ready(spark)
     return mixing.repeated(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the packed sequences."""
-    configure(spark)
+    ready(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -65,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    configure(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
