@@ -241,6 +241,40 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs.filter("false")).count() == 0
 
 
+def test_line_dedup_recall(spark):
+    """Against edit similarity alone: one word replaced in lines of 6 to 40 words."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    rows, pairs = [], 0
+    for i in range(120):
+        line = [rng.choice(vocabulary) for _ in range(rng.randint(6, 40))]
+        other = list(line)
+        other[rng.randrange(len(line))] = rng.choice(vocabulary)
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
+        longest = max(len(rows[-1][1]), len(rows[-2][1]))
+        pairs += 100 * (longest - levenshtein(rows[-1][1], rows[-2][1])) >= 80 * longest
+    found = lines.dedup_lines(frame(spark, rows)).collect()
+    gone = {r.doc_id for r in found if r.n_removed}
+    assert pairs > 100 and all(i % 2 for i in gone) and 0.95 * pairs <= len(gone) <= pairs
+
+
+def test_simhashes_count_votes():
+    rng = np.random.default_rng(6)
+    count = np.array([1, 2, 255, 256, 700, 4])
+    words_ = rng.integers(0, 1 << 63, int(count.sum()), np.uint64)
+    first = np.cumsum(count) - count
+    found = lines.simhashes(words_, first, count, 3)
+    for i, (a, n) in enumerate(zip(first.tolist(), count.tolist())):
+        own = [int(w) for w in words_[a : a + n]]
+        if n == 2:  # a word that two short lines share does not decide for both
+            assert found[i, 0] != words_[a]
+            continue
+        for bit in range(64):
+            votes = 2 * sum(w >> bit & 1 for w in own) + (own[0] >> bit & 1)
+            assert (int(found[i, 0]) >> bit & 1) == (votes > n)
+    assert len(np.unique(found)) == found.size
+
+
 def test_block_keys_meet(spark):
     rng = np.random.default_rng(0)
     for n in (10, 10**6, 10**9):
