@@ -258,6 +258,12 @@ def test_line_dedup_recall(spark):
     assert pairs > 100 and all(i % 2 for i in gone) and 0.95 * pairs <= len(gone) <= pairs
 
 
+def test_short_lines_take_part(spark):
+    rows = [(1, "Menu\nAll rights reserved.\n\n..."), (2, "...\n\nALL rights reserved\nmenu\nOther"), (3, "home  page\nhome page")]
+    found = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert found == {1: rows[0][1], 2: "...\n\nOther", 3: "home  page"}
+
+
 def test_simhashes_count_votes():
     rng = np.random.default_rng(6)
     count = np.array([1, 2, 255, 256, 700, 4])
