@@ -2,7 +2,8 @@
 
 Every shard's vectors form a graph of layers, the upper ones thinner. Every vector is searched in
 every shard with a beam; where it meets neighbours above the threshold, the search goes on along their
-links until no more are found. A shard's beam is widened until an audit against brute force passes.
+links until no more are found. A shard's beam is widened until an audit against brute force passes:
+members with links, vectors of other shards and planted ones are asked, groups of each size by themselves.
 Links are verified by cosine in double precision.
 """
 
@@ -21,8 +22,11 @@ from auditloom.session import cut
 
 #: Neighbours of a node in the lowest and the upper layers; beam of the build; nodes per build step.
 LINKS, UPPER_LINKS, BUILD_BEAM, STEP = 24, 12, 48, 1024
-#: Beam of the first search, recall that an audit asks for, and vectors that it compares in full.
+#: Beam of the first search, recall that an audit asks for, and vectors with links of each kind it wants.
 BEAM, RECALL, AUDITED = 32, 0.99, 512
+#: Members that an audit looks through for links, vectors of other shards that it asks, and vectors
+#: that a size of groups needs to be judged by itself.
+EXAMINED, FOREIGN, FEW = 8192, 1024, 30
 #: Shards at least, vectors of a shard at most, queries of one search task.
 SHARDS, SHARD_SIZE, BLOCK = 4, 100_000, 16_384
 #: Nodes a beam expands at once, and what rounding to single precision may hide.
@@ -212,7 +216,13 @@ class Graph:
     def above(self, queries: np.ndarray, least: float, width: int | None = None) -> list[np.ndarray]:
         """Nodes of each query with a similarity of `least` or more that the search finds."""
         queries = np.asarray(queries, np.float32)
-        ids, sims = self.nearest(queries, width or self.beam)
+        width = width or self.beam
+        if width >= len(self.x):
+            return [
+                np.flatnonzero(row)
+                for at in range(0, len(queries), 256) for row in queries[at : at + 256] @ self.x.T >= least
+            ]
+        ids, sims = self.nearest(queries, width)
         found = []
         seen = np.zeros(len(self.x), bool)
         for q, near, sim in zip(queries, ids, sims):
@@ -231,18 +241,63 @@ class Graph:
             found.append(hits[self.x[hits] @ q >= least])
         return found
 
-    def audit(self, least: float, recall: float = RECALL, audited: int = AUDITED, seed: int = 11) -> float:
-        """Widen the beam until the links of some nodes, their own place included, are found."""
+    def planted(self, least: float, many: int, rng: np.random.Generator) -> np.ndarray:
+        """Vectors at a cosine between `least` and 1 of random members, in random directions."""
+        base = self.x[rng.integers(0, len(self.x), many)].astype(np.float64)
+        away = rng.normal(size=base.shape)
+        away -= (away * base).sum(axis=1, keepdims=True) * base
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+        cosine = np.clip(least + (1 - least) * rng.uniform(0.01, 1, (many, 1)), -1, 1)
+        made = cosine * base + np.sqrt(1 - cosine * cosine) * away
+        return (made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    def audit(
+        self, least: float, foreign: np.ndarray | None = None, recall: float = RECALL,
+        audited: int = AUDITED, seed: int = 11,
+    ) -> float:
+        """Widen the beam until links are found; the least mean recall of a kind and size of groups.
+
+        Asked are members that have links, their own place left out, `foreign` vectors that have links
+        here, and planted ones, which have no place of their own either and are never lacking. A vector
+        counts by the share of its links that is found, whatever their number; the mean must pass for
+        each kind and size of groups (those with few vectors together). A beam as wide as the shard
+        compares all.
+        """
         n = len(self.x)
-        some = np.sort(np.random.default_rng(seed).permutation(n)[:audited])
-        true = [np.flatnonzero(row) for row in self.x[some] @ self.x.T >= least]
-        total = sum(map(len, true))
+        rng = np.random.default_rng(seed)
+        some = rng.permutation(n)[:EXAMINED]
+        kinds = [(self.x[some], some), (self.planted(least, audited, rng), None)]
+        if foreign is not None and len(foreign):
+            kinds.append((foreign.astype(np.float32), None))
+        asked, true, strata = [], [], []
+        for kind, (queries, own) in enumerate(kinds):
+            upto = len(asked) + audited
+            for at in range(0, len(queries), 256):
+                part = queries[at : at + 256]
+                sims = part @ self.x.T
+                if own is not None:
+                    sims[np.arange(len(part)), own[at : at + 256]] = -np.inf
+                for q, row in zip(part, sims >= least + 1e-6):  # what rounding cannot hide
+                    links = np.flatnonzero(row)
+                    if len(links):
+                        asked.append(q)
+                        true.append(links)
+                        strata.append(16 * kind + int(math.log(len(links), 4)))
+                if len(asked) >= upto:
+                    break
+        if not asked:
+            return 1.0
+        strata = np.array(strata)
+        names, many = np.unique(strata, return_counts=True)
+        strata[np.isin(strata, names[many < FEW])] = -1
+        names = np.unique(strata)
         while True:
-            found = self.above(self.x[some], least)
-            share = sum(len(np.intersect1d(t, f)) for t, f in zip(true, found)) / max(total, 1)
+            found = self.above(np.stack(asked), least)
+            shares = np.array([len(np.intersect1d(t, f)) / len(t) for t, f in zip(true, found)])
+            share = float(min(shares[strata == s].mean() for s in names))
             if share >= recall or self.beam >= n:
                 return share
-            self.beam = min(2 * self.beam, n)
+            self.beam = 2 * self.beam if 16 * self.beam <= n else n  # from there comparing all is faster
 
     def pack(self) -> bytes:
         out = io.BytesIO()
@@ -263,18 +318,27 @@ def _unit(values: pd.Series) -> np.ndarray:
 
 
 def graphs(points: DataFrame, least: float) -> DataFrame:
-    """`shard, beam, recall, classes, graph` from `shard, cls, v`: an audited graph per shard."""
+    """`shard, beam, recall, classes, graph` from `shard, dim, cls, v`: an audited graph per shard."""
+    members = points.select("shard", "cls", "v", F.lit(False).alias("foreign"))
+    share = FOREIGN / max(points.count(), 1)
+    drawn = points.filter(F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30))
+    numbers = points.select("dim", F.col("shard").alias("to")).distinct()
+    asked = drawn.join(numbers, "dim").filter("shard <> to").select(
+        F.col("to").alias("shard"), "cls", "v", F.lit(True).alias("foreign")
+    )
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cls")
+        others = part.loc[part["foreign"], "v"]
+        part = part[~part["foreign"]].sort_values("cls")
         graph = Graph.build(_unit(part["v"]))
-        share = graph.audit(least - SLACK)
+        share = graph.audit(least - SLACK, _unit(others) if len(others) else None)
         return pd.DataFrame({
             "shard": [part["shard"].iloc[0]], "beam": [graph.beam], "recall": [share],
             "classes": [part["cls"].to_numpy(np.int64).tobytes()],
             "unit": [_unit(part["v"]).tobytes()], "graph": [graph.pack()],
         })
 
-    return cut(points.groupBy("shard").applyInPandas(
+    return cut(members.unionByName(asked).groupBy("shard").applyInPandas(
         run, "shard long, beam int, recall double, classes binary, unit binary, graph binary"
     ))
 
@@ -338,7 +402,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
         "cls", "v", "dim",
         (F.col("dim") * F.lit(1 << 32) + F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(shards))).alias("shard"),
     ))
-    links = search(points, graphs(points.select("shard", "cls", "v"), least), least)
+    links = search(points, graphs(points, least), least)
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = ends.join(classes.select(F.col("cls").alias("b"), "size"), "b").groupBy("a").agg(
         F.sum("size").alias("others")

@@ -340,3 +340,32 @@ def test_graph_recall():
     again = vectors.Graph.unpack(graph.pack())
     found = sum(map(len, again.above(x, 0.9)))
     assert found >= 0.99 * np.count_nonzero(x.astype(np.float32) @ x.T.astype(np.float32) >= 0.9)
+
+
+def test_audit_sees_small_groups():
+    """Many easy links of one group do not hide that no pair outside of it is found."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 32))
+    x[:1000] = x[0] + rng.normal(size=(1000, 32)) * 0.05
+    x[2000:] = x[1000:2000] + rng.normal(size=(1000, 32)) * 0.05
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    lists = np.full((3000, vectors.LINKS), -1, np.int32)
+    lists[:1000] = rng.integers(0, 1000, (1000, vectors.LINKS))
+    graph = vectors.Graph(x, [lists], 0)  # only the group is linked
+    assert graph.audit(0.9) >= vectors.RECALL and graph.beam == 3000
+    assert all(i + 1000 in f for i, f in zip(range(1000, 2000), graph.above(x[1000:2000], 0.9)))
+
+
+def test_audit_without_links_of_its_own():
+    """No two members link; vectors of other shards must still be found."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(12000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    graph = vectors.Graph.build(x)
+    graph.beam = 4
+    assert graph.audit(0.9, x[:50] + np.float32(0)) >= vectors.RECALL and graph.beam > 4
+    asked = x[:1000] + rng.normal(size=(1000, 64)).astype(np.float32) * 0.04
+    asked /= np.linalg.norm(asked, axis=1)[:, None]
+    true = (asked * x[:1000]).sum(axis=1) >= 0.9
+    found = [i in f for i, f in enumerate(graph.above(asked, 0.9))]
+    assert true.sum() > 500 and np.mean(np.array(found)[true]) >= 0.97
