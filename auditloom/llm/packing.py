@@ -26,8 +26,6 @@ from auditloom.session import cut
 CAPACITY = 4096
 #: Pieces that one group holds on average, and from which fill a bin takes no further part.
 GROUP, SETTLED = 4096, 0.97
-#: Effort of one local search: bins it tries to empty, steps for each.
-DONORS, STEPS = 16, 200
 #: Words whose ids a worker remembers; a bound of memory, results do not depend on it.
 REMEMBERED = 400_000
 _TAIL = b".,;:!?"
@@ -158,56 +156,91 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Bins after moves and exchanges that empty the least filled ones, one after another.
+    """Bins after moves and exchanges between all bins that have room, in sweeps until none helps.
 
-    A step takes one or two documents out of the bin and gives it none or one, shorter, back; it
-    is taken only into a bin that is no emptier, so the sum of squared fills grows. It ends at the
-    least number of bins that the total allows, or when no bin can be emptied.
+    A step takes one or two documents out of a bin and gives it none or one, shorter, back. It is
+    taken only into a bin that is no emptier, and kept, so each step raises the sum of squared
+    fills; of the steps of a bin the one that moves most is taken. The search ends at the least number
+    of bins that the total allows, or when no underfull bin has a step left.
     """
     bins = bins.copy()
     fill = np.bincount(bins, lengths).astype(np.int64)
     least = -(-int(lengths.sum()) // capacity)
-    for donor in np.argsort(fill, kind="stable")[:DONORS].tolist():
-        if np.count_nonzero(fill) <= least or fill[donor] >= capacity:
-            break
-        before_bins, before_fill = bins.copy(), fill.copy()
-        for _ in range(STEPS):
-            if not fill[donor]:
-                break
-            own = np.flatnonzero(bins == donor)
-            receivers = (fill >= fill[donor]) & (fill < capacity)
-            receivers[donor] = False
-            room = np.where(receivers, capacity - fill, -1)
-            groups = [[i] for i in own.tolist()]
-            if len(own) <= 24:
-                groups += [[i, j] for a, i in enumerate(own.tolist()) for j in own[a + 1 :].tolist()]
-            best = (0, None, None, None)
-            for group in groups:
-                size = int(lengths[group].sum())
-                if size <= best[0]:
-                    continue
-                fits = np.flatnonzero(room >= size)
-                if len(fits):
-                    best = (size, group, int(fits[np.argmin(room[fits])]), None)
-                    continue
-                gain = size - lengths
-                good = np.flatnonzero((gain > best[0]) & (gain <= room[bins]))
-                if len(good):
-                    other = int(good[np.argmax(gain[good])])
-                    best = (int(gain[other]), group, int(bins[other]), other)
-            gain, group, receiver, other = best
-            if group is None:
-                break
-            bins[group] = receiver
-            if other is not None:
-                bins[other] = donor
-            fill[receiver] += gain
-            fill[donor] -= gain
-        if fill[donor]:
-            bins, fill = before_bins, before_fill  # not emptied: leave the bins as they were
+    held: list[list[int]] = [[] for _ in range(len(fill))]
+    for i, b in enumerate(bins.tolist()):
+        held[b].append(i)
+    used = int(np.count_nonzero(fill))
+    room = np.where(fill < capacity, capacity - fill, -1)
+    moved = True
+    while moved and used > least:
+        moved = False
+        for donor in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[donor] < capacity and used > least:
+                step = _step(lengths, bins, held[donor], donor, fill, room)
+                if step is None:
+                    break
+                gain, group, receiver, other = step
+                for i in group:
+                    held[donor].remove(i)
+                    held[receiver].append(i)
+                    bins[i] = receiver
+                if other is not None:
+                    held[receiver].remove(other)
+                    held[donor].append(other)
+                    bins[other] = donor
+                fill[receiver] += gain
+                fill[donor] -= gain
+                for b in (donor, receiver):
+                    room[b] = capacity - fill[b] if fill[b] < capacity else -1
+                moved = True
+            used = int(np.count_nonzero(fill))
     return bins
 
 
+def _step(
+    lengths: np.ndarray, bins: np.ndarray, own: list[int], donor: int, fill: np.ndarray, room: np.ndarray
+) -> tuple[int, list[int], int, int | None] | None:
+    """What moves most out of `donor`: how much, which documents, into which bin, and which one back.
+
+    Documents of equal length are alike, so of each length one stands for all, and of each pair
+    of lengths one pair.
+    """
+    open_ = np.where((fill >= fill[donor]) & (room > 0), room, -1)
+    open_[donor] = -1
+    widest = int(open_.max(initial=-1))
+    if widest <= 0:
+        return None
+    sizes: dict[int, list[int]] = {}
+    kinds: dict[int, list[int]] = {}
+    for i in own:
+        kinds.setdefault(int(lengths[i]), []).append(i)
+    each = sorted(kinds)
+    for k, a in enumerate(each):
+        sizes.setdefault(a, [kinds[a][0]])
+        if len(kinds[a]) > 1:
+            sizes.setdefault(2 * a, kinds[a][:2])
+        for c in each[k + 1 :]:
+            sizes.setdefault(a + c, [kinds[a][0], kinds[c][0]])
+    taken = np.array(sorted(sizes), np.int64)
+    best = (0, None, None, None)
+    at = int(np.searchsorted(taken, widest, "right"))
+    if at:  # a move without return
+        size = int(taken[at - 1])
+        fits = np.flatnonzero(open_ >= size)
+        best = (size, sizes[size], int(fits[np.argmin(open_[fits])]), None)
+    # an exchange: for each document elsewhere, the largest group that its bin can take for it
+    limit = open_[bins]
+    others = np.flatnonzero(limit > best[0])
+    if len(others):
+        spot = np.searchsorted(taken, lengths[others] + limit[others], "right") - 1
+        gain = np.where(spot >= 0, taken[np.maximum(spot, 0)] - lengths[others], 0)
+        top = int(np.argmax(gain))
+        if gain[top] > best[0]:
+            other = int(others[top])
+            best = (int(gain[top]), sizes[int(taken[spot[top]])], int(bins[other]), other)
+    return None if best[1] is None else best
+
+
 def _fewest(lengths: np.ndarray, bins: np.ndarray | None, capacity: int) -> np.ndarray:
     fresh = local_search(lengths, best_fit(lengths, capacity), capacity)
     if bins is None:

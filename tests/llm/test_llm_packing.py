@@ -153,3 +153,24 @@ def test_local_search_empties_bins():
     lengths = np.array([50, 30, 40, 40, 20, 20])
     bins = np.array([0, 0, 1, 1, 2, 2])
     assert len(np.unique(packing.local_search(lengths, bins, 100))) == 2
+
+
+@pytest.mark.parametrize("low, high", [(700, 1600), (500, 900)])
+def test_local_search_comes_near_the_bound(low, high):
+    lengths = np.random.default_rng(1).integers(low, high + 1, 4096)
+    fitted = packing.best_fit(lengths, 4096)
+    better = packing.local_search(lengths, fitted, 4096)
+    fill = np.bincount(better, lengths)
+    least = -(-int(lengths.sum()) // 4096)
+    assert fill.max() <= 4096 and len(better) == len(lengths)
+    assert len(np.unique(better)) <= 1.01 * least < 1.02 * least < len(np.unique(fitted))
+
+
+def test_step_of_a_bin_with_many_documents():
+    """Two of 26 documents of 2 for one of 3 is the only step."""
+    lengths = np.array([2] * 26 + [3, 96])
+    bins = np.array([0] * 26 + [1, 1])
+    fill, room = np.array([52, 99]), np.array([48, 1])
+    gain, group, receiver, other = packing._step(lengths, bins, list(range(26)), 0, fill, room)
+    assert (gain, len(group), receiver, other) == (1, 2, 1, 26)
+    assert packing._step(lengths, bins, [26, 27], 1, fill, room) is None
