@@ -31,15 +31,39 @@ REMEMBERED = 200_000
 SCRIPTS = (
     (0x00, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xBA, 1),
     (0xBB, 0), (0xC0, 1), (0xD7, 0), (0xD8, 1), (0xF7, 0), (0xF8, 1), (0x250, 1), (0x2B0, 0),
-    (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0x980, 8),
-    (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2),
-    (0x2000, 0), (0x2C60, 1), (0x2C80, 0), (0x3040, 12), (0x30A0, 12), (0x3100, 0), (0x3400, 13),
-    (0x4DC0, 0), (0x4E00, 13), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 13), (0xFB00, 0),
-    (0x20000, 13), (0x30000, 0),
+    (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 14), (0x7C0, 15), (0x800, 0),
+    (0x8A0, 6), (0x900, 7), (0x980, 8), (0xE00, 9), (0xE80, 16), (0xF00, 17), (0x1000, 18), (0x10A0, 10),
+    (0x1100, 11), (0x1200, 19), (0x13A0, 20), (0x1400, 21), (0x1680, 0), (0x1780, 22), (0x1800, 23),
+    (0x18B0, 21), (0x1900, 0), (0x1C80, 3), (0x1C90, 10), (0x1CC0, 0), (0x1D00, 1), (0x1DC0, 0),
+    (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C60, 1), (0x2C80, 0), (0x2D00, 10), (0x2D30, 24),
+    (0x2D80, 19), (0x2DE0, 3), (0x2E00, 0), (0x3005, 13), (0x3008, 0), (0x3040, 12), (0x30A0, 12),
+    (0x3100, 25), (0x3130, 11), (0x3190, 0), (0x31A0, 25), (0x31C0, 0), (0x31F0, 12), (0x3200, 0),
+    (0x3400, 13), (0x4DC0, 0), (0x4E00, 13), (0xA000, 26), (0xA4D0, 0), (0xA640, 3), (0xA6A0, 0),
+    (0xA720, 1), (0xA800, 0), (0xA960, 11), (0xA980, 0), (0xAA60, 18), (0xAA80, 0), (0xAB00, 19),
+    (0xAB30, 1), (0xAB70, 20), (0xABC0, 0), (0xAC00, 11), (0xD800, 0), (0xF900, 13), (0xFB00, 1),
+    (0xFB13, 4), (0xFB18, 0), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6), (0xFF00, 0),
+    (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 12), (0xFFA0, 11), (0xFFE0, 0),
+    (0x20000, 13), (0x323B0, 0),
 )
-N_SCRIPTS = 14
-_STARTS = np.array([s for s, _ in SCRIPTS], np.int64)
-_NUMBERS = np.array([n for _, n in SCRIPTS], np.int64)
+#: Letters outside these ranges share a number, so that the n-grams tell their languages apart. Signs among
+#: letters of other scripts (modifiers, superscripts, letterlike symbols) are of no script.
+OTHER_LETTERS, N_SCRIPTS, SIGNS = 27, 28, ((0, 0x370), (0x2000, 0x2C00))
+
+
+def _ranges() -> tuple[np.ndarray, np.ndarray]:
+    """First code points and numbers of `SCRIPTS`, with the other letters."""
+    starts = np.array([s for s, _ in SCRIPTS], np.int64)
+    numbers = np.array([n for _, n in SCRIPTS], np.int64)
+    all_of = np.repeat(numbers, np.diff(np.r_[starts, 0x110000]))
+    letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+    for low, high in SIGNS:
+        letter[low:high] = False
+    all_of[letter & (all_of == 0)] = OTHER_LETTERS
+    edges = np.flatnonzero(np.r_[True, all_of[1:] != all_of[:-1]])
+    return edges, all_of[edges]
+
+
+_STARTS, _NUMBERS = _ranges()
 
 
 @dataclass

@@ -146,6 +146,26 @@ def test_language_spans_and_nulls(spark):
     assert 0.5 < found[0].lang_score < 1 and found[1].lang_score == 1 and found[2].lang_score == 0
 
 
+def test_language_of_any_script(spark):
+    """Labelled languages in scripts beyond the common ones; two of them share one."""
+    samples = {
+        "am": "ሰላም ለሁሉም ሰው ዛሬ ጥሩ ቀን ነው", "ti": "ከመይ ኣለኹም ሎሚ ጽቡቕ መዓልቲ እዩ", "km": "សួស្តី អ្នក ទាំងអស់គ្នា ថ្ងៃនេះ ល្អ",
+        "my": "မင်္ဂလာပါ ယနေ့ ကောင်းသော နေ့ ဖြစ်သည်", "lo": "ສະບາຍດີ ທຸກຄົນ ມື້ນີ້ ດີ", "bo": "བཀྲ་ཤིས་ བདེ་ལེགས་ དེ་རིང་", "dv": "އައްސަލާމް ޢަލައިކުމް މިއަދު",
+        "chr": "ꭳꮟꮿ ꮳꮃꭹ ꭶꮼꮒꭿꮝꮧ", "ii": "ꆈꌠ ꁱꂷ ꉬꄒ", "vai": "ꕙꔤ ꕚꕌ ꖴꖸ", "sat": "ᱥᱟᱱᱛᱟᱲᱤ ᱯᱟᱹᱨᱥᱤ",
+    }
+    rows = [(i, "en", "the cat and the dog went with that thing") for i in range(60)]
+    rows += [(100 * k + i, lang, text) for k, (lang, text) in enumerate(samples.items(), 1) for i in range(10)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    found = language.identify(documents(spark, list(samples.values())), model).orderBy("doc_id").collect()
+    assert [(r.lang_pred, r.lang_score) for r in found] == [(lang, 1.0) for lang in samples]
+
+
+def test_every_letter_has_a_script():
+    codes = np.array([c for c in range(0x370, 0x110000) if chr(c).isalpha() and not 0x2000 <= c < 0x2C00])
+    assert (language._scripts(codes) > 0).all()
+    assert (language._scripts(np.array([0x20, 0x31, 0x2E, 0xB5, 0x2BB, 0x2014, 0x1F600])) == 0).all()
+
+
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
