@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from auditloom.session import cut
 
-#: Segments that the tree tells apart (the rest of a path is one wildcard); a segment is variable
-#: if at its place there are `MIN_VALUES` values or more with under `MIN_REPEATS` pages on average.
+#: From this segment on, the rest of a path that shares its node with no other path is one wildcard, as no
+#: branches part there; a segment is variable if at its place there are `MIN_VALUES` values or more with under `MIN_REPEATS` pages on average.
 DEPTH, MIN_VALUES, MIN_REPEATS = 6, 8, 5
 #: Branches differ beyond this z score; weight of the corpus in smoothing; least purity.
 DIFFERENT, SMOOTHING, MIN_PURITY = 3.0, 10.0, 0.5
@@ -53,34 +53,49 @@ def matched(rules: Sequence[Rule], host: Column, path: Column) -> Column:
 def templates(paths: DataFrame) -> DataFrame:
     """`host, path, nodes` for rows of `host, path, n`, where `nodes` are the tree's nodes from the root.
 
-    A wildcard keeps the extension of its segment. One pass per level over the distinct paths.
+    A wildcard keeps the extension of its segment. One pass per level over the distinct paths, until none
+    has a further segment; from `DEPTH` on, only over those that have one.
     """
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
+    deepest = paths.agg(F.max(F.size(segments)).alias("most")).first()["most"] or 0
+    done = []
     state = paths.select(
         "host", "path", "n", segments.alias("segments"), F.array(F.lit("")).alias("nodes"),
     )
-    for level in range(1, DEPTH + 1):
+    for level in range(1, deepest + 1):
+        if level >= DEPTH:
+            state = cut(state)
+            done.append(state.filter(F.size("segments") < level))
+            state = state.filter(F.size("segments") >= level)
+            if state.isEmpty():
+                break
         here = F.get("segments", F.lit(level - 1))
         node = F.element_at("nodes", -1)
         placed = state.withColumns({"node": node, "here": here})
         values = placed.filter("here IS NOT NULL").groupBy("host", "node", "here").agg(
-            F.sum("n").alias("n")
+            F.sum("n").alias("n"), F.count("*").alias("paths")
         )
-        variable = (
-            values.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-            .filter((F.col("k") >= MIN_VALUES) & (F.col("n") < MIN_REPEATS * F.col("k")))
-            .select("host", "node", F.lit(True).alias("variable"))
+        variable = (F.col("k") >= MIN_VALUES) & (F.col("n") < MIN_REPEATS * F.col("k"))
+        alone = (F.col("paths") == 1) & F.lit(level >= DEPTH)
+        kinds = (
+            values.groupBy("host", "node")
+            .agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("paths").alias("paths"))
+            .select("host", "node", variable.alias("variable"), alone.alias("alone"))
+            .filter("variable OR alone")
         )
         wild = F.concat(F.lit("*"), F.regexp_extract("here", r"\.[A-Za-z0-9]{1,5}$", 0))
         named = F.when(F.col("variable"), wild).otherwise(F.col("here"))
-        if level == DEPTH:
-            named = F.when(F.size("segments") > DEPTH, F.lit("**")).otherwise(named)
-        state = placed.join(variable, ["host", "node"], "left").select(
-            "host", "path", "n", "segments",
+        rest = F.col("alone") & (F.size("segments") > level)
+        named = F.when(rest, F.lit("**")).otherwise(named)
+        state = placed.join(kinds, ["host", "node"], "left").select(
+            "host", "path", "n",
+            F.when(rest, F.slice("segments", 1, level)).otherwise(F.col("segments")).alias("segments"),
             F.when(F.col("here").isNull(), F.col("nodes")).otherwise(
                 F.concat("nodes", F.array(F.concat("node", F.lit("/"), named)))
             ).alias("nodes"),
         )
+    for part in done:
+        state = state.unionByName(part)
     return cut(state.select("host", "path", "nodes"))
 
 
@@ -116,7 +131,8 @@ def judged_templates(counts: DataFrame) -> DataFrame:
         rate(F.col("good"), F.col("bad")).alias("rate"),
     )
     classes = known
-    for level in range(1, DEPTH + 1):
+    deepest = nodes.agg(F.max("level").alias("most")).first()["most"] or 0
+    for level in range(1, deepest + 1):
         children = nodes.filter(F.col("level") == level)
         parents = known.select(
             "host", F.col("node").alias("parent"), F.col("class_node").alias("above"),

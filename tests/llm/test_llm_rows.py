@@ -213,3 +213,17 @@ def test_url_templates(spark):
     assert found["http://h.org/similar/3"].class_node == found["http://h.org/shop/3.html"].class_node
     assert found["http://h.org/a/b/c/d/e/f/g/h"].template == "/a/b/c/d/e/**"
     assert urls.judge(pages.filter("false"), ()).count() == 0
+
+
+def test_url_branches_at_any_depth(spark):
+    """Good and bad branches part at the eighth segment, behind one that is variable."""
+    deep = "http://h.org/2024/01/02/news/en/topic"
+    rows = [(f"{deep}/{i}/{kind}/x", kind == "good") for i in range(100) for kind in ("good", "bad")]
+    rows += [(f"{deep}/7/bad/fresh", None), (f"{deep}/7/good/fresh", None), ("http://h.org/2024", True), (None, None)]
+    rows += [("http://h.org/" + "a/" * 30 + "b", None), ("http://h.org/" + "a/" * 30 + "c", None)]
+    found = {r.url: r for r in urls.judge(spark.createDataFrame(rows, "url string, label boolean"), ()).collect()}
+    assert len(found) == len(rows)
+    assert found[f"{deep}/7/bad/fresh"].verdict == "block" and found[f"{deep}/7/good/fresh"].verdict == "allow"
+    assert {r.verdict for u, r in found.items() if u and "/bad/" in u} == {"block"}
+    assert {r.verdict for u, r in found.items() if u and "/good/" in u} == {"allow"}
+    assert found[rows[-1][0]].template == "/" + "a/" * 30 + "c"
