@@ -85,6 +85,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy and rule, how many documents fail it and how many only it rejects."""
+    return quality.ablations(quality.ledger(read(spark, sf_dir, "documents")))
+
+
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's n-gram set and its component of near duplicates."""

@@ -227,3 +227,19 @@ def test_url_branches_at_any_depth(spark):
     assert {r.verdict for u, r in found.items() if u and "/bad/" in u} == {"block"}
     assert {r.verdict for u, r in found.items() if u and "/good/" in u} == {"allow"}
     assert found[rows[-1][0]].template == "/" + "a/" * 30 + "c"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_ablations_of_all_documents(spark):
+    """The registered report against the ledger's bits, counted one by one."""
+    from auditloom.llm.queries import QUERIES
+
+    failed = [r.failed for r in QUERIES["op6_quality_rules"](spark, FOLDER).select("failed").collect()]
+    expected = {}
+    for policy in quality.POLICIES.values():
+        for rule in policy.rules:
+            bit, of = quality.mask([rule]), quality.mask(policy.rules)
+            expected[policy.version, rule] = (sum(f & bit > 0 for f in failed), sum(f & of == bit for f in failed))
+    found = QUERIES["op6_quality_ablations"](spark, FOLDER).collect()
+    assert {(r.policy_version, r.rule): (r.n_failed, r.n_only) for r in found} == expected
+    assert any(n for n, _ in expected.values())
