@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import (
-    language, lines, mixing, ngram_join, packing, quality, substrings, tokens, urls, vectors,
+    contamination, language, lines, mixing, negatives, ngram_join, packing, quality, ranking, substrings,
+    tokens, urls, vectors,
 )
 from auditloom.llm.worker import ready
 
@@ -135,4 +136,26 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a passage of a benchmark item, and those items."""
+    return contamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    return ranking.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives for the positives of every fiftieth vector; every seventh has a wrong label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select(
+        "vec_id", label.alias("label"), negatives.scaled(F.col("embedding"), 256).alias("v")
+    )
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 from auditloom.llm.oracle import ORACLE  # noqa: E402, F401
