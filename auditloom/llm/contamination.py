@@ -29,11 +29,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(folded, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _windows(of: Column, size: Column | int, make) -> Column:
-    """`make` of each run of `size` words; empty if there are fewer."""
-    size = F.lit(size) if isinstance(size, int) else size
-    places = F.when(F.size(of) >= size, F.sequence(F.lit(1), F.size(of) - size + 1))
-    return F.coalesce(F.transform(places, lambda i: make(F.slice(of, i, size))), F.array())
+def _name(of: Column, start: Column, size: int) -> Column:
+    """Hash of `size` words from a place on. Single items are read: a slice would copy the text's words."""
+    return F.xxhash64(*(F.get(of, start + j) for j in range(size)))
+
+
+def _names(of: Column, size: int) -> Column:
+    """Hashes of all windows of `size` words, by their place; none if there are fewer words."""
+    places = F.when(F.size(of) >= size, F.sequence(F.lit(0), F.size(of) - size))
+    return F.coalesce(F.transform(places, lambda i: _name(of, i, size)), F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -41,34 +45,41 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
     Null ids are not listed; an item without words has no window.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("own"))
-    cut_up = items.select(
-        F.col("item_id").cast("string").alias("item"),
-        F.explode(_windows(F.col("own"), F.greatest(F.least(F.size("own"), F.lit(size)), F.lit(1)), lambda w: w)).alias("window"),
+    own = F.col("own")
+    items = benchmark.select("item_id", words(F.col("text")).alias("own")).filter(F.size("own") > 0)
+    length = F.least(F.size(own), F.lit(size))
+    placed = items.select(
+        F.col("item_id").cast("string").alias("item"), own, length.alias("words"),
+        F.explode(F.sequence(F.lit(0), F.size(own) - length)).alias("place"),
     )
     # at most as many ids as the benchmark has items
-    return cut_up.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).select(
-        F.xxhash64("window").alias("name"), F.size("window").alias("words"), "window", "items"
-    )
-
+    found = placed.select("item", "words", F.slice("own", F.col("place") + 1, F.col("words")).alias("window")).groupBy(
+        "words", "window"
+    ).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    name = F.coalesce(*(F.when(F.col("words") == n, _name(F.col("window"), F.lit(0), n)) for n in range(1, size + 1)))
+    return found.select(name.alias("name"), "words", "window", "items")
 
-def _covered(hits: Column, size: int) -> Column:
-    """Disjoint `low, high` places that `hits` (`start, words`) cover, in order."""
-    ordered = F.array_sort(hits)
-    longest = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["start"] != x["start"]))
 
-    def part(all_of: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            # only the `size - 1` starts before can reach this far
-            before = F.slice(all_of, F.greatest(i - (size - 2), F.lit(1)), F.least(i, F.lit(size - 1)))
-            reach = F.coalesce(F.array_max(F.transform(before, lambda b: b["start"] + b["words"])), F.lit(0))
-            low = F.greatest(x["start"], reach)
-            return F.struct(low.alias("low"), F.greatest(low, x["start"] + x["words"]).alias("high"))
-        return F.transform(all_of, one)
+def _covered(found: DataFrame, size: int) -> DataFrame:
+    """`found` with `spans`: the disjoint places (`low` to below `high`) that `hits` (`start, words`) cover.
 
-    # named once in a list of one, so that the sorted hits are not made again for every use
-    return F.filter(
-        F.flatten(F.transform(F.array(longest), part)), lambda s: s["high"] > s["low"]
+    Each step is a column of its own, so that none is made again for every element of the next.
+    """
+    def longest(x: Column, i: Column) -> Column:
+        return (i == F.size("ordered") - 1) | (F.get("ordered", i + 1)["start"] != x["start"])
+
+    def span(x: Column, i: Column) -> Column:
+        # only the `size - 1` starts before can reach this far
+        before = [F.get("longest", i - j) for j in range(1, size)]
+        reach = F.greatest(F.lit(0), F.lit(0), *(b["start"] + b["words"] for b in before))
+        low = F.greatest(x["start"], reach)
+        return F.struct(low.alias("low"), F.greatest(low, x["start"] + x["words"]).alias("high"))
+
+    return (
+        found.withColumn("ordered", F.array_sort("hits"))
+        .withColumn("longest", F.filter("ordered", longest))
+        .withColumn("spans", F.transform("longest", span))
+        .withColumn("spans", F.filter("spans", lambda s: s["high"] > s["low"]))
     )
 
 
@@ -89,27 +100,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
         known = F.broadcast(known)
     own = F.col("own")
     split = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), words(F.col("text")).alias("own"))
-    names = [_windows(own, n, F.xxhash64) for n in sizes]
+    names = [_names(own, n) for n in sizes]
     none = F.array(F.lit(None).cast("long"))  # one row that stays for each document
-    placed = split.select(
-        "doc_id", "text_md5", "own", F.size("own").alias("n_words"),
-        F.posexplode(F.concat(*names, none)).alias("place", "name"),
+    # the lists are never empty; an inner explode would be preceded by a filter that makes them twice
+    placed = split.withColumn("names", F.concat(*names, none)).select(
+        "doc_id", "text_md5", "own", F.size("own").alias("n_words"), F.posexplode_outer("names").alias("place", "name")
     )
-    before, start = F.lit(0), F.lit(None).cast("int")
+    before, start, same = F.lit(0), F.lit(None).cast("int"), F.lit(False)
     for n in sizes:  # windows of one size follow those of the smaller ones
-        start = F.when(F.col("words") == n, F.col("place") - before).otherwise(start)
+        own_size, at = F.col("words") == n, F.col("place") - before
+        start = F.when(own_size, at).otherwise(start)
+        equal = F.lit(True)
+        for j in range(n):
+            equal &= F.get(own, at + j) == F.get("window", F.lit(j))
+        same |= own_size & equal
         before = before + F.greatest(F.col("n_words") - n + 1, F.lit(0))
-    met = (
-        placed.join(known, "name", "left").withColumn("start", start)
-        .filter(F.col("name").isNull() | (F.slice("own", F.col("start") + 1, F.col("words")) == F.col("window")))
-    )
+    met = placed.join(known, "name", "left").filter(F.col("name").isNull() | same).withColumn("start", start)
     hit = F.when(F.col("name").isNotNull(), F.struct("start", "words"))
     found = met.groupBy("doc_id", "text_md5").agg(
         F.first("n_words").alias("n_words"), F.count(F.when(F.col("name").isNull(), 1)).alias("n_rows"),
         F.collect_set(hit).alias("hits"), F.collect_set("items").alias("lists"),
     )
-    return found.select(
-        "doc_id", "text_md5", "n_words", _covered(F.col("hits"), size).alias("spans"),
+    return _covered(found, size).select(
+        "doc_id", "text_md5", "n_words", "spans",
         F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"), "n_rows",
     )
 
@@ -146,11 +159,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, whole: bool = False, si
     text = F.col("row.text")
     tokens = F.regexp_extract_all(text, F.lit(f"[^{OTHER}]+[{OTHER}]*"), F.lit(0))
     lead = F.regexp_extract(text, f"^[{OTHER}]*", 0)
-    ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["high"]))
-    starts = F.concat(F.transform("spans", lambda s: s["low"]), F.array(F.size(tokens)))
-    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice(tokens, a + 1, b - a)))
+    joined = keyed.join(found, same, "left").withColumn("tokens", tokens)
+
+    def stays(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("spans", i - 1)["high"], F.lit(0))
+        return F.concat(F.array_repeat(F.lit(True), s["low"] - before), F.array_repeat(F.lit(False), s["high"] - s["low"]))
+
+    joined = joined.withColumn("stay", F.flatten(F.transform("spans", stays)))  # words after the last span stay
+    kept = F.filter("tokens", lambda t, i: F.coalesce(F.get("stay", i), F.lit(True)))
     cleaned = F.when(F.col("spans").isNull(), text).otherwise(F.concat(lead, F.array_join(kept, "")))
-    joined = keyed.join(found, same, "left")
     return joined.select(*(
         (cleaned if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns
     ))
