@@ -27,8 +27,16 @@ CAPACITY = 4096
 #: Pieces that one group holds on average, and from which fill a bin takes no further part.
 GROUP, SETTLED = 4096, 0.97
 #: Words whose ids a worker remembers; a bound of memory, results do not depend on it.
-REMEMBERED = 400_000
-_TAIL = b".,;:!?"
+REMEMBERED = 1_000_000
+
+
+def _bytes_in(some: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(some)] = True
+    return table
+
+
+_TAIL, _BLANK, _LETTER = _bytes_in(b".,;:!?"), _bytes_in(b" \t\n\r\x0b\x0c"), _bytes_in(bytes(range(97, 123)))
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,10 +44,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Packed little-endian ids of words, through a tokenizer that never joins words.
 
-    The tokenizer drops white space and cuts at it, so a text's ids are its words' ids. A word is
-    lower-cased and cut before trailing punctuation, where the tokenizer cuts as well, and only
-    stems not seen before are encoded: those of letters many at a time, told apart by the suffix
-    that ends a word.
+    The tokenizer drops white space and cuts at it, so a text's ids are its words' ids. A text is
+    lower-cased, and trailing punctuation is cut off after a letter, where the tokenizer cuts as
+    well, so that few words are new. Only those are encoded: words of letters many at a time, told
+    apart by the suffix that ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,59 +60,57 @@ class WordEncoder:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
 
     @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in word:  # may hold a special token, whose case counts
-            return word, b""
-        lower = word.lower()
-        stem = lower.rstrip(_TAIL)
-        if stem and stem != lower and 97 <= stem[-1] <= 122:
-            return stem, lower[len(stem):]
-        return lower, b""
-
-    def _encode_stems(self, new: list[bytes]) -> None:
-        texts = [(s, s.decode("utf-8", "replace")) for s in new]
+    def split(texts: list[bytes]) -> list[list[bytes]]:
+        """Words of each text, lower-cased, punctuation that ends a word apart if a letter comes before."""
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        joined = b"\n".join([*texts, b""]).lower()
+        data = np.frombuffer(joined, np.uint8)
+        tail = _TAIL[data]
+        first, last = np.flatnonzero(tail[1:] & ~tail[:-1]) + 1, np.flatnonzero(tail[:-1] & ~tail[1:])
+        last = last[len(last) - len(first) :]  # a run at the very start has no letter before it
+        at = first[_LETTER[data[first - 1]] & _BLANK[data[last + 1]]]
+        spaced = np.insert(data, at, 32).tobytes()
+        low = 0
+        out = []
+        for text, high in zip(texts, (ends + np.searchsorted(at, ends)).tolist()):
+            if b"<|" in text:  # may hold a special token, whose case counts
+                words = [[w] if b"<|" in w else WordEncoder.split([w])[0] for w in text.split()]
+                out.append([x for part in words for x in part])
+            else:
+                out.append(spaced[low:high].split())
+            low = high
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = words
+        texts = [(w, w.decode("utf-8", "replace")) for w in new]
         plain = [x for x in texts if x[1].isalpha()]
         other = [x for x in texts if not x[1].isalpha()]
         for i in range(0, len(plain), 1000):
             some = plain[i : i + 1000]
-            ids = np.array(
-                self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids,
-                "<u4",
-            )
+            text = " ".join(t for _, t in some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 other += some
                 continue
-            start = 0
-            for (stem, _), end in zip(some, ends.tolist()):
-                self.stems[stem] = ids[start:end].tobytes()
+            packed, start = ids.tobytes(), 0
+            for (word, _), end in zip(some, (4 * ends).tolist()):
+                self.words[word] = packed[start:end]
                 start = end
         if other:
-            found = self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)
-            for (stem, _), encoded in zip(other, found):
-                self.stems[stem] = np.array(encoded.ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = words
-        if len(self.stems) > 2 * REMEMBERED:
-            self.stems.clear()
-        parts = {w: self._parts(w) for w in new}
-        self._encode_stems(
-            list({x for p in parts.values() for x in p if x}.difference(self.stems))
-        )
-        get = self.stems.get
-        for word, (stem, tail) in parts.items():
-            self.words[word] = get(stem, b"") + get(tail, b"")
+            found = self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)
+            for (word, _), encoded in zip(other, found):
+                self.words[word] = np.array(encoded.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [t.split() for t in texts]
+        split = self.split(texts)
         self.learn(set().union(*split))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
