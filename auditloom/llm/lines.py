@@ -1,20 +1,16 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised and named by a hash; equal ones are one line from then on. Each has `SIMHASHES`
-independent 64-bit SimHashes, whose bits are cut into blocks; two lines that agree in a block meet. So
-lines that differ in fewer bits than there are blocks always meet, others the more likely the nearer
-they are. Pairs that meet are verified by edit similarity; of every connected group one occurrence
+independent 64-bit SimHashes, in which every different word has one vote. Their bits are cut into blocks of
+`WIDTH` bits; two lines that agree in a block meet. So lines that differ in fewer bits than there are
+blocks always meet, others the more likely the nearer they are, and whether two lines meet depends on
+nothing but them. Pairs that meet are verified by edit similarity; of every connected group one occurrence
 stays, the first by document and line.
-
-A caller can ask for a fixed `distance` instead: then lines meet if their first SimHashes differ in at
-most so many bits, which choices of all but `distance` blocks find.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +19,14 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.components import components
 from auditloom.llm.words import (
-    Shared, hash_spans, mix, name_filter, shared_names, spans, steps,
+    Shared, buffers, distinct, hash_spans, mix, name_filter, shared_names, spans, steps,
 )
 from auditloom.session import cut
 
-#: Bits that may differ where a distance is asked for, least edit similarity in percent, words of the
-#: shortest line that takes part.
-DISTANCE, PERCENT, MIN_WORDS = 3, 80, 1
-#: SimHashes of a line, least bits of a block, lines that a line meets by chance in a block, were
-#: SimHashes evenly spread, and bits of the first SimHash beyond which lines that met are not compared.
-SIMHASHES, LEAST_WIDTH, BY_CHANCE_IN_BLOCK, APART = 12, 12, 0.125, 22
-#: Lines that a line would meet by chance, were SimHashes evenly spread; common words make it many
-#: times more. More lines get more and narrower choices of blocks.
-BY_CHANCE = 0.001
+#: Least edit similarity in percent, words of the shortest line that takes part.
+PERCENT, MIN_WORDS = 80, 1
+#: SimHashes of a line, bits of a block (32: a block is half a SimHash).
+SIMHASHES, WIDTH = 12, 32
 #: Rounds that link lines to leaders before the remaining pairs are joined.
 LEADER_ROUNDS = 2
 
@@ -57,9 +48,9 @@ def normalised(text: str) -> bytes:
 
 
 def simhashes(words: np.ndarray, first: np.ndarray, count: np.ndarray, many: int) -> np.ndarray:
-    """`many` SimHashes of each line, whose word hashes begin at `first`; every word has one vote.
+    """`many` SimHashes of each line, whose word hashes begin at `first`; every one given has one vote.
 
-    The first word decides a tie (of two words, a hash of both), so bits are even in lines of any length.
+    The first decides a tie (of two, a hash of both), so bits are even in lines of any length.
     """
     pairs = np.flatnonzero(count == 2)
     out = np.empty((len(count), many), np.uint64)
@@ -70,39 +61,28 @@ def simhashes(words: np.ndarray, first: np.ndarray, count: np.ndarray, many: int
         own = mix(words + _U(k * 0x9E3779B97F4A7C15 % 2**64)) if k else words
         hashes, deciding = own.astype(">u8"), own[first]
         deciding[pairs] = mix(deciding[pairs] + own[first[pairs] + 1])
-        lanes = _SPREAD[hashes.view(np.uint8)].reshape(-1, 8)
-        votes = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)
+        each = hashes.view(np.uint8).reshape(-1, 8)
+        sums = [np.add.reduceat(_SPREAD[each[:, byte]], starts) for byte in range(8)]
+        votes = np.stack(sums, axis=1).view(np.uint8).reshape(-1, 64).astype(np.int16)
         if len(starts) > len(count):
-            votes = np.add.reduceat(votes, begin, axis=0)
+            votes = np.add.reduceat(votes.astype(np.int32), begin, axis=0)
         leading = np.unpackbits(deciding.astype(">u8").view(np.uint8)).reshape(-1, 64)
         bits = 2 * votes + leading > count[:, None]
         out[:, k] = np.packbits(bits, axis=1).view(">u8").ravel()
     return out
 
 
-def width(n: int) -> int:
-    """Bits of a block for `n` lines."""
-    return min(max(math.ceil(math.log2(max(n, 1) / BY_CHANCE_IN_BLOCK)), LEAST_WIDTH), 64)
-
-
-def sketch_keys(sketches: np.ndarray, bits: int) -> np.ndarray:
-    """A key for each block of `bits` bits of each line's SimHashes (a row of `sketches`)."""
-    blocks = 64 * sketches.shape[1] // bits
-    out = np.empty((len(sketches), blocks), np.uint64)
-    for at in range(0, len(sketches), 4096):
-        some = np.unpackbits(sketches[at : at + 4096].astype(">u8").view(np.uint8), axis=1)
-        for i in range(blocks):
-            wide = np.zeros((len(some), 64), np.uint8)
-            wide[:, :bits] = some[:, i * bits : (i + 1) * bits]
-            value = np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
-            out[at : at + 4096, i] = mix(value + _U((i + 1) * 0xA24BAED4963EE407 % 2**64))
-    return out
+def block_keys(sketches: np.ndarray) -> np.ndarray:
+    """A key for each block of each line's SimHashes (a row of `sketches`)."""
+    blocks = np.ascontiguousarray(sketches).view(np.uint32).astype(np.uint64)
+    own = (np.arange(blocks.shape[1], dtype=np.uint64) + _U(1)) * _U(0xA24BAED4963EE407)
+    return mix(blocks + own)
 
 
 class _Lines:
-    """Normalised lines of some texts: words of each, name, SimHash and length."""
+    """Normalised lines of some texts: words of each, name, length and, if `sketched`, SimHashes."""
 
-    def __init__(self, texts: list[str | None], min_words: int, many: int = 1) -> None:
+    def __init__(self, texts: list[str | None], min_words: int, sketched: bool = True) -> None:
         parts = [normalised(t or "") for t in texts]
         self.per_text = np.array([p.count(b"\n") + 1 for p in parts], np.int64)
         joined = b"\n".join(parts)
@@ -122,8 +102,6 @@ class _Lines:
         place = (np.arange(len(hashes)) - np.repeat(first, count)).astype(np.uint64)
         self.low, self.high = starts[first], ends[first + count - 1] if len(first) else ends[:0]
         self.length = np.zeros(len(count), np.int64)
-        self.simhashes = simhashes(hashes, first, count, many)
-        self.simhash = self.simhashes[:, 0]
         self.names = np.zeros(len(count), np.uint64)
         if len(count):
             placed = mix(hashes ^ ((place + _U(1)) * _U(0xA24BAED4963EE407)))
@@ -132,35 +110,68 @@ class _Lines:
         ends_of = np.cumsum(self.per_text)
         self.text = np.searchsorted(ends_of, self.used, "right")
         self.place = self.used - (ends_of - self.per_text)[self.text]
+        # equal lines are sketched once
+        _, self.once, self.kind = np.unique(self.names, return_index=True, return_inverse=True)
+        if sketched:
+            of = np.repeat(np.isin(np.arange(len(count)), self.once), count)
+            own, sizes = distinct(hashes[of], count[np.sort(self.once)])
+            sketches = simhashes(own, np.cumsum(sizes) - sizes, sizes, SIMHASHES)
+            self.sketches = sketches[np.argsort(np.argsort(self.once))]  # in the order of `once`
 
     def line(self, i: int) -> bytes:
         """The `i`-th used line, its words joined by one space."""
         return b" ".join(self.joined[self.low[i] : self.high[i]].split())
 
 
-def document_lines(docs: DataFrame, min_words: int = MIN_WORDS, many: int = SIMHASHES) -> DataFrame:
-    """`doc_id, row, line, name, simhash, length, sketch` of the lines with `min_words` words or more.
+def document_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """`doc_id, row, line, name, length, sketch` of the lines with `min_words` words or more.
 
-    `sketch` holds all `many` SimHashes, 8 bytes each; it is empty if there is one.
+    `sketch` holds the line's SimHashes, 8 bytes each, where it first occurs in a step; it is null at
+    later places.
     """
-    schema = "doc_id long, row long, line int, name long, simhash long, length int, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch, 2):
-                found = _Lines(step.column(2).to_pylist(), min_words, many)
-                sketch = [x.tobytes() if many > 1 else b"" for x in found.simhashes]
+                found = _Lines(step.column(2).to_pylist(), min_words)
+                sketch = [None] * len(found.names)
+                for at, own in zip(found.once.tolist(), found.sketches):
+                    sketch[at] = own.tobytes()
                 owner = pa.array(found.text)
                 yield pa.RecordBatch.from_arrays([
                     step.column(0).take(owner), step.column(1).take(owner),
                     pa.array(found.place, pa.int32()), pa.array(found.names.view(np.int64)),
-                    pa.array(found.simhash.view(np.int64)), pa.array(found.length, pa.int32()),
-                    pa.array(sketch, pa.binary()),
-                ], ["doc_id", "row", "line", "name", "simhash", "length", "sketch"])
+                    pa.array(found.length, pa.int32()), pa.array(sketch, pa.binary()),
+                ], ["doc_id", "row", "line", "name", "length", "sketch"])
 
+    schema = "doc_id long, row long, line int, name long, length int, sketch binary"
     return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
 
 
+def _keys(column: pa.Array) -> np.ndarray:
+    data, _ = buffers(column)
+    return block_keys(np.frombuffer(data.tobytes(), _U).reshape(len(column), SIMHASHES))
+
+
+def shared_keys(found: DataFrame) -> DataFrame:
+    """`key, name, length`: the blocks' keys that several lines have, and perhaps a few others."""
+    once = found.filter("sketch IS NOT NULL").select("sketch", "name", "length")
+    shared = shared_names(once.select("sketch"), lambda b: _keys(b.column(0)).ravel(), slices=lambda b: [b])
+    table = found.sparkSession.sparkContext.broadcast((shared.bits, shared.levels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shared(*table.value)
+        for batch in batches:
+            keys = _keys(batch.column(0))
+            line, block = np.nonzero(known.contains(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[line, block].view(np.int64)), *batch.select([1, 2]).take(pa.array(line)).columns],
+                ["key", "name", "length"],
+            )
+
+    return once.mapInArrow(run, "key long, name long, length int").distinct()
+
+
 def line_texts(docs: DataFrame, wanted: Shared, min_words: int) -> DataFrame:
     """`name, text` of the lines whose name `wanted` contains (and perhaps a few more)."""
     table = docs.sparkSession.sparkContext.broadcast((wanted.bits, wanted.levels))
@@ -169,41 +180,18 @@ def line_texts(docs: DataFrame, wanted: Shared, min_words: int) -> DataFrame:
         known = Shared(*table.value)
         for batch in batches:
             for step in steps(batch, 0):
-                found = _Lines(step.column(0).to_pylist(), min_words)
-                _, first = np.unique(found.names, return_index=True)
-                first = first[known.contains(found.names[first])]
+                found = _Lines(step.column(0).to_pylist(), min_words, sketched=False)
+                first = found.once[known.contains(found.names[found.once])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(found.names[first].view(np.int64)),
                     pa.array([found.line(i).decode("utf-8", "replace") for i in first.tolist()], pa.string()),
                 ], ["name", "text"])
 
-    return docs.select("text").mapInArrow(run, "name long, text string").dropDuplicates(["name"])
-
-
-def block_keys(simhash: Column, n: int, distance: int = DISTANCE) -> Column:
-    """Keys on which two SimHashes meet if they differ in at most `distance` bits.
-
-    The 64 bits are cut into blocks; a key is a choice of all blocks but `distance`. There are as
-    many blocks as `n` lines need, so that few meet by chance.
-    """
-    blocks = distance + 1
-    while blocks < 2 * distance + 2:
-        choices = math.comb(blocks, distance)
-        if n * choices <= BY_CHANCE * 2 ** (64 * (blocks - distance) / blocks):
-            break
-        blocks += 1
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return F.array(*(
-        F.xxhash64(F.lit(i), simhash.bitwiseAND(F.lit(signed(sum(choice)))))
-        for i, choice in enumerate(combinations(masks, blocks - distance))
-    ))
+    return docs.select("text").mapInArrow(run, "name long, text string")
 
 
-def _near(one: str, other: str, distance: int, percent: int) -> Column:
+def _near(one: str, other: str, percent: int) -> Column:
     return F.expr(
-        f"bit_count({one}.simhash ^ {other}.simhash) <= {distance} AND "
         f"100 * least({one}.length, {other}.length) >= {percent} * greatest({one}.length, {other}.length)"
     )
 
@@ -211,7 +199,8 @@ def _near(one: str, other: str, distance: int, percent: int) -> Column:
 def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The `pairs` (`a, b`, names of lines) whose `texts` have an edit similarity of `percent` or more.
 
-    The similarity is 1 less the Levenshtein distance over the longer length, in characters.
+    The similarity is 1 less the Levenshtein distance over the longer length, in characters. The work for
+    a pair is its length times the distance that is allowed.
     """
     x = texts.select(F.col("name").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("name").alias("b"), F.col("text").alias("y"))
@@ -222,71 +211,16 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _with_keys(names: DataFrame, distance: int | None) -> DataFrame:
-    """`name, simhash, length` and the `keys` on which lines meet."""
-    n = names.count()
-    if distance is not None:
-        return names.select("name", "simhash", "length", block_keys(F.col("simhash"), n, distance).alias("keys"))
-    bits = width(n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), _U).reshape(batch.num_rows, -1)
-                keys = sketch_keys(sketches, bits)
-                ends = np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))],
-                    ["name", "simhash", "length", "keys"],
-                )
-
-    return names.select("name", "simhash", "length", "sketch").mapInArrow(
-        run, "name long, simhash long, length int, keys array<long>"
-    )
-
-
-def _keyed(names: DataFrame, distance: int | None) -> DataFrame:
-    """`key, name, simhash, length` for the keys that two lines or more have, and perhaps a few others."""
-    keys = _with_keys(names, distance)
-
-    def of(column: pa.Array) -> np.ndarray:
-        return column.to_numpy(zero_copy_only=False).view(np.uint64)
-
-    shared = shared_names(
-        keys.select(F.explode("keys").alias("key")), lambda batch: of(batch.column(0)),
-        slices=lambda batch: [batch],
-    )
-    table = names.sparkSession.sparkContext.broadcast((shared.bits, shared.levels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Shared(*table.value)
-        for batch in batches:
-            own = batch.column(3)
-            flat = own.flatten()
-            line = np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
-            keep = known.contains(of(flat))
-            taken = batch.select([0, 1, 2]).take(pa.array(line[keep]))
-            yield pa.RecordBatch.from_arrays(
-                [flat.filter(pa.array(keep)), *taken.columns], ["key", "name", "simhash", "length"]
-            )
-
-    return cut(keys.mapInArrow(run, "key long, name long, simhash long, length int"))
-
-
-def line_groups(
-    names: DataFrame, docs: DataFrame, distance: int | None = None, percent: int = PERCENT,
-    min_words: int = MIN_WORDS,
-) -> DataFrame:
-    """`id, component` of all linked lines; `names` has a row `name, simhash, length, sketch` per distinct line.
+def line_groups(keyed: DataFrame, docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """`id, component` of all linked lines; `keyed` has the distinct rows `key, name, length`, written.
 
     In a few linear rounds, lines are linked to one leader per key, another one in each round. Then all
     pairs of lines that meet and are still in different groups are joined. So no link is lost, and
     a large group of variants is not expanded into its pairs.
     """
-    keyed = _keyed(names, distance)
-    apart = APART if distance is None else distance
     wanted = keyed.select("name").distinct()
-    texts = cut(line_texts(docs, name_filter(wanted), min_words).join(wanted, "name", "left_semi"))
+    texts = line_texts(docs, name_filter(wanted), min_words).join(wanted, "name", "left_semi")
+    texts = cut(texts.groupBy("name").agg(F.min("text").alias("text")))
     links = found = None
 
     def placed() -> DataFrame:
@@ -298,11 +232,11 @@ def line_groups(
 
     for turn in range(LEADER_ROUNDS):
         grouped = placed() if found is None else cut(placed())
-        order = F.struct(F.xxhash64("name", F.lit(turn)).alias("o"), "name", "simhash", "length", "component")
+        order = F.struct(F.xxhash64("name", F.lit(turn)).alias("o"), "name", "length", "component")
         leader = grouped.groupBy("key").agg(F.min(order).alias("l"), F.count("*").alias("k"))
         met = (
             grouped.alias("b").join(leader.filter("k > 1").select("key", "l.*").alias("a"), "key")
-            .filter("a.component <> b.component").filter(_near("a", "b", apart, percent))
+            .filter("a.component <> b.component").filter(_near("a", "b", percent))
             .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
         )
         more = similar(met, texts, percent)
@@ -316,55 +250,50 @@ def line_groups(
     pairs = (
         open_.alias("a").join(
             open_.alias("b"),
-            F.expr("a.key = b.key AND a.name < b.name AND a.component <> b.component")
-            & _near("a", "b", apart, percent),
+            F.expr("a.key = b.key AND a.name < b.name AND a.component <> b.component") & _near("a", "b", percent),
         )
         .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
     )
     return components(links.unionByName(similar(pairs, texts, percent)))
 
 
-def dedup_lines(
-    docs: DataFrame, distance: int | None = None, percent: int = PERCENT, min_words: int = MIN_WORDS
-) -> DataFrame:
-    """`docs` with `text` less its repeated lines, and `n_lines, n_removed` (long; replaced).
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """`docs` with `text` less its repeated lines, and `n_lines, n_removed` (long; own ones are replaced).
 
-    Of a group of similar lines the first stays, by `doc_id` (null last), then by place. Shorter lines
-    always stay. Lines meet in a block of their SimHashes, or within a `distance` of the first one. A null text stays null and has no lines; a text that loses no line stays as it is.
-    Rows equal in `doc_id` and `text` are one document and treated alike.
+    Of a group of similar lines the first stays, by `doc_id` (null last), then by place. Lines without a
+    word always stay. A null text stays null and has no lines; a text that loses no line stays as it is; all
+    other columns are kept, whatever their names. Rows equal in `doc_id` and `text` are one document and
+    treated alike; different texts of one id are told apart by 64-bit hashes. Lines of any length take
+    part; equal ones are found whole, and a similar pair of n characters takes n x n / 5 steps.
     """
     row = F.xxhash64("doc_id", "text")
-    plain = docs.drop("n_lines", "n_removed", "_row", "_gone").withColumn("_row", row)
-    texts = plain.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), "text")
-    found = cut(document_lines(texts, min_words, SIMHASHES if distance is None else 1))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
+    found = cut(document_lines(texts, min_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     names = cut(found.groupBy("name").agg(
-        F.first("simhash").alias("simhash"), F.first("length").alias("length"),
-        F.first("sketch").alias("sketch"),
-        F.min(place).alias("first"), F.max(place).alias("last"),
+        F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("several")
     ))
-    groups = line_groups(names.select("name", "simhash", "length", "sketch"), texts, distance, percent, min_words)
-    grouped = names.drop("sketch").join(groups.withColumnRenamed("id", "name"), "name", "left")
+    groups = line_groups(cut(shared_keys(found)), texts, percent, min_words)
+    grouped = names.join(groups.withColumnRenamed("id", "name"), "name", "left")
+    grouped = cut(grouped.filter("component IS NOT NULL OR several"))
     least = grouped.filter("component IS NOT NULL").groupBy("component").agg(
         F.min("first").alias("least")
     )
-    kept = cut(
-        grouped.join(least, "component", "left")
-        .filter("component IS NOT NULL OR first <> last")
-        .select("name", F.coalesce("least", "first").alias("kept"))
-    )
-    gone = found.join(kept, "name").filter(
+    kept = grouped.join(least, "component", "left").select("name", F.coalesce("least", "first").alias("kept"))
+    gone = found.select("doc_id", "row", "line", "name").join(kept, "name").filter(
         (F.col("row") != F.col("kept.row")) | (F.col("line") != F.col("kept.line"))
-    ).groupBy("row").agg(F.collect_set("line").alias("_gone"))  # at most the lines of one text
-    lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    changed = F.col("_gone").isNotNull()
-    return (
-        plain.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
-        .withColumns({
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "text": F.when(changed, F.array_join(stay, "\n")).otherwise(F.col("text")),
-        })
-        .select(*(c for c in plain.columns if c != "_row"), "n_lines", "n_removed")
+    ).groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))  # at most the lines of one text
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("id"), row.alias("hash"))
+    joined = own.join(gone, F.expr("id <=> doc_id AND hash = row"), "left").withColumn(
+        "lines", F.when(F.col("gone").isNotNull(), F.split("own.text", "\n"))
+    )
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    n_lines = F.length("own.text") - F.length(F.replace("own.text", F.lit("\n"), F.lit(""))) + 1
+    replaced = ("n_lines", "n_removed")
+    return joined.select(
+        *((F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(text) if c == "text"
+           else F.col("own").getField(c)).alias(c) for c in docs.columns if c not in replaced),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -184,23 +184,22 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def brute_lines(rows, distance, percent):
-    """Rows left of each document, by the operator's own SimHash and a comparison of all lines."""
+def brute_lines(rows, percent=80):
+    """Rows left of each document: lines that share a key of the operator and are similar, by comparing all."""
     found = []
     for i, text in rows:
         if text is None:
             continue
         part = lines._Lines([text], lines.MIN_WORDS)
+        keys = lines.block_keys(part.sketches)
         for k in range(len(part.used)):
-            found.append((i, int(part.place[k]), int(part.simhash[k]), part.line(k).decode()))
+            found.append((i, int(part.place[k]), set(keys[part.kind[k]].tolist()), part.line(k).decode()))
     links = []
     for a, x in enumerate(found):
         for b in range(a):
             y = found[b]
             longest = max(len(x[3]), len(y[3]))
-            if x[3] == y[3] or bin(x[2] ^ y[2]).count("1") <= distance and (
-                100 * (longest - levenshtein(x[3], y[3])) >= percent * longest
-            ):
+            if x[3] == y[3] or x[2] & y[2] and 100 * (longest - levenshtein(x[3], y[3])) >= percent * longest:
                 links.append((a, b))
     order = sorted(range(len(found)), key=lambda k: found[k][:2])
     rank = {k: r for r, k in enumerate(order)}
@@ -221,9 +220,9 @@ def brute_lines(rows, distance, percent):
 def test_line_dedup(spark):
     rng = random.Random(8)
     vocabulary = [f"word{i}" for i in range(200)]
-    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 25))) for _ in range(25)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 45))) for _ in range(25)]
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "short line\nshort line")]
-    for i in range(35):
+    for i in range(60):
         own = []
         for _ in range(rng.randint(1, 3)):
             line = rng.choice(base).split()
@@ -232,30 +231,50 @@ def test_line_dedup(spark):
                 line[k] = line[k][:-1] + rng.choice("0123456789x!")
             own.append(" ".join(line).title() if rng.random() < 0.2 else " ".join(line))
         rows.append((10 + i, "\n".join(own)))
-    docs = frame(spark, rows).withColumn("line", F.lit(1)).withColumn("n_removed", F.lit("clash"))
-    for distance, percent in ((3, 80), (6, 95)):
-        found = lines.dedup_lines(docs, distance, percent).collect()
-        expected = brute_lines(rows, distance, percent)
-        assert {r.doc_id: r.text for r in found} == expected
+    clashing = ["line", "row", "own", "hash", "gone", "lines", "keys", "name", "id", "doc", "first", "component"]
+    docs = frame(spark, rows).withColumns({c: F.lit(c) for c in clashing}).withColumn("n_removed", F.lit("clash"))
+    for percent in (80, 95):
+        found = lines.dedup_lines(docs, percent).collect()
+        assert {r.doc_id: r.text for r in found} == brute_lines(rows, percent)
         assert sum(r.n_removed for r in found) > 10
+        assert all(r[c] == c for r in found for c in clashing)
+        assert {r.doc_id: r.n_lines for r in found} == {i: 0 if t is None else t.count("\n") + 1 for i, t in rows}
     assert lines.dedup_lines(docs.filter("false")).count() == 0
 
 
-def test_line_dedup_recall(spark):
-    """Against edit similarity alone: one word replaced in lines of 6 to 40 words."""
-    rng = random.Random(21)
+def variants(words, n, seed=21):
+    """Pairs of lines of so many words, one of them replaced, with an edit similarity of 80 % or more."""
+    rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
-    rows, pairs = [], 0
-    for i in range(120):
-        line = [rng.choice(vocabulary) for _ in range(rng.randint(6, 40))]
+    out = []
+    while len(out) < n:
+        line = [rng.choice(vocabulary) for _ in range(words)]
         other = list(line)
-        other[rng.randrange(len(line))] = rng.choice(vocabulary)
-        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
-        longest = max(len(rows[-1][1]), len(rows[-2][1]))
-        pairs += 100 * (longest - levenshtein(rows[-1][1], rows[-2][1])) >= 80 * longest
-    found = lines.dedup_lines(frame(spark, rows)).collect()
-    gone = {r.doc_id for r in found if r.n_removed}
-    assert pairs > 100 and all(i % 2 for i in gone) and 0.95 * pairs <= len(gone) <= pairs
+        other[rng.randrange(words)] = rng.choice(vocabulary)
+        line, other = " ".join(line), " ".join(other)
+        longest = max(len(line), len(other))
+        if other != line and 100 * (longest - levenshtein(line, other)) >= 80 * longest:
+            out.append((line, other))
+    return out
+
+
+def test_line_dedup_recall(spark):
+    """Against edit similarity alone, and the same whatever else the table holds."""
+    for words, least in ((40, 0.85), (100, 0.97)):
+        pairs = variants(words, 60)
+        rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+        gone = [{r.doc_id for r in lines.dedup_lines(frame(spark, more)).collect() if r.n_removed} - set(range(1000, 9000))
+                for more in (rows, rows + [(1000 + i, p[0]) for i, p in enumerate(variants(9, 1500, 5))])]
+        assert gone[0] == gone[1] and all(i % 2 for i in gone[0]) and len(gone[0]) >= least * len(pairs)
+
+
+def test_a_repeated_word_has_one_vote(spark):
+    """Long lines, every sixtieth word replaced by the same one."""
+    rng = random.Random(2)
+    line = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(1500)]
+    other = ["x" if i % 60 == 0 else w for i, w in enumerate(line)]
+    found = lines.dedup_lines(frame(spark, [(1, " ".join(line)), (2, " ".join(other))])).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 1}
 
 
 def test_short_lines_take_part(spark):
@@ -281,19 +300,16 @@ def test_simhashes_count_votes():
     assert len(np.unique(found)) == found.size
 
 
-def test_block_keys_meet(spark):
+def test_block_keys_meet():
+    """Sketches that differ in fewer bits than there are blocks share a key."""
     rng = np.random.default_rng(0)
-    for n in (10, 10**6, 10**9):
-        rows = []
-        for _ in range(200):
-            x = int(rng.integers(0, 1 << 63))
-            y = x
-            for bit in rng.permutation(64)[: int(rng.integers(0, 4))]:
-                y ^= 1 << int(bit)
-            rows.append((x, y - (1 << 64) if y >> 63 else y))
-        pairs = spark.createDataFrame(rows, "x long, y long")
-        met = F.arrays_overlap(lines.block_keys(F.col("x"), n), lines.block_keys(F.col("y"), n))
-        assert pairs.filter(~met).count() == 0
+    for _ in range(50):
+        one = rng.integers(0, 1 << 63, (1, lines.SIMHASHES), np.uint64)
+        other, blocks = one.copy(), 2 * lines.SIMHASHES
+        for bit in rng.permutation(64 * lines.SIMHASHES)[: blocks - 1].tolist():
+            other[0, bit // 64] ^= np.uint64(1 << bit % 64)
+        assert np.isin(lines.block_keys(one), lines.block_keys(other)).any()
+        assert len(np.unique(lines.block_keys(one))) == blocks
 
 
 def test_vectors(spark):
