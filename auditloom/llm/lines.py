@@ -26,7 +26,7 @@ from auditloom.session import cut
 #: Least edit similarity in percent, words of the shortest line that takes part.
 PERCENT, MIN_WORDS = 80, 1
 #: SimHashes of a line, bits of a block (32: a block is half a SimHash).
-SIMHASHES, WIDTH = 12, 32
+SIMHASHES, WIDTH = 8, 32
 #: Rounds that link lines to leaders before the remaining pairs are joined.
 LEADER_ROUNDS = 2
 
@@ -154,7 +154,11 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 
 def shared_keys(found: DataFrame) -> DataFrame:
-    """`key, name, length`: the blocks' keys that several lines have, and perhaps a few others."""
+    """`key, name, length`, written: the blocks' keys that several lines have, each with those lines.
+
+    Keys that occur once never travel. Those of one line that stands in many texts do, once per task, and
+    are dropped then.
+    """
     once = found.filter("sketch IS NOT NULL").select("sketch", "name", "length")
     shared = shared_names(once.select("sketch"), lambda b: _keys(b.column(0)).ravel(), slices=lambda b: [b])
     table = found.sparkSession.sparkContext.broadcast((shared.bits, shared.levels))
@@ -169,7 +173,9 @@ def shared_keys(found: DataFrame) -> DataFrame:
                 ["key", "name", "length"],
             )
 
-    return once.mapInArrow(run, "key long, name long, length int").distinct()
+    keyed = cut(once.mapInArrow(run, "key long, name long, length int").distinct())
+    several = keyed.groupBy("key").agg((F.min("name") != F.max("name")).alias("several")).filter("several")
+    return cut(keyed.join(several.select("key"), "key", "left_semi"))
 
 
 def line_texts(docs: DataFrame, wanted: Shared, min_words: int) -> DataFrame:
@@ -273,7 +279,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     names = cut(found.groupBy("name").agg(
         F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("several")
     ))
-    groups = line_groups(cut(shared_keys(found)), texts, percent, min_words)
+    groups = line_groups(shared_keys(found), texts, percent, min_words)
     grouped = names.join(groups.withColumnRenamed("id", "name"), "name", "left")
     grouped = cut(grouped.filter("component IS NOT NULL OR several"))
     least = grouped.filter("component IS NOT NULL").groupBy("component").agg(
