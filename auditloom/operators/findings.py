@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom import fixed
 from auditloom.functions.text import severity_rank, truncate
 from auditloom.schemas import FINDING_BODY, SNAPSHOT_KEY, STORED_FINDINGS
+from auditloom.sources import commits
 
 #: Folders of the findings table.
 PARTS = 256
@@ -132,22 +133,32 @@ def stored_form(kept: DataFrame, run_key: Sequence[str] = ("analysis_id",)) -> D
     )
 
 
-def append_findings(stored: DataFrame, path: str) -> None:
-    """Append a job's rows to the table at `path`, in `PARTS` folders by their run's id.
+#: The findings table as it is stored: folders by a hash of the run's id.
+_PLACED = T.StructType([*STORED_FINDINGS.fields, T.StructField("part", T.IntegerType())])
 
-    A run's rows always go to the same folder, on whatever day, so a repeated job finds its own rows
-    there by id and adds none twice. Only the folders of the job's runs are read.
+
+def append_findings(stored: DataFrame, path: str, job: str | None = None) -> bool:
+    """Commit a job's rows to the table at `path`; whether this call did.
+
+    Readers (`read_findings`) see all rows of a job or none. A job that was committed before adds nothing,
+    and rows that another job has committed are told by their id and not added twice. A run's rows always
+    go to the same of `PARTS` folders, so only the folders of the job's runs are read. Without a name
+    a job is one of its own.
     """
     spark = stored.sparkSession
     part = F.pmod(F.crc32(F.col("analysis_id").cast("binary")), F.lit(PARTS)).cast("int")
     placed = stored.select(*STORED_FINDINGS.names, part.alias("part"))
     parts = [r["part"] for r in placed.select("part").distinct().collect()]  # at most PARTS
-    schema = T.StructType([STORED_FINDINGS["id"], T.StructField("part", T.IntegerType())])
-    try:
-        known = spark.read.schema(schema).parquet(path).filter(F.col("part").isin(parts))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        placed = placed.join(known.select("id"), "id", "left_anti")
-    placed.select(*STORED_FINDINGS.names, "part").write.mode("append").partitionBy("part").parquet(path)
+    known = commits.committed(spark, path, _PLACED).filter(F.col("part").isin(parts))
+    fresh = placed.join(known.select("id"), "id", "left_anti")
+    return commits.commit(fresh, path, job or uuid.uuid4().hex, ["part"])
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The committed rows of the findings table at `path`."""
+    return commits.committed(spark, path, _PLACED).select(*STORED_FINDINGS.names)
+
+
+def compact_findings(spark: SparkSession, path: str) -> int:
+    """Merge the committed jobs' files, one file per folder; how many jobs there were."""
+    return commits.compact(spark, path, _PLACED, ["part"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 from auditloom.functions.text import truncate
 from auditloom.operators import catalog, findings, responses, rules
-from auditloom.operators.analyzers import Analyzer, run_analyzers
+from auditloom.operators.analyzers import Analyzer, analyze, errors_of, findings_of, without_errors
 from auditloom.operators.facts import extract_facts
 from auditloom.operators.secrets import SECRET_ANALYZER, secret_findings
 from auditloom.schemas import FILE_KEY, SNAPSHOT_KEY
@@ -24,11 +24,12 @@ RUN_FIELDS = ["analysis_id", "repository_id", "repo", "commit_sha"]
 
 @dataclass(frozen=True)
 class Audit:
-    """What one job gives: rows for the findings and event tables, and metrics per run."""
+    """What one job gives: rows for the findings and event tables, metrics per run, analyzers' errors."""
 
     findings: DataFrame
     metrics: DataFrame
     events: DataFrame
+    errors: DataFrame
 
 
 def audit(
@@ -66,11 +67,11 @@ def audit(
     )
 
     facts = cut(extract_facts(python))
-    static = [rules.rule_findings(facts, max_lines, max_complexity)]
+    static = [without_errors(rules.rule_findings(facts, max_lines, max_complexity))]
     analyzed = rules.files_analyzed(facts)
     if more_analyzers:
         static.append(
-            run_analyzers(python, list(more_analyzers))
+            analyze(python, list(more_analyzers))
             .withColumn("source_rank", F.col("source_rank") + 1)
         )
         read = python.select(*FILE_KEY).groupBy(*SNAPSHOT_KEY)
@@ -81,14 +82,15 @@ def audit(
     ))
     review_rank = len(more_analyzers) + 1
     found = findings.union_findings(
-        [*static, responses.review_findings(parsed, review_rank)]
+        [*static, without_errors(responses.review_findings(parsed, review_rank))]
     )
-    found = cut(found)  # the stored rows and the counts both read it
+    tagged = cut(found)  # the stored rows, the counts and the errors read it
+    found, failed = findings_of(tagged), errors_of(tagged)
     kept = findings.dedup(found)
 
     counts = findings.counts_of_raw(found)
     unread = rules.files_failed(facts)
-    metrics = _metrics(runs, guard, counts, findings.most_files(analyzed), unread, parsed)
+    metrics = _metrics(runs, guard, counts, findings.most_files(analyzed), unread, parsed, failed)
     # by now the files are parsed and all findings written
     ended_at = finished_at() if callable(finished_at) else finished_at
     metrics = metrics.withColumn(
@@ -99,12 +101,13 @@ def audit(
         findings=findings.stored_form(owned),
         metrics=metrics,
         events=_events(metrics, started_at, ended_at),
+        errors=failed,
     )
 
 
 def _metrics(
     runs: DataFrame, guard: DataFrame, counts: DataFrame, analyzed: DataFrame,
-    unread: DataFrame, parsed: DataFrame,
+    unread: DataFrame, parsed: DataFrame, errors: DataFrame,
 ) -> DataFrame:
     """One row per run. Each side is one row per snapshot before it is joined."""
     failed = F.count_if(F.col("error").isNotNull()) if "error" in parsed.columns else F.lit(0)
@@ -114,8 +117,9 @@ def _metrics(
         F.sum("discarded").alias("discarded"),
         F.max("summary").alias("summary"),
     )
+    broken = errors.groupBy(*SNAPSHOT_KEY).agg(F.countDistinct("analyzer").alias("failed_analyzers"))
     joined = runs.select(*RUN_FIELDS).join(guard, SNAPSHOT_KEY, "left")
-    for side in (counts, analyzed, unread, review):
+    for side in (counts, analyzed, unread, review, broken):
         joined = joined.join(side, SNAPSHOT_KEY, "left")
     error = (
         F.when(F.col("commit_sha").isNull(), "unknown ref")
@@ -127,6 +131,7 @@ def _metrics(
     numbers = [
         "total_findings", "critical_count", "high_count", "static_count", "review_count",
         "files_analyzed", "tokens_used", "discarded", "failed_files", "failed_reviews",
+        "failed_analyzers",
     ]
     counted = joined.fillna(0, numbers).fillna("", ["summary"]).withColumn("error_message", error)
     return counted.select(
@@ -167,9 +172,10 @@ def runs_to_audit(
 def write_audit(done: Audit, root: str, job: str) -> None:
     """Store a job's results; a repeated job replaces or finds its own rows.
 
-    The terminal events come last: a run counts as completed when its findings are there.
+    Findings are committed as a whole. The terminal events come last: a run counts as completed when its
+    findings are there.
     """
-    findings.append_findings(done.findings, f"{root}/findings")
+    findings.append_findings(done.findings, f"{root}/findings", job)
     done.metrics.write.mode("overwrite").parquet(f"{root}/run_metrics/job={job}")
     done.events.write.mode("overwrite").parquet(f"{root}/analysis_events/job={job}")
 

@@ -99,6 +99,13 @@ SELECT sha256(concat(analysis_id, chr(31), repeat('deep/', 110), file_path, chr(
        cast(line_start AS bigint) AS line_start, rule_id, is_false_positive
 FROM kept""", "findings", steps=KEPT)
 
+add("committed_findings", """
+SELECT sha256(concat(analysis_id, chr(31), file_path, chr(31),
+                     coalesce(cast(line_start AS string), ''), chr(31), rule_id)) AS id,
+       analysis_id, severity, substr(title, 1, 300) AS title, substr(file_path, 1, 500) AS file_path,
+       cast(line_start AS bigint) AS line_start, rule_id, is_false_positive
+FROM kept""", "findings", steps=KEPT)
+
 # Catalog -------------------------------------------------------------------------
 
 add("owner_visible_analyses", """
@@ -359,6 +366,18 @@ FROM (SELECT repo, file_path, len(regexp_extract_all(content, '(?i)license')) AS
       FROM corpus) AS counted
 WHERE n > 0""", "corpus")
 
+add("analyzer_errors", """
+SELECT DISTINCT repo, commit_sha, cast(NULL AS string) AS file_path, 'broken' AS analyzer,
+       cast(0 AS bigint) AS source_rank, 'plan' AS phase, 'ValueError: does not work' AS error
+FROM corpus
+UNION ALL
+SELECT repo, commit_sha, file_path, 'strict', 2, 'file', 'ValueError: raise statement'
+FROM corpus WHERE contains(content, 'raise ')""", "corpus")
+
+add("file_analyzer", """
+SELECT repo, file_path, 'strict' AS analyzer, 'low' AS severity, 'Imports' AS title, 'TOY-002' AS rule_id
+FROM corpus WHERE contains(content, 'import ') AND NOT contains(content, 'raise ')""", "corpus")
+
 # Review --------------------------------------------------------------------------
 
 def _picked(table: str, size: str) -> str:

@@ -18,8 +18,8 @@ from auditloom.plans.audit import audit
 from auditloom.plans.audit import runs_to_audit as to_audit
 from auditloom.plans.bindings import bind, table
 from auditloom.schemas import FILE_KEY, SNAPSHOT_KEY
-from auditloom.session import configure, cut
-from auditloom.sources import tree
+from auditloom.session import configure, cut, scratch
+from auditloom.sources import commits, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,6 +142,25 @@ def persist_findings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def committed_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """What readers see after a commit, an attempt that died unpublished, two repeats and a compaction."""
+    kept = _kept(spark, folder).withColumns({
+        "description": F.lit("d"), "recommendation": F.lit("r"), "line_end": F.col("line_start"),
+    })
+    stored = cut(findings.stored_form(kept))
+    table_path = scratch(spark, "findings")
+    findings.append_findings(stored.filter("severity = 'critical'"), table_path, "first")
+    commits.stage(stored.limit(1000).withColumn("part", F.lit(0)), table_path, ["part"])
+    for _ in range(2):
+        findings.append_findings(stored, table_path, "second")
+    findings.compact_findings(spark, table_path)
+    return findings.read_findings(spark, table_path).select(
+        "id", "analysis_id", "severity", "title", "file_path",
+        F.col("line_start").cast("long").alias("line_start"), "rule_id", "is_false_positive",
+    )
+
+
 # Catalog -------------------------------------------------------------------------
 
 @query
@@ -431,6 +450,34 @@ def analyzer_plugin(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _strict_notes(path: str, content: str) -> list[dict]:
+    """One finding per file with an import; files with a raise statement are beyond it."""
+    if "raise " in content:
+        raise ValueError("raise statement")
+    if "import " not in content:
+        return []
+    return [{"category": "style", "severity": "low", "title": "Imports", "rule_id": "TOY-002"}]
+
+
+@query
+def analyzer_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """What failed, as rows: an analyzer without a plan, and one that cannot read some files."""
+    analyzed = analyzers.analyze(bind(spark, folder, "corpus"), [
+        analyzers.Analyzer("broken", _broken), analyzers.Analyzer("toy", _license_notes),
+        analyzers.file_analyzer("strict", _strict_notes),
+    ])
+    return analyzers.errors_of(analyzed).withColumn("source_rank", F.col("source_rank").cast("long"))
+
+
+@query
+def file_analyzer(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of a function of one file; files that it fails on give none."""
+    analyzed = analyzers.analyze(
+        bind(spark, folder, "corpus"), [analyzers.file_analyzer("strict", _strict_notes)]
+    )
+    return analyzers.findings_of(analyzed).select("repo", "file_path", "analyzer", "severity", "title", "rule_id")
+
+
 # Review --------------------------------------------------------------------------
 
 @query

@@ -51,12 +51,17 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the checkpoint folder now and go on from the written copy.
 
     Later readers read only the columns they use.
     """
-    path = f"{_shared_folder(df.sparkSession)}/cut-{uuid.uuid4()}"
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_by(df: DataFrame, column: str) -> DataFrame:
     """As `cut`, in a table with a folder per value of `column`: a filter on it reads no more."""
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{column}-{uuid.uuid4()}"
+    path = scratch(spark, column)
     df.write.partitionBy(column).parquet(path)
     kept = [f for f in df.schema.fields if f.name != column]
     return spark.read.schema(T.StructType([*kept, df.schema[column]])).parquet(path)

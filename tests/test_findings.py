@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.operators import catalog, findings, ordering
-from auditloom.operators.analyzers import Analyzer, check_schema, default_analyzers, run_analyzers
+from auditloom.operators.analyzers import (
+    Analyzer, analyze, check_schema, default_analyzers, errors_of, file_analyzer, run_analyzers,
+)
 from auditloom.operators.secrets import secret_findings
 from auditloom.schemas import FINDINGS
 
@@ -155,7 +157,7 @@ def test_append_is_repeatable(spark, tmp_path):
     findings.append_findings(stored.limit(10), path)
     findings.append_findings(stored, path)
     findings.append_findings(stored, path)
-    table = spark.read.parquet(path)
+    table = findings.read_findings(spark, path)
     assert table.count() == kept.count() == table.select("id").distinct().count()
     assert table.agg(F.max(F.length("title"))).first()[0] == 300
 
@@ -198,3 +200,42 @@ def test_secrets(source):
         (1, "SEC-001"), (4, "SEC-001"), (5, "SEC-002"), (6, "SEC-003"),
     ]
     assert {r.severity for r in rows} == {"critical"}
+
+
+def test_a_killed_append_shows_nothing(spark, tmp_path):
+    kept = findings.dedup(spark.createDataFrame(some_findings(60), SCHEMA), ["analysis_id"])
+    stored = findings.stored_form(kept.withColumns({
+        "description": F.lit("d"), "recommendation": F.lit(""), "line_end": F.col("line_start"),
+    }))
+    path = str(tmp_path / "findings")
+    killed = stored.withColumn("title", F.raise_error(F.lit("killed")).cast("string"))
+    with pytest.raises(Exception, match="killed"):
+        findings.append_findings(killed, path, "job")
+    assert findings.read_findings(spark, path).count() == 0
+    assert findings.append_findings(stored, path, "job") and not findings.append_findings(stored, path, "job")
+    assert findings.append_findings(stored, path, "another")  # finds all its rows there
+    assert findings.compact_findings(spark, path) == 2
+    assert findings.read_findings(spark, path).count() == stored.count()
+
+
+def test_errors_are_rows(spark, source):
+    files = source({"a.py": "import os\n", "b.py": "boom\n", "c.py": "x = 1\n"})
+
+    def broken(_):
+        raise KeyError("gone")
+
+    def strict(path, content):
+        if path == "b.py":
+            raise ValueError("no")
+        if path == "c.py":
+            return [{"title": "t", "line_start": "not a number"}]
+        return [{"category": "style", "severity": "low", "title": path, "rule_id": "R", "file_path": "elsewhere"}]
+
+    analyzed = analyze(files, [Analyzer("broken", broken), file_analyzer("strict", strict), Analyzer("s", secret_findings)])
+    errors = {(r.analyzer, r.file_path, r.phase, r.error.split(":")[0]) for r in errors_of(analyzed).collect()}
+    assert errors == {
+        ("broken", None, "plan", "KeyError"), ("strict", "b.py", "file", "ValueError"),
+        ("strict", "c.py", "file", next(e[3] for e in errors if e[1] == "c.py")),
+    }
+    found = run_analyzers(files, [file_analyzer("strict", strict)]).collect()
+    assert [(r.file_path, r.title, r.analyzer) for r in found] == [("a.py", "a.py", "strict")]
