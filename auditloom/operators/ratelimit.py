@@ -9,8 +9,11 @@ length:
   all. Most clients never leave this case, which needs counts only and stays in the JVM.
 * The other cells form chains. Each chain starts from a cell whose accepted requests are known,
   so chains are independent, also those of one busy client.
-* A long chain is worked off in slices of time. A slice starts from the accepted requests of the
-  window before it, so no task gets much more than a slice's worth of one client.
+* A long chain is cut into slices of time, which all begin at once, as if nothing had been accepted
+  before. Then each is handed the accepted requests that the slice before it ended with. Where those
+  differ from what it began with it is decided again, up to the point where both ways hold the same
+  requests; from there on its first decisions stand. This repeats until nothing differs, so no task gets
+  much more than a slice's worth of one client, and slices wait for each other only while a difference lasts.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom import fixed
-from auditloom.session import cut, cut_by
+from auditloom.session import cut
 
 MICROS = 1_000_000
 # Requests of one client and path that one task takes at a time
@@ -110,45 +112,84 @@ def decide_run(
     return accepted, wait
 
 
-def _decide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold sorted batches; the state is one client's accepted times, at most `limit` of them."""
-    kept: deque[int] = deque()
+class _Fold:
+    """The state of one slice: accepted times in the window now, and by the decisions of the round before."""
+
+    def __init__(self) -> None:
+        self.kept: deque[int] = deque()
+        self.old: deque[int] = deque()
+        self.met = False
+
+    def decide(
+        self, ts: np.ndarray, limits: np.ndarray, window: int, seeds: np.ndarray, was: np.ndarray, waits: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Decide again window by window until both states are the same; what `was` decided stands from there."""
+        n, times = len(ts), ts.tolist()
+        accepted, wait = was.copy(), waits.copy()
+        i = 0
+        while i < n and not self.met:
+            end = max(bisect_left(times, times[i] + window, i), i + 1)
+            now = np.flatnonzero(seeds[i:end] != OLD_SEED) + i
+            accepted[now], wait[now] = decide_run(ts[now], limits[now], window, seeds[now] == SEED, self.kept)
+            self.old.extend(ts[i:end][(seeds[i:end] == OLD_SEED) | (seeds[i:end] == REQUEST) & was[i:end]].tolist())
+            for state in (self.kept, self.old):
+                while state and times[end - 1] - state[0] >= window:
+                    state.popleft()
+            self.met = seeds[end - 1] == REQUEST and self.kept == self.old  # seeds come before requests
+            i = end
+        return accepted, wait
+
+
+def _decide_batches(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """Fold sorted batches; the state is one slice's accepted times, at most `limit` of them.
+
+    In the `first` round there is nothing to compare with.
+    """
+    fold = _Fold()
     last: tuple | None = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        keys = [batch.column(c) for c in (*_CLIENT, "chain")]
+        keys = [batch.column(c) for c in _SLICE]
         change = np.zeros(batch.num_rows, bool)
         for column in keys:
             change[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(change)
         bounds = [0, *starts.tolist(), batch.num_rows]
-        ts, limits, windows = (
-            batch.column(c).to_numpy() for c in ("at", "max_requests", "window_us")
+        ts, limits, windows, seeds = (
+            batch.column(c).to_numpy() for c in ("at", "max_requests", "window_us", "seed")
         )
-        seeds = batch.column("is_seed").to_numpy(zero_copy_only=False)
+        was = batch.column("was").fill_null(False).to_numpy(zero_copy_only=False)
+        waits = batch.column("waited").fill_null(-1).to_numpy()
         accepted, wait = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
         for low, high in zip(bounds, bounds[1:]):
             here = tuple(column[low].as_py() for column in keys)
             if here != last:
-                kept.clear()
-                last = here
-            part = slice(low, high)
-            accepted[part], wait[part] = decide_run(
-                ts[part], limits[part], int(windows[low]), seeds[part], kept
-            )
+                fold, last = _Fold(), here
+            part, window = slice(low, high), int(windows[low])
+            if first:
+                accepted[part], wait[part] = decide_run(
+                    ts[part], limits[part], window, seeds[part] == SEED, fold.kept
+                )
+            else:
+                accepted[part], wait[part] = fold.decide(
+                    ts[part], limits[part], window, seeds[part], was[part], waits[part]
+                )
         rows = pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in _WAITING),
+            [*(batch.column(c) for c in _WAITING), batch.column("slice"),
              pa.array(accepted), pa.array(wait, mask=wait < 0)],
-            names=[*_WAITING, "accepted", "retry_after"],
+            names=[*_WAITING, "slice", "accepted", "retry_after"],
         )
-        yield rows.filter(pa.array(~seeds))
+        yield rows.filter(pa.array(seeds == REQUEST))
 
 
+#: What a row is: a request to decide, an accepted one before the slice, or one that the last round held there.
+REQUEST, SEED, OLD_SEED = 0, 1, 2
+_SLICE = [*_CLIENT, "chain", "slice"]
 _WAITING = ["event_id", *_CLIENT, "chain", "at", "max_requests", "window_us"]
 _DECIDED = (
     "event_id long, path string, client_ip string, chain long, at long, max_requests long, "
-    "window_us long, accepted boolean, retry_after long"
+    "window_us long, slice long, accepted boolean, retry_after long"
 )
 
 
@@ -174,16 +215,16 @@ def _busy_cells(limited: DataFrame) -> DataFrame:
 
 
 def _slices(waiting: DataFrame, slice_rows: int) -> DataFrame:
-    """Slice of each tick of each chain, and the chain's last slice."""
+    """Slice of each tick of each chain, numbered without gaps."""
     chain = [*_CLIENT, "chain"]
     earlier = Window.partitionBy(*chain).orderBy("tick").rowsBetween(
         Window.unboundedPreceding, -1
     )
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     ticks = waiting.groupBy(*chain, "tick").agg(F.count("*").alias("n"))
-    return ticks.select(
-        *chain, "tick", F.floor(before / F.lit(slice_rows)).alias("slice")
-    ).withColumn("last_slice", F.max("slice").over(Window.partitionBy(*chain)))
+    share = ticks.select(*chain, "tick", F.floor(before / F.lit(slice_rows)).alias("share"))
+    number = F.dense_rank().over(Window.partitionBy(*chain).orderBy("share"))
+    return share.select(*chain, "tick", number.cast("long").alias("slice"))
 
 
 def rate_limit(
@@ -212,44 +253,72 @@ def rate_limit(
     )
     waiting = marked.filter(F.col("chain").isNotNull()).select(*_WAITING)
     if (longest or 0) <= slice_rows:
-        decided = [_decide(waiting.withColumn("is_seed", F.lit(False)))]
+        decided = _decide(_requests(waiting.withColumn("slice", F.lit(0).cast("long"))))
     else:
         decided = _decide_slices(waiting, slice_rows)
-    columns = ["event_id", *_CLIENT, "accepted", "retry_after"]
-    return reduce(DataFrame.unionByName, [free, *[d.select(*columns) for d in decided]])
+    return free.unionByName(decided.select("event_id", *_CLIENT, "accepted", "retry_after"))
+
+
+def _requests(rows: DataFrame, seed: int = REQUEST) -> DataFrame:
+    """Rows as a fold takes them, without decisions of an earlier round."""
+    return rows.select(
+        *_WAITING, "slice", F.lit(seed).alias("seed"), F.lit(None).cast("boolean").alias("was"),
+        F.lit(None).cast("long").alias("waited"),
+    )
+
+
+def _handed_on(decided: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """What slices end with, as the seeds of the next: no more than a policy's limit for each."""
+    held = decided.filter("accepted").select(*_WAITING, "slice")
+    if seeds is not None:  # a slice can be shorter than the window
+        held = held.unionByName(seeds)
+    ends = held.groupBy(*_SLICE).agg(F.max("at").alias("end"))
+    return held.join(ends, _SLICE).filter(F.col("at") > F.col("end") - F.col("window_us")).select(
+        *_WAITING, (F.col("slice") + 1).alias("slice")
+    )
 
 
-def _decide_slices(waiting: DataFrame, slice_rows: int) -> list[DataFrame]:
-    """Decide slice after slice; all chains' slices of one number go together."""
+def _signatures(seeds: DataFrame) -> DataFrame:
+    """One number per slice; equal for equal seeds."""
+    name = F.xxhash64("event_id", "at").cast("decimal(38,0)")
+    return seeds.groupBy(*_SLICE).agg(F.sum(name).alias("sum"), F.count("*").alias("held"))
+
+
+def _decide_slices(waiting: DataFrame, slice_rows: int) -> DataFrame:
+    """Decide all slices at once, then again those that were handed something else than they began with."""
     tick = F.least(F.lit(MICROS), F.ceil(F.col("window_us") / _TICKS_PER_WINDOW))
     ticked = waiting.withColumn("tick", F.floor(F.col("at") / tick))
-    chain = [*_CLIENT, "chain"]
-    sliced = ticked.join(_slices(ticked, slice_rows), [*chain, "tick"]).drop("tick")
-    sliced = cut_by(sliced, "slice")
-    last = sliced.agg(F.max("slice")).first()[0]
-
-    decided, seeds = [], None
-    for number in range(last + 1):
-        rows = sliced.filter(F.col("slice") == number).drop("slice")
-        longer = rows.filter(F.col("last_slice") > number).select(*chain).distinct()
-        rows = rows.drop("last_slice").withColumn("is_seed", F.lit(False))
-        done = cut(_decide(rows if seeds is None else rows.unionByName(seeds)))
-        decided.append(done)
-        accepted = done.filter("accepted").select(*_WAITING).withColumn("is_seed", F.lit(True))
-        if seeds is not None:
-            # a tick above the slice size leaves slices without rows: carry on what was known
-            longer = longer.unionByName(seeds.select(*chain)).distinct()
-            accepted = accepted.unionByName(seeds)
-        # what the next slice can still see: no more than a policy's limit per chain
-        ends = accepted.groupBy(*chain).agg(F.max("at").alias("end"))
-        seeds = cut(
-            accepted.join(longer, chain, "left_semi").join(ends, chain)
-            .filter(F.col("at") > F.col("end") - F.col("window_us")).drop("end")
-        )
-    return decided
+    sliced = ticked.join(_slices(ticked, slice_rows), [*_CLIENT, "chain", "tick"]).drop("tick")
+    decided = cut(_decide(_requests(sliced)))
+    slices = cut(decided.select(*_SLICE).distinct())
 
+    def next_of(rows: DataFrame, seeds: DataFrame | None) -> DataFrame:
+        return cut(_handed_on(rows, seeds).join(slices, _SLICE, "left_semi"))
 
-def _decide(rows: DataFrame) -> DataFrame:
-    placed = rows.repartition(*_CLIENT, "chain")
-    ordered = placed.sortWithinPartitions(*_CLIENT, "chain", "at", "event_id")
-    return ordered.mapInArrow(_decide_batches, _DECIDED)
+    seeds, handed = None, next_of(decided, None)
+    while True:
+        given = _signatures(handed)
+        if seeds is not None:
+            same = _signatures(seeds).join(given, [*_SLICE, "sum", "held"])
+            dropped = _signatures(seeds).join(given, _SLICE, "left_anti")
+            given = given.join(same, _SLICE, "left_anti").unionByName(dropped)
+        changed = cut(given.select(*_SLICE))
+        if changed.head() is None:
+            return decided
+        again = decided.join(changed, _SLICE, "left_semi").select(
+            *_WAITING, "slice", F.lit(REQUEST).alias("seed"), F.col("accepted").alias("was"),
+            F.coalesce("retry_after", F.lit(-1)).alias("waited"),
+        ).unionByName(_requests(handed.join(changed, _SLICE, "left_semi"), SEED))
+        if seeds is not None:
+            again = again.unionByName(_requests(seeds.join(changed, _SLICE, "left_semi"), OLD_SEED))
+        redone = cut(_decide(again, first=False))
+        decided = decided.join(changed, _SLICE, "left_anti").unionByName(redone)
+        after = changed.withColumn("slice", F.col("slice") + 1)
+        fresh = next_of(redone, handed.join(changed, _SLICE, "left_semi"))
+        seeds, handed = handed, handed.join(after, _SLICE, "left_anti").unionByName(fresh)
+
+
+def _decide(rows: DataFrame, first: bool = True) -> DataFrame:
+    placed = rows.repartition(*_SLICE)
+    ordered = placed.sortWithinPartitions(*_SLICE, "at", "event_id", "seed")
+    return ordered.mapInArrow(lambda batches: _decide_batches(batches, first), _DECIDED)

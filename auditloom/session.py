@@ -9,7 +9,6 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 import auditloom
 
@@ -64,12 +63,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_by(df: DataFrame, column: str) -> DataFrame:
-    """As `cut`, in a table with a folder per value of `column`: a filter on it reads no more."""
-    spark = df.sparkSession
-    path = scratch(spark, column)
-    df.write.partitionBy(column).parquet(path)
-    kept = [f for f in df.schema.fields if f.name != column]
-    return spark.read.schema(T.StructType([*kept, df.schema[column]])).parquet(path)

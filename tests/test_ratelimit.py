@@ -158,3 +158,36 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
         spark.createDataFrame(rows[low:high], LOG).coalesce(1).write.mode("append").parquet(source)
         run()
     assert decisions(spark.read.parquet(out)) == one_by_one(rows)
+
+
+def test_a_busy_client_is_decided_in_parallel(spark):
+    """Most slices of a client that is never quiet are decided twice at most, and as one by one."""
+    draw = random.Random(11)
+    rows, at = [], 0.0
+    for i in range(900):
+        at += draw.choice([0.5, 1, 2, 30]) if i % 60 else 90
+        rows.append((i, "/a", draw.choice(["GET", "POST"]), "/a", "hot", START + timedelta(seconds=at)))
+    rounds = []
+    plain, ratelimit._decide = ratelimit._decide, lambda *r, **k: rounds.append(r) or plain(*r, **k)
+    try:
+        got = decisions(ratelimit.rate_limit(spark.createDataFrame(rows, LOG), POLICIES, 40))
+    finally:
+        ratelimit._decide = plain
+    assert got == one_by_one(rows)
+    assert len(rounds) < 12  # slices: 900 / 40
+
+
+def test_decisions_stand_from_where_states_meet():
+    """A second round stops folding once it holds what the first one held."""
+    ts = np.sort(np.random.default_rng(3).integers(0, 10_000, 400))
+    limits = np.full(400, 4)
+    window, none = 100, np.zeros(400, bool)
+    was, waits = ratelimit.decide_run(ts, limits, window, none, deque())
+    seeds = np.array([-90, -50, -10])
+    want = ratelimit.decide_run(ts, limits, window, none, deque(seeds.tolist()))
+    fold = ratelimit._Fold()
+    got = fold.decide(
+        np.r_[seeds, ts], np.r_[[4, 4, 4], limits], window, np.r_[[ratelimit.SEED] * 3, np.zeros(400, int)],
+        np.r_[none[:3], was], np.r_[[-1] * 3, waits],
+    )
+    assert fold.met and (got[0][3:] == want[0]).all() and (got[1][3:] == want[1]).all()
