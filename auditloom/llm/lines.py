@@ -220,9 +220,9 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def line_groups(keyed: DataFrame, docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """`id, component` of all linked lines; `keyed` has the distinct rows `key, name, length`, written.
 
-    In a few linear rounds, lines are linked to one leader per key, another one in each round. Then all
-    pairs of lines that meet and are still in different groups are joined. So no link is lost, and
-    a large group of variants is not expanded into its pairs.
+    In a few linear rounds, every key has one leader, another one in each round, and a line is compared
+    with one of its leaders. Then all pairs of lines that meet and are still in different groups are
+    joined. So no link is lost, and a large group of variants is not expanded into its pairs.
     """
     wanted = keyed.select("name").distinct()
     texts = line_texts(docs, name_filter(wanted), min_words).join(wanted, "name", "left_semi")
@@ -243,9 +243,11 @@ def line_groups(keyed: DataFrame, docs: DataFrame, percent: int = PERCENT, min_w
         met = (
             grouped.alias("b").join(leader.filter("k > 1").select("key", "l.*").alias("a"), "key")
             .filter("a.component <> b.component").filter(_near("a", "b", percent))
-            .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+            .groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(F.count("*").alias("n"))
         )
-        more = similar(met, texts, percent)
+        # of its leaders, a line is compared with the one it shares most blocks with
+        likely = met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+        more = similar(likely, texts, percent)
         links = more if links is None else links.unionByName(more)
         found = components(links)
     grouped = cut(placed())
