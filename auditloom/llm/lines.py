@@ -27,6 +27,8 @@ from auditloom.session import cut
 PERCENT, MIN_WORDS = 80, 1
 #: SimHashes of a line, bits of a block (32: a block is half a SimHash).
 SIMHASHES, WIDTH = 8, 32
+#: Edits that are tried before the full distance; results do not depend on it.
+NARROW = 10
 #: Rounds that link lines to leaders before the remaining pairs are joined.
 LEADER_ROUNDS = 2
 
@@ -211,8 +213,10 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     x = texts.select(F.col("name").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("name").alias("b"), F.col("text").alias("y"))
     most = f"cast(floor((100 - {percent}) * greatest(length(x), length(y)) / 100) as int)"
+    # most pairs differ in a word: a narrow band of the same distance decides those
+    near = f"levenshtein(x, y, least({NARROW}, {most})) >= 0 OR levenshtein(x, y, {most}) >= 0"
     return cut(
-        pairs.join(x, "a").join(y, "b").filter(F.expr(f"levenshtein(x, y, {most}) >= 0"))
+        pairs.join(x, "a").join(y, "b").filter(F.expr(near))
         .select("a", "b")
     )
 
