@@ -117,15 +117,19 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """`docs` with `size, source_size, target, copies, taken`; own columns of these names go.
+    """`docs` with `size, source_size, target, copies, taken`; own columns of these names are replaced.
 
     Each document is taken `floor(target / source_size)` times, and once more if its hash is below
     the threshold for the rest. A null or empty text has size 0; a source without words has target
-    0. Rows with equal `doc_id` have equal hashes and are taken alike. Null sources are one source.
+    0. Rows with equal `doc_id` have equal hashes and are taken alike. Null sources are one source. All
+    other columns are kept, whatever their names.
     """
-    names = ("size", "source_size", "target", "copies", "taken", "h", "whole", "threshold")
-    plain = docs.drop(*names)
-    sized = plain.withColumns({"size": words(F.col("text")), "h": hashed(F.col("doc_id"))})
+    replaced = ("size", "source_size", "target", "copies", "taken")
+    own = [c for c in docs.columns if c not in replaced]
+    sized = docs.select(
+        F.struct(*own).alias("own"), F.col("source").alias("source"),
+        words(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h"),
+    )
     narrow = cut(sized.select("source", "size", "h"))
     goal = cut(targets(narrow, weights, share, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
@@ -136,14 +140,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     )
     limit = thresholds(narrow, rest).select("source", "threshold")
     plan = goal.alias("g").join(limit.alias("t"), F.expr("g.source <=> t.source")).select(
-        F.col("g.source").alias("_source"), "source_size", "target", "whole", "threshold"
+        F.col("g.source").alias("planned"), "source_size", "target", "whole", "threshold"
     )
     copies = F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
     return (
-        sized.join(F.broadcast(plan) if _few(plan) else plan, F.expr("source <=> _source"))
+        sized.join(F.broadcast(plan) if _few(plan) else plan, F.expr("source <=> planned"))
         .withColumn("copies", F.when(F.col("source_size") > 0, copies).otherwise(0))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*plain.columns, "size", "source_size", "target", "copies", "taken")
+        .select(*(F.col("own").getField(c).alias(c) for c in own), *replaced)
     )
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import language, quality, tokens, urls
+from auditloom.llm import language, mixing, quality, tokens, urls
 from auditloom.llm.queries import URL_RULES, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,3 +243,16 @@ def test_ablations_of_all_documents(spark):
     found = QUERIES["op6_quality_ablations"](spark, FOLDER).collect()
     assert {(r.policy_version, r.rule): (r.n_failed, r.n_only) for r in found} == expected
     assert any(n for n, _ in expected.values())
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["_source", "h", "whole", "threshold", "own", "planned", "_row", "_time"]
+    docs = spark.createDataFrame(
+        [(i, "a b c " * (i % 5), "ab"[i % 2], *names) for i in range(40)],
+        "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names),
+    ).withColumn("taken", F.lit("replaced"))
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 40 and all(r[n] == n for r in mixed for n in names)
+    assert all(isinstance(r.taken, int) for r in mixed)
+    again = mixing.repeated(docs)
+    assert again.columns == docs.columns and again.count() == sum(r.copies for r in mixed)
