@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom import fixed
@@ -247,6 +247,56 @@ def run_state(events: DataFrame) -> DataFrame:
     )
 
 
+def run_steps(
+    events: DataFrame, as_of: Column, limit_seconds: int = fixed.RUN_SECONDS,
+) -> DataFrame:
+    """Every distinct event up to `as_of` with `accepted`, and a `timeout` for each overdue run.
+
+    Steps count in order of time, ties in order of status. A run becomes pending, then running, then ends;
+    a pending one may fail at once (`fixed.NEXT_STATUSES`). Any other step is refused and changes
+    nothing. A run that has not ended `limit_seconds` after its start times out then, and what comes
+    later is refused. Events without a time, a run or a known status do not take part. One
+    shuffle by run; `streaming.lifecycle` gives the same rows on a stream.
+    """
+    known = F.array(*map(F.lit, fixed.STATUSES))
+    order = F.struct("event_ts", F.array_position(known, F.col("status")).alias("rank"), "error_message")
+    steps = (
+        events.select("analysis_id", "status", F.col("event_ts").cast("timestamp").alias("event_ts"), "error_message")
+        .filter("analysis_id IS NOT NULL").filter(F.col("event_ts") <= as_of).distinct()
+        .withColumn("at", order).filter("at.rank > 0")
+    )
+    run = Window.partitionBy("analysis_id")
+
+    def first(test: str) -> Column:
+        return F.min(F.when(F.expr(test), F.col("at"))).over(run)
+
+    limit = F.make_dt_interval(secs=F.lit(limit_seconds))
+    overdue = F.expr("deadline IS NOT NULL AND (ended IS NULL OR ended.event_ts > deadline)")
+    met = (
+        steps.withColumn("created", first("status = 'pending'"))
+        .withColumns({
+            "started": first("at > created AND status = 'running'"),
+            "broken": first("at > created AND status = 'failed'"),
+        })
+        .withColumn("started", F.expr("CASE WHEN broken IS NULL OR started < broken THEN started END"))
+        .withColumn("ended", first("at > started AND status IN ('completed', 'failed', 'timeout')"))
+        .withColumn("ended", F.expr("CASE WHEN started IS NULL THEN broken ELSE ended END"))
+        .withColumn("deadline", F.col("started.event_ts") + limit)
+        .withColumn("deadline", F.when(F.col("deadline") <= as_of, F.col("deadline")))
+        .withColumn("overdue", overdue)
+    )
+    accepted = F.expr(
+        "at = created OR coalesce(at = started, false) OR coalesce(NOT overdue AND at = ended, false)"
+    )
+    own = F.struct("status", "event_ts", "error_message", F.coalesce(accepted, F.lit(False)).alias("accepted"))
+    late = F.struct(
+        F.lit("timeout").alias("status"), F.col("deadline").alias("event_ts"),
+        F.lit(None).cast("string").alias("error_message"), F.lit(True).alias("accepted"),
+    )
+    rows = F.when(F.expr("overdue AND at = started"), F.array(own, late)).otherwise(F.array(own))
+    return met.select("analysis_id", F.inline(rows))
+
+
 def delete_users(
     doomed: DataFrame, users: DataFrame, repositories: DataFrame, analyses: DataFrame,
     findings: DataFrame,
