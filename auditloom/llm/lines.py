@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.components import components
+from auditloom.llm.edits import within
 from auditloom.llm.words import (
     Shared, buffers, distinct, hash_spans, mix, name_filter, shared_names, spans, steps,
 )
@@ -27,8 +28,8 @@ from auditloom.session import cut
 PERCENT, MIN_WORDS = 80, 1
 #: SimHashes of a line, bits of a block (32: a block is half a SimHash).
 SIMHASHES, WIDTH = 8, 32
-#: Edits that are tried before the full distance; results do not depend on it.
-NARROW = 10
+#: Pairs that are compared at once; results do not depend on it.
+TOGETHER = 8192
 #: Rounds that link lines to leaders before the remaining pairs are joined.
 LEADER_ROUNDS = 2
 
@@ -208,17 +209,31 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The `pairs` (`a, b`, names of lines) whose `texts` have an edit similarity of `percent` or more.
 
     The similarity is 1 less the Levenshtein distance over the longer length, in characters. The work for
-    a pair is its length times the distance that is allowed.
+    a pair of n characters is n x n / 64 steps.
     """
     x = texts.select(F.col("name").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("name").alias("b"), F.col("text").alias("y"))
-    most = f"cast(floor((100 - {percent}) * greatest(length(x), length(y)) / 100) as int)"
-    # most pairs differ in a word: a narrow band of the same distance decides those
-    near = f"levenshtein(x, y, least({NARROW}, {most})) >= 0 OR levenshtein(x, y, {most}) >= 0"
-    return cut(
-        pairs.join(x, "a").join(y, "b").filter(F.expr(near))
-        .select("a", "b")
-    )
+
+    def checked(waiting: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        one, other = table.column("x").to_pylist(), table.column("y").to_pylist()
+        longer = np.array([max(len(s), len(t)) for s, t in zip(one, other)], np.int64)
+        kept = within(one, other, (100 - percent) * longer // 100)
+        return table.select(["a", "b"]).filter(pa.array(kept)).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows, size = [], 0, 0
+        for batch in batches:
+            waiting.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= TOGETHER or size >= 1 << 24:
+                yield from checked(waiting).to_batches()
+                waiting, rows, size = [], 0, 0
+        if waiting:
+            yield from checked(waiting).to_batches()
+
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return cut(met.mapInArrow(run, "a long, b long"))
 
 
 def line_groups(keyed: DataFrame, docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -276,7 +291,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     word always stay. A null text stays null and has no lines; a text that loses no line stays as it is; all
     other columns are kept, whatever their names. Rows equal in `doc_id` and `text` are one document and
     treated alike; different texts of one id are told apart by 64-bit hashes. Lines of any length take
-    part; equal ones are found whole, and a similar pair of n characters takes n x n / 5 steps.
+    part; equal ones are found whole, and a pair of n characters that meets takes n x n / 64 steps.
     """
     row = F.xxhash64("doc_id", "text")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
