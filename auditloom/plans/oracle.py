@@ -207,6 +207,40 @@ SELECT analysis_id, arg_max(status, event_ts) AS status,
        substr(max(error_message), 1, {fixed.ERROR_CHARS}) AS error_message
 FROM analysis_events GROUP BY analysis_id""", "analysis_events")
 
+add("run_lifecycle", f"""
+SELECT analysis_id, status, epoch_us(event_ts) AS event_ts, error_message,
+       coalesce(n = c, false) OR coalesce(n = s, false) OR coalesce(s IS NULL AND n = b, false)
+         OR coalesce(n = e AND NOT overdue, false) AS accepted
+FROM steps JOIN judged USING (analysis_id)
+UNION ALL
+SELECT analysis_id, 'timeout', epoch_us(deadline), NULL, true FROM judged WHERE overdue""",
+    "analysis_events", steps=f"""
+steps AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY analysis_id ORDER BY event_ts,
+    list_position(['pending', 'running', 'completed', 'failed'], status), error_message NULLS FIRST) AS n
+  FROM (SELECT DISTINCT * FROM (
+    SELECT analysis_id, status, event_ts, error_message FROM analysis_events
+    UNION ALL
+    SELECT analysis_id, CASE status WHEN 'completed' THEN 'running' WHEN 'running' THEN 'completed'
+                                    WHEN 'pending' THEN 'failed' ELSE status END,
+           event_ts + interval '{q.STRAY_SECONDS}' second, error_message FROM analysis_events) AS every
+    WHERE event_ts <= TIMESTAMP '{q.LIFECYCLE_AS_OF}') AS due),
+created AS (SELECT analysis_id, min(n) FILTER (status = 'pending') AS c FROM steps GROUP BY analysis_id),
+begun AS (
+  SELECT analysis_id, c, min(n) FILTER (n > c AND status = 'running') AS s,
+         min(n) FILTER (n > c AND status = 'failed') AS b
+  FROM steps JOIN created USING (analysis_id) GROUP BY analysis_id, c),
+started AS (SELECT analysis_id, c, b, CASE WHEN b IS NULL OR s < b THEN s END AS s FROM begun),
+ended AS (
+  SELECT analysis_id, c, b, s, min(n) FILTER (n > s AND status IN ('completed', 'failed')) AS e,
+         min(event_ts) FILTER (n = s) + interval '{q.LIFECYCLE_SECONDS}' second AS deadline
+  FROM steps JOIN started USING (analysis_id) GROUP BY analysis_id, c, b, s),
+judged AS (
+  SELECT a.*, deadline <= TIMESTAMP '{q.LIFECYCLE_AS_OF}'
+              AND (z.event_ts IS NULL OR z.event_ts > deadline) AS overdue
+  FROM ended AS a LEFT JOIN steps AS z ON z.analysis_id = a.analysis_id AND z.n = a.e)""")
+
 add("terminal_status", """
 SELECT a.id AS analysis_id, coalesce(n, 0) AS total_findings,
        CASE WHEN a.error_message IS NOT NULL AND coalesce(n, 0) = 0 THEN 'failed' ELSE 'completed' END AS status

@@ -39,6 +39,7 @@ LISTING_PAGE, LISTING_SIZE = 2, 5
 SIZE_LIMIT = 60_000
 LOW_LINES, LOW_COMPLEXITY = 5, 3
 BUDGET_CHARS = 2500
+LIFECYCLE_SECONDS, STRAY_SECONDS, LIFECYCLE_AS_OF = 60, 90, "1998-07-01 00:00:00"
 
 
 def query(function: Query) -> Query:
@@ -267,6 +268,21 @@ def run_state(spark: SparkSession, folder: str) -> DataFrame:
     return state.withColumns(times)
 
 
+@query
+def run_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every step of every run and whether it is legal, with steps out of turn and overdue runs."""
+    events = bind(spark, folder, "analysis_events")
+    stray = F.when(F.col("status") == "completed", "running").when(
+        F.col("status") == "running", "completed"
+    ).when(F.col("status") == "pending", "failed").otherwise(F.col("status"))
+    later = F.col("event_ts") + F.make_dt_interval(secs=F.lit(STRAY_SECONDS))
+    strays = events.withColumns({"status": stray, "event_ts": later})
+    steps = catalog.run_steps(
+        events.unionByName(strays), F.lit(LIFECYCLE_AS_OF).cast("timestamp"), LIFECYCLE_SECONDS
+    )
+    return steps.withColumn("event_ts", F.unix_micros("event_ts"))
+
+
 @query
 def terminal_status(spark: SparkSession, folder: str) -> DataFrame:
     counts = findings.counts_of_raw(bind(spark, folder, "findings"), RUN)
