@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 from auditloom.functions.paths import full_name, is_repository_url, normalize_url
 from auditloom.functions.text import severity_rank, truncate
-from auditloom.operators.ordering import MAX_GROUP_ROWS, number_rows
+from auditloom.operators.ordering import PIECE_ROWS, number_rows
 from auditloom.schemas import FINDING_BODY
 
 REPOSITORY_FIELDS = [
@@ -53,7 +53,9 @@ def active_repositories(repositories: DataFrame) -> DataFrame:
 
 
 def newest_first(created: str = "created_at", key: str = "id") -> list[Column]:
-    return [F.col(created).desc(), F.col(key)]
+    """An order, latest first; rows without a time come last."""
+    back = -F.unix_micros(F.col(created).cast("timestamp"))
+    return [F.coalesce(back, F.lit(2**63 - 1)), F.col(key)]
 
 
 def visible_analyses(analyses: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -69,10 +71,10 @@ def visible_findings(findings: DataFrame) -> DataFrame:
 
 
 def report_order() -> list[Column]:
-    """Most severe first, then by place in the source."""
+    """An order: most severe first, then by place in the source, findings without a line first."""
     return [
         severity_rank(F.col("severity")), F.col("file_path"),
-        F.col("line_start").asc_nulls_first(), F.col("rule_id"),
+        F.col("line_start"), F.col("rule_id"),
     ]
 
 
@@ -80,12 +82,12 @@ def prioritized_report(
     kept: DataFrame,
     run_key: Sequence[str] = ("analysis_id",),
     sized_by: DataFrame | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Visible findings of deduplicated runs with their `position` in the report."""
     return number_rows(
         visible_findings(kept), run_key, report_order(),
-        sized_by=sized_by, max_group_rows=max_group_rows,
+        sized_by=sized_by, piece_rows=piece_rows,
     )
 
 

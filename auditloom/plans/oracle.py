@@ -137,6 +137,18 @@ LEFT JOIN (SELECT * FROM (SELECT repository_id, id, row_number() OVER (PARTITION
              ORDER BY created_at DESC, id) AS position FROM analyses) AS n
            WHERE position BETWEEN {_FIRST} AND {_LAST}) AS p USING (repository_id)""", "analyses")
 
+add("next_page", f"""
+SELECT repository_id, id, position - {q.LISTING_SIZE} AS place
+FROM (SELECT repository_id, id, row_number() OVER (PARTITION BY repository_id
+        ORDER BY created_at DESC, id) AS position FROM analyses) AS n
+WHERE position > {q.LISTING_SIZE} AND position <= 2 * {q.LISTING_SIZE}""", "analyses")
+
+add("deep_page", f"""
+SELECT category, position, file_path, analysis_id, seq
+FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY file_path, analysis_id, seq) AS position
+      FROM findings) AS n
+WHERE position BETWEEN {(q.DEEP_PAGE - 1) * q.DEEP_SIZE + 1} AND {q.DEEP_PAGE * q.DEEP_SIZE}""", "findings")
+
 _NORMAL = "rtrim(trim(url), '/')"
 add("point_lookup", f"""
 SELECT w.github_url, r.id, r.owner_id, r.full_name

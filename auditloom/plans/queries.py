@@ -36,6 +36,7 @@ DAY_POLICIES = [
     ("/api/v1/auth/login", "GET", 2, 86_400),
 ]
 LISTING_PAGE, LISTING_SIZE = 2, 5
+DEEP_PAGE, DEEP_SIZE, DEEP_PIECE_ROWS = 13, 100, 1000
 SIZE_LIMIT = 60_000
 LOW_LINES, LOW_COMPLEXITY = 5, 3
 BUDGET_CHARS = 2500
@@ -201,6 +202,26 @@ def analysis_page(spark: SparkSession, folder: str) -> DataFrame:
     return totals.join(_listing(analyses, "repository_id"), "repository_id", "left")
 
 
+@query
+def next_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The page after the row that each repository's reader saw last."""
+    analyses, order = bind(spark, folder, "analyses"), catalog.newest_first()
+    read = ordering.page_of_each(analyses, ["repository_id"], order, 1, LISTING_SIZE)
+    ends = read.groupBy("repository_id").agg(F.max("position").alias("position"))
+    seen = read.join(ends, ["repository_id", "position"]).select(*analyses.columns)
+    page = ordering.page_after(analyses, ["repository_id"], order, seen, LISTING_SIZE)
+    return page.select("repository_id", "id", "place")
+
+
+@query
+def deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page far down the findings of each category, found by counting the pieces before it."""
+    found = bind(spark, folder, "findings")
+    order = [F.col("file_path"), F.col("analysis_id"), F.col("seq")]
+    page = ordering.page_of_each(found, ["category"], order, DEEP_PAGE, DEEP_SIZE, DEEP_PIECE_ROWS)
+    return _longs(page.select("category", "position", "file_path", "analysis_id", "seq"), "seq")
+
+
 @query
 def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
     repositories = bind(spark, folder, "repositories")

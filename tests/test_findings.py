@@ -89,12 +89,12 @@ def many_pieces(spark):
     spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("limit", [ordering.MAX_GROUP_ROWS, 20])
+@pytest.mark.parametrize("limit", [ordering.PIECE_ROWS, 20])
 def test_report_positions(spark, limit, many_pieces):
     """A window and the split of large groups give the same places."""
     rows = some_findings()
     kept = findings.dedup(spark.createDataFrame(rows, SCHEMA), ["analysis_id"])
-    report = catalog.prioritized_report(kept, max_group_rows=limit).collect()
+    report = catalog.prioritized_report(kept, piece_rows=limit).collect()
     by_run = {}
     for (run, path, line, rule), (_, best) in keep_first_best(rows).items():
         if not best[10]:
@@ -112,12 +112,12 @@ def test_report_positions(spark, limit, many_pieces):
 
 def test_a_large_group_spans_tasks(spark, many_pieces, monkeypatch):
     written = []
-    monkeypatch.setattr(ordering, "cut", lambda df: written.append(df.cache()) or written[0])
+    monkeypatch.setattr(ordering, "cut", lambda df: written.append(df.cache()) or written[-1])
     df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 50)) AS g", "id")
-    numbered = ordering.number_rows(df, ["g"], [F.col("id").desc()], max_group_rows=100)
-    window = ordering.number_rows(df, ["g"], [F.col("id").desc()])
+    numbered = ordering.number_rows(df, ["g"], [-F.col("id")], piece_rows=100)
+    window = ordering.number_rows(df, ["g"], [-F.col("id")])
     assert sorted(numbered.collect()) == sorted(window.collect())
-    pieces = written[0].groupBy("g").agg(F.count_distinct("_piece").alias("n"))
+    pieces = written[1].groupBy("g").agg(F.count_distinct("_piece").alias("n"))
     assert pieces.filter("g = 'hot'").first().n > 1
 
 
@@ -126,14 +126,14 @@ def test_page_of_each(spark):
     df = spark.createDataFrame(rows, "g string, id long")
     for page, size in [(1, 7), (2, 20), (5, 7), (30, 40)]:
         got = {(r.g, r.position, r.id) for r in
-               ordering.page_of_each(df, ["g"], [F.col("id").desc()], page, size).collect()}
+               ordering.page_of_each(df, ["g"], [-F.col("id")], page, size).collect()}
         want = set()
         for g in range(3):
             ids = sorted((i for i in range(100) if i % 3 == g), reverse=True)
             for place, i in list(enumerate(ids, 1))[(page - 1) * size:page * size]:
                 want.add((f"g{g}", place, i))
         assert got == want
-        one = ordering.page_of_one(df.filter("g = 'g1'"), [F.col("id").desc()], page, size)
+        one = ordering.page_of_one(df.filter("g = 'g1'"), [-F.col("id")], page, size)
         assert [r.id for r in one.collect()] == [i for g, _, i in sorted(want) if g == "g1"]
     for page, size in [(0, 20), (1, 0), (1, 101)]:
         with pytest.raises(ValueError):
@@ -142,10 +142,48 @@ def test_page_of_each(spark):
 
 def test_leading_rows_are_cut_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 3 AS g", "id")
-    page = ordering.page_of_each(df, ["g"], [F.col("id").desc()])
+    page = ordering.page_of_each(df, ["g"], [-F.col("id")])
     assert "WindowGroupLimit" in page._jdf.queryExecution().executedPlan().toString()
 
 
+def test_deep_pages_sort_their_pieces_only(spark):
+    """Pages beyond the leading rows, of large, small and null groups, with null and equal keys."""
+    df = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL WHEN id < 9000 THEN 'mid' ELSE concat('g', id % 7) END AS g",
+        "if(id % 11 = 0, NULL, id % 10) AS k", "id", "'own' AS position_")
+    order = [F.col("k"), -F.col("id")]
+    numbered = ordering.number_rows(df, ["g"], order).cache()
+    for page, size in [(11, 100), (57, 77), (100, 100), (101, 100)]:
+        deep = ordering.page_of_each(df, ["g"], order, page, size, piece_rows=500)
+        first, last = ordering.page_bounds(page, size)
+        want = numbered.filter(F.col("position").between(first, last))
+        assert deep.exceptAll(want).isEmpty() and want.exceptAll(deep).isEmpty()
+    keys = ordering.first_keys(df, ["g"], order, 20)  # more pieces than one row of keys holds
+    assert keys.filter("g = 'hot'").count() > ordering._FAN
+    placed = ordering.place_in_pieces(df, ["g"], order, keys)
+    sizes = [r["count"] for r in placed.filter("g = 'hot'").groupBy("_piece").count().collect()]
+    assert len(sizes) == keys.filter("g = 'hot'").count() + 1 and max(sizes) < 100
+    pieces = ordering.number_rows(df, ["g"], order, piece_rows=20)
+    assert pieces.exceptAll(numbered).isEmpty() and pieces.count() == numbered.count()
+    assert ordering.number_rows(df.limit(0), ["g"], order).isEmpty()
+
+
+def test_page_after_the_row_seen_last(spark):
+    df = spark.range(300).selectExpr("nullif(id % 4, 3) AS g", "if(id % 5 = 0, NULL, id % 6) AS k", "id")
+    order = [F.col("k"), F.col("id")]
+    numbered = ordering.number_rows(df, ["g"], order).cache()
+    seen, got = df.limit(0), []
+    for turn in range(9):
+        page = ordering.page_after(df, ["g"], order, seen, 9).collect()
+        got += [(r.g, 9 * turn + r.place, r.id) for r in page]
+        if page:
+            last = {r.g: (r.g, r.k, r.id) for r in sorted(page, key=lambda r: r.place)}
+            seen = spark.createDataFrame(list(last.values()), df.schema)
+    assert sorted(got, key=str) == sorted(((r.g, r.position, r.id) for r in numbered.collect()), key=str)
+    plan = ordering.page_after(df, ["g"], order, seen, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_append_is_repeatable(spark, tmp_path):
     kept = findings.dedup(spark.createDataFrame(some_findings(200), SCHEMA), ["analysis_id"])
     full = kept.withColumns({
