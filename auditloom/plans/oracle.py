@@ -529,6 +529,19 @@ SELECT repo, commit_sha,
        CASE WHEN length(request) % 2 = 0 THEN 'ValueError: even' END AS error
 FROM requests""", "corpus", steps=_REQUESTS)
 
+add("review_resumed", f"""
+SELECT repo, commit_sha,
+       CASE WHEN length(request) % 2 = 1 THEN
+         concat('{{"findings":[],"summary":"', cast(length(request) AS string), ' chars"}}') END AS raw_content,
+       CASE WHEN length(request) % 2 = 1 THEN length(request) // 4 ELSE 0 END AS tokens_used,
+       CASE WHEN length(request) % 2 = 1 THEN 'fake' END AS model,
+       CASE WHEN length(request) % 2 = 0 THEN 'ValueError: even' END AS error,
+       CASE WHEN spent > {q.LEDGER_TOKENS} THEN 'over budget'
+            WHEN length(request) % 2 = 0 THEN 'ValueError: even' ELSE 'answered' END AS first_call
+FROM (SELECT *, sum(cast(ceil(length(request) / 4.0) AS bigint) + {q.ANSWER_TOKENS}) OVER (
+        ORDER BY sha256(concat_ws(chr(10), repo, commit_sha, request))) AS spent
+      FROM requests) AS r""", "corpus", steps=_REQUESTS)
+
 _ANSWERED, _GOOD = "k % 10 <> 0", "k % 10 <> 0 AND k % 6 <> 0 AND k % 5 <> 0 AND k % 7 <> 0"
 add("review_parse", f"""
 SELECT k, cast({_ANSWERED} AND NOT ({_GOOD}) AS bigint) AS discarded,

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from auditloom.functions import paths, text
 from auditloom.functions.signature import hmac_sha256
 from auditloom.operators import (
-    analyzers, catalog, facts, findings, ordering, ratelimit, responses, review, rules, secrets,
-    webhooks,
+    analyzers, catalog, facts, findings, ordering, ratelimit, responses, review, rules, scoring,
+    secrets, webhooks,
 )
 from auditloom.plans.audit import audit
 from auditloom.plans.audit import runs_to_audit as to_audit
@@ -40,6 +40,7 @@ DEEP_PAGE, DEEP_SIZE, DEEP_PIECE_ROWS = 13, 100, 1000
 SIZE_LIMIT = 60_000
 LOW_LINES, LOW_COMPLEXITY = 5, 3
 BUDGET_CHARS = 2500
+LEDGER_TOKENS, ANSWER_TOKENS = 100_000, 500
 LIFECYCLE_SECONDS, STRAY_SECONDS, LIFECYCLE_AS_OF = 60, 90, "1998-07-01 00:00:00"
 
 
@@ -606,6 +607,15 @@ def review_scored(spark: SparkSession, folder: str) -> DataFrame:
     return review.review(_requests(spark, folder), fake_scorer)
 
 
+@query
+def review_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests sent in two calls, the first with a budget of tokens; the second takes up what is left."""
+    requests, ledger = cut(_requests(spark, folder)), scratch(spark, "ledger")
+    first = scoring.review_resumable(requests, fake_scorer, ledger, LEDGER_TOKENS, answer_tokens=ANSWER_TOKENS)
+    first = first.select(*SNAPSHOT_KEY, F.coalesce("error", F.lit("answered")).alias("first_call"))
+    return scoring.review_resumable(requests, fake_scorer, ledger).join(first, SNAPSHOT_KEY)
+
+
 @query
 def review_parse(spark: SparkSession, folder: str) -> DataFrame:
     parsed = responses.parse_responses(bind(spark, folder, "review_responses"))
