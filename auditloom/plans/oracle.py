@@ -219,6 +219,34 @@ SELECT analysis_id, arg_max(status, event_ts) AS status,
        substr(max(error_message), 1, {fixed.ERROR_CHARS}) AS error_message
 FROM analysis_events GROUP BY analysis_id""", "analysis_events")
 
+def _claim_batch(number: int) -> str:
+    """One batch's decisions (`d0`, `d1`, ..) from the claims of the batches before it."""
+    start, end = (["1900-01-01"] + q.CLAIM_DAYS)[number], q.CLAIM_DAYS[number]
+    live = " UNION ALL ".join(
+        f"SELECT repository_id, commit_sha, analysis_id FROM d{b} WHERE decision = 'run' AND"
+        f" epoch(timestamp '{end}') - epoch(timestamp '{q.CLAIM_DAYS[b]}') < {q.CLAIM_SECONDS}"
+        f" AND analysis_id NOT IN (SELECT id FROM analyses WHERE completed_at <= timestamp '{end}')"
+        for b in range(number)
+    ) or "SELECT repository_id, commit_sha, id AS analysis_id FROM analyses WHERE false"
+    return f"""
+f{number} AS (SELECT DISTINCT repository_id, commit_sha FROM analyses WHERE status = 'completed'
+  AND completed_at <= timestamp '{end}' AND epoch(timestamp '{end}') - epoch(completed_at) < {q.CLAIM_REUSE}),
+l{number} AS (SELECT repository_id, commit_sha, min(analysis_id) AS holder FROM ({live}) AS c GROUP BY ALL),
+d{number} AS (
+  SELECT analysis_id, repository_id, commit_sha,
+         CASE WHEN fresh THEN 'reuse' WHEN first = analysis_id THEN 'run' ELSE 'wait' END AS decision,
+         CASE WHEN NOT fresh THEN first END AS holder
+  FROM (SELECT a.id AS analysis_id, a.repository_id, a.commit_sha, f.commit_sha IS NOT NULL AS fresh,
+               coalesce(l.holder, first_value(a.id) OVER (
+                 PARTITION BY a.repository_id, a.commit_sha ORDER BY a.created_at, a.id)) AS first
+        FROM analyses AS a LEFT JOIN f{number} AS f USING (repository_id, commit_sha)
+        LEFT JOIN l{number} AS l USING (repository_id, commit_sha)
+        WHERE a.created_at > timestamp '{start}' AND a.created_at <= timestamp '{end}') AS r)"""
+
+
+add("run_claims", "SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2", "analyses",
+    steps=",".join(map(_claim_batch, range(3))))
+
 add("run_lifecycle", f"""
 SELECT analysis_id, status, epoch_us(event_ts) AS event_ts, error_message,
        coalesce(n = c, false) OR coalesce(n = s, false) OR coalesce(s IS NULL AND n = b, false)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from auditloom.functions import paths, text
 from auditloom.functions.signature import hmac_sha256
 from auditloom.operators import (
-    analyzers, catalog, facts, findings, ordering, ratelimit, responses, review, rules, scoring,
-    secrets, webhooks,
+    analyzers, catalog, claims, facts, findings, ordering, ratelimit, responses, review, rules,
+    scoring, secrets, webhooks,
 )
 from auditloom.plans.audit import audit
 from auditloom.plans.audit import runs_to_audit as to_audit
@@ -40,6 +40,8 @@ DEEP_PAGE, DEEP_SIZE, DEEP_PIECE_ROWS = 13, 100, 1000
 SIZE_LIMIT = 60_000
 LOW_LINES, LOW_COMPLEXITY = 5, 3
 BUDGET_CHARS = 2500
+CLAIM_DAYS = ["1994-01-01", "1995-01-01", "1996-01-01"]
+CLAIM_SECONDS, CLAIM_REUSE = 400 * 86_400, 60 * 86_400
 LEDGER_TOKENS, ANSWER_TOKENS = 100_000, 500
 LIFECYCLE_SECONDS, STRAY_SECONDS, LIFECYCLE_AS_OF = 60, 90, "1998-07-01 00:00:00"
 
@@ -339,6 +341,24 @@ def reuse_split(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.split_by_reuse(requests, fresh)
 
 
+@query
+def run_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches of requests, the second one repeated: who runs, who waits and who reuses."""
+    analyses, root = bind(spark, folder, "analyses"), scratch(spark, "claims")
+    analyses = analyses.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "completed_at")})
+    requests = analyses.withColumnRenamed("id", "analysis_id").select("analysis_id", *claims.COMMIT, "created_at")
+    decided, start = [], "1900-01-01"
+    for number, end in [(0, CLAIM_DAYS[0]), (1, CLAIM_DAYS[1]), (1, CLAIM_DAYS[1]), (2, CLAIM_DAYS[2])]:
+        start = CLAIM_DAYS[number - 1] if number else start
+        as_of = F.lit(end).cast("timestamp")
+        ended = analyses.filter(F.col("completed_at") <= as_of).select(F.col("id").alias("analysis_id"))
+        batch = requests.filter(F.col("created_at").between(start, end) & (F.col("created_at") != F.lit(start)))
+        fresh = catalog.fresh_results(analyses, as_of, CLAIM_REUSE)
+        decided.append(claims.take(batch, root, f"batch-{number}", fresh, ended, as_of, CLAIM_SECONDS))
+    last = decided[0].unionByName(decided[2]).unionByName(decided[3])
+    return last.select("analysis_id", *claims.COMMIT, "decision", "holder")
+
+
 @query
 def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     users = bind(spark, folder, "users")

@@ -59,6 +59,9 @@ ANALYSIS_EVENTS = _table(
     ("analysis_id", _S), ("repository_id", _S), ("commit_sha", _S), ("triggered_by", _S),
     ("status", _S), ("event_ts", _TS), ("error_message", _S),
 )
+CLAIMS = _table(
+    ("analysis_id", _S), ("repository_id", _S), ("commit_sha", _S), ("claimed_at", _TS),
+)
 STORED_FINDINGS = T.StructType(
     _table(("id", _S), ("analysis_id", _S)).fields
     + FINDING_BODY.fields
