@@ -115,6 +115,7 @@ def _send(ledger: _Ledger, one: pd.DataFrame, scorer: Scorer, resend: bool) -> d
 def review_resumable(
     requests: DataFrame, scorer: Scorer, ledger: str, token_budget: int | None = None,
     seconds: float | None = None, answer_tokens: int = 0, resend: bool = False,
+    senders: int | None = None,
 ) -> DataFrame:
     """`review.review` that takes up where an earlier call, or a task that died, left off.
 
@@ -123,7 +124,8 @@ def review_resumable(
     error `NO_ANSWER` and is sent again only with `resend`. One whose scorer raised has that as its error
     and is sent again by the next call. Requests beyond `token_budget` (this call's, by order of key), or
     not begun within `seconds`, have the errors `OVER_BUDGET` and `OUT_OF_TIME` and stay for the next call.
-    Answers are had when the call returns. Spark must not run a task twice at once (`spark.speculation`),
+    Answers are had when the call returns. `senders` tasks (the session's default parallelism, if not given)
+    send, however few bytes the requests have. Spark must not run a task twice at once (`spark.speculation`),
     and one call at a time uses a ledger.
     """
     spark = requests.sparkSession
@@ -153,7 +155,8 @@ def review_resumable(
             yield frame.astype({"tokens_used": "Int64"})
 
     earlier = cut(known)  # before more answers come
-    sent = cut(chosen.select(*SNAPSHOT_KEY, "request", "key").mapInPandas(send, ANSWERS)).select("key", *_OWN)
+    spread = chosen.repartition(senders or spark.sparkContext.defaultParallelism, "key")
+    sent = cut(spread.select(*SNAPSHOT_KEY, "request", "key").mapInPandas(send, ANSWERS)).select("key", *_OWN)
     given = wanted.join(earlier.unionByName(sent).withColumn("given", F.lit(True)), "key", "left")
     return given.select(
         *SNAPSHOT_KEY, "raw_content",
