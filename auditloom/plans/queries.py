@@ -153,7 +153,7 @@ def committed_findings(spark: SparkSession, folder: str) -> DataFrame:
     kept = _kept(spark, folder).withColumns({
         "description": F.lit("d"), "recommendation": F.lit("r"), "line_end": F.col("line_start"),
     })
-    stored = cut(findings.stored_form(kept))
+    stored = cut(findings.stored_form(kept), dense=True)
     table_path = scratch(spark, "findings")
     findings.append_findings(stored.filter("severity = 'critical'"), table_path, "first")
     commits.stage(stored.limit(1000).withColumn("part", F.lit(0)), table_path, ["part"])

@@ -12,12 +12,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.session import packed
+
 MANIFEST = T.StructType([
     T.StructField("job", T.StringType()), T.StructField("part", T.StringType()),
     T.StructField("replaces", T.ArrayType(T.StringType())),
@@ -37,10 +41,10 @@ def manifest(spark: SparkSession, table: str) -> DataFrame:
     return first.join(gone, "part", "left_anti").select(*MANIFEST.names)
 
 
-def stage(rows: DataFrame, table: str, by: Sequence[str] = ()) -> str:
-    """Write rows where no reader looks; the name of the attempt."""
+def stage(rows: DataFrame, table: str, by: Sequence[str] = (), dense: bool = False) -> str:
+    """Write rows where no reader looks, `dense` for few and large files; the name of the attempt."""
     part = uuid.uuid4().hex
-    rows.write.partitionBy(*by).parquet(f"{table}/staged/attempt={part}")
+    (packed(rows.write) if dense else rows.write).partitionBy(*by).parquet(f"{table}/staged/attempt={part}")
     return part
 
 
@@ -72,6 +76,17 @@ def committed(spark: SparkSession, table: str, schema: T.StructType) -> DataFram
     return reader.parquet(*(f"{table}/staged/attempt={p}" for p in parts)).drop("attempt")
 
 
+def _folder_by_folder(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of a table that is stored `by` these columns, each folder's in one partition, without a shuffle."""
+    folders = rows.select(*by).distinct().collect()
+    parts = [
+        rows.filter(reduce(and_, (F.col(c).eqNullSafe(F.lit(f[c])) for c in by))).coalesce(1) for f in folders
+    ]
+    while len(parts) > 1:  # pairs, as a chain of unions is analysed anew with every link
+        parts = [reduce(DataFrame.unionByName, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else rows
+
+
 def compact(spark: SparkSession, table: str, schema: T.StructType, by: Sequence[str] = ()) -> int:
     """Rewrite all published attempts as one; how many there were.
 
@@ -82,5 +97,5 @@ def compact(spark: SparkSession, table: str, schema: T.StructType, by: Sequence[
     if len(parts) > 1:
         rows = committed(spark, table, schema)
         job = "compact " + hashlib.sha256(" ".join(parts).encode()).hexdigest()
-        publish(spark, table, job, stage(rows.repartition(*by) if by else rows, table, by), parts)
+        publish(spark, table, job, stage(_folder_by_folder(rows, by) if by else rows, table, by, dense=True), parts)
     return len(parts)
