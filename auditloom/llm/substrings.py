@@ -201,7 +201,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
 
     repeats = shared_names(texts, windows_of)
     found = cut(
-        _windows(plain, table, repeats, window).withColumn("row", F.monotonically_increasing_id())
+        _windows(plain, table, repeats, window).withColumn("row", F.monotonically_increasing_id()),
+        dense=True,
     )
     # a copy of a whole smaller document loses every word; its windows can be left out
     open_ = found.filter("at IS NOT NULL AND doc_id IS NOT NULL")
