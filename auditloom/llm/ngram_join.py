@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.slots import marked
 from auditloom.llm.components import components
 from auditloom.llm.words import (
     Shared, distinct, hash_words, mix, of_windows, sequences, shared_names, steps,
@@ -305,11 +306,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PER
     ids = keyed.select("_row", "doc_id").groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.count("*").alias("times")
     )
-    first = cut(
-        found.distinct().join(ids, "_row").groupBy("component_id")
-        .agg(F.min_by(F.struct("_row", "times"), order).alias("x")).select("x.*")
+    members = cut(found.distinct().join(ids, "_row"))
+    first = members.groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    # rows that go or come several times; all others stay where they are
+    touched = cut(
+        members.join(first.select("_row", F.lit(True).alias("stays")), "_row", "left")
+        .filter("stays IS NULL OR times > 1")
+        .select("_row", F.col("stays").isNotNull().alias("stays"), (F.col("times") > 1).alias("several"))
     )
-    kept = keyed.join(first.select("_row"), "_row", "left_semi")
-    if not first.filter("times > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.select(*docs.columns)
+    split = marked(keyed, touched.select("_row"), "_row")
+    met = split.filter("_met").join(touched, "_row", "left").filter(F.coalesce("stays", F.lit(True)))
+    if not touched.filter("stays AND several").isEmpty():
+        met = met.dropDuplicates(["_row"])
+    return split.filter("NOT _met").unionByName(met.select(*split.columns)).select(*docs.columns)
