@@ -1,6 +1,6 @@
 """Appends as commits: a job's rows become visible with its manifest row, all at once.
 
-A table is a folder with `staged`, one folder of rows per attempt, and `manifest`, one small file per
+A table is a folder with `staged`, one folder of rows per attempt, and `_log/manifest`, one small file per
 published attempt. A reader takes the folders that the manifest names and no others, so an attempt that was
 killed between files, or is still writing, shows nothing. Publishing writes a single file, which Spark
 renames into place. Where a job was published twice, by a repeat that raced the first, one
@@ -31,7 +31,7 @@ MANIFEST = T.StructType([
 def manifest(spark: SparkSession, table: str) -> DataFrame:
     """`job, part, replaces` of the attempts that count; none where nothing was published yet."""
     try:
-        rows = spark.read.schema(MANIFEST).parquet(f"{table}/manifest")
+        rows = spark.read.schema(MANIFEST).parquet(f"{table}/_log/manifest")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -51,7 +51,7 @@ def stage(rows: DataFrame, table: str, by: Sequence[str] = (), dense: bool = Fal
 def publish(spark: SparkSession, table: str, job: str, part: str, replaces: Sequence[str] = ()) -> None:
     """Make a staged attempt visible, in place of those it `replaces`."""
     row = spark.createDataFrame([(job, part, list(replaces))], MANIFEST)
-    row.coalesce(1).write.mode("append").parquet(f"{table}/manifest")
+    row.coalesce(1).write.mode("append").parquet(f"{table}/_log/manifest")
 
 
 def commit(rows: DataFrame, table: str, job: str, by: Sequence[str] = ()) -> bool:
