@@ -1,8 +1,9 @@
 """Levenshtein distance of many pairs of texts, 64 rows of the table at a time (Myers 1999, Hyyrö 2003).
 
 A column of the table is kept as two bit vectors, of the rows where it grows and where it falls. Pairs
-of about one length move through their tables together, one character a step, as numpy arrays; a pair of long
-texts goes alone, with Python's integers as bit vectors. All distances are exact.
+of about one length move through their tables together, one character a step, as numpy arrays, each 64 rows
+one column behind those above; a pair of long texts goes alone, with Python's integers as bit vectors. What both texts begin and end with does not change
+their distance and is left out of the table. All distances are exact.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Characters of a text that goes through numpy; cells of a chunk's table of masks. Neither changes a result.
-SHORT, CELLS = 1024, 1 << 20
+#: Characters of a text that goes through numpy; cells of a chunk's table of masks. None of these changes a result.
+SHORT, CELLS = 4096, 1 << 20
+#: Words looked ahead for a place where two texts agree again; blocks that move together at least.
+LOOK, FILLED = 8, 1024
 
 _U = np.uint64
 _ONE, _TOP = _U(1), _U(63)
+_AHEAD = [(p, s - p) for s in range(1, LOOK + 1) for p in range(s + 1)]
 
 
 def _codes(texts: Sequence[str], lengths: np.ndarray) -> np.ndarray:
@@ -30,42 +34,45 @@ def _codes(texts: Sequence[str], lengths: np.ndarray) -> np.ndarray:
 def _together(x: Sequence[str], y: Sequence[str], m: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Distances of pairs that move together; every `x` fills the same number of 64-bit blocks, one at least."""
     rows, columns = _codes(x, m), _codes(y, n)
-    alphabet, named = np.unique(np.concatenate([rows.ravel(), columns.ravel()]), return_inverse=True)
-    pairs, blocks, each = len(x), -(-rows.shape[1] // 64), np.arange(len(x))
-    rows = named[: rows.size].reshape(rows.shape)
-    at = np.ascontiguousarray(named[rows.size :].reshape(columns.shape).T) * pairs + each
-    masks = np.zeros((blocks, len(alphabet) * pairs), _U)
-    for i in range(rows.shape[1]):
-        on = np.flatnonzero(i < m)
-        masks[i // 64, rows[on, i] * pairs + on] |= _ONE << _U(i % 64)
+    pairs, blocks, width = len(x), -(-rows.shape[1] // 64), rows.shape[1]
+    # every pair has masks for its own characters only
+    own = np.concatenate([rows, columns], axis=1) | np.arange(pairs)[:, None] << 21
+    alphabet, named = np.unique(own, return_inverse=True)
+    named = np.ascontiguousarray(named.reshape(own.shape).T)
+    masks, at = np.zeros((blocks, len(alphabet)), _U), named[width:]
+    for i in range(width):
+        masks[i // 64, named[i, i < m]] |= _ONE << _U(i % 64)
+    masks, offsets = masks.ravel(), np.arange(blocks)[:, None] * len(alphabet)
     bit = ((m - 1) % 64).astype(_U)
-    up, down = [np.full(pairs, ~_U(0))] * blocks, [np.zeros(pairs, _U)] * blocks
-    score, ones, none = m.copy(), np.ones(pairs, _U), np.zeros(pairs, _U)
-    for j in range(len(at)):
-        plus, minus = ones, none
-        for b in range(blocks):
-            equal, p, v = masks[b].take(at[j]), up[b], down[b]
-            vertical = equal | v
-            equal |= minus
-            across = equal & p
-            across += p
-            across ^= p
-            across |= equal
-            falls = p & across
-            across |= p
-            rises = v | ~across
-            if b == blocks - 1:
-                change = ((rises >> bit) & _ONE).view(np.int64) - ((falls >> bit) & _ONE).view(np.int64)
-                score += np.where(j < n, change, 0)
-            next_plus, next_minus = rises >> _TOP, falls >> _TOP
-            rises <<= _ONE
-            rises |= plus
-            falls <<= _ONE
-            falls |= minus
-            down[b] = rises & vertical
-            vertical |= rises
-            up[b] = falls | ~vertical
-            plus, minus = next_plus, next_minus
+    up, down = np.full((blocks, pairs), ~_U(0)), np.zeros((blocks, pairs), _U)
+    # what a block passes on to the next, which is one column behind it
+    plus, minus = np.zeros((blocks + 1, pairs), _U), np.zeros((blocks + 1, pairs), _U)
+    plus[0], score = _ONE, m.copy()
+    for step in range(len(at) + blocks - 1):
+        low, high = max(0, step - len(at) + 1), min(blocks, step + 1)
+        equal = masks.take(at[step - high + 1 : step - low + 1][::-1] + offsets[low:high])
+        p, v = up[low:high], down[low:high]
+        vertical = equal | v
+        equal |= minus[low:high]
+        across = equal & p
+        across += p
+        across ^= p
+        across |= equal
+        falls = p & across
+        across |= p
+        rises = v | ~across
+        if high == blocks:
+            change = ((rises[-1] >> bit) & _ONE).view(np.int64) - ((falls[-1] >> bit) & _ONE).view(np.int64)
+            score += np.where(step - blocks + 1 < n, change, 0)
+        next_plus, next_minus = rises >> _TOP, falls >> _TOP
+        rises <<= _ONE
+        rises |= plus[low:high]
+        falls <<= _ONE
+        falls |= minus[low:high]
+        np.bitwise_and(rises, vertical, out=v)
+        vertical |= rises
+        np.bitwise_or(falls, ~vertical, out=p)
+        plus[low + 1 : high + 1], minus[low + 1 : high + 1] = next_plus, next_minus
     return score
 
 
@@ -91,26 +98,77 @@ def _alone(x: str, y: str, most: int) -> int:
     return score
 
 
+def _same(x: str, y: str) -> int:
+    """Number of characters that both texts begin with."""
+    low, high = 0, min(len(x), len(y))
+    if x[:high] == y[:high]:
+        return high
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def differing(x: str, y: str) -> tuple[str, str]:
+    """The two texts less what both begin and, of the rest, end with; their distance is the same."""
+    begin = _same(x, y)
+    x, y = x[begin:], y[begin:]
+    end = _same(x[::-1], y[::-1])
+    return (x[:-end], y[:-end]) if end else (x, y)
+
+
+def _aligned(x: str, y: str, most: int) -> bool:
+    """Whether changing the words of one text to the other's, in order, takes at most `most` edits.
+
+    After a difference, the texts go on where they next agree, up to `LOOK` words on; what lies before is
+    replaced as a whole. That is one way of many, so the distance may be smaller, never larger.
+    """
+    a, b = x.split(" "), y.split(" ")
+    i = j = cost = 0
+    while i < len(a) and j < len(b) and cost <= most:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = next(
+            ((p, q) for p, q in _AHEAD if i + p < len(a) and j + q < len(b) and a[i + p] == b[j + q]), (1, 1)
+        )
+        cost += max(sum(map(len, a[i : i + p])) + p, sum(map(len, b[j : j + q])) + q)
+        i, j = i + p, j + q
+    left = max(sum(map(len, a[i:])) + len(a) - i, sum(map(len, b[j:])) + len(b) - j)
+    return cost + left <= most
+
+
 def within(x: Sequence[str], y: Sequence[str], most: np.ndarray) -> np.ndarray:
     """Which pairs of texts have a distance of at most `most`. Characters are code points."""
+    rest = [differing(s, t) for s, t in zip(x, y)]
+    x, y = [s for s, _ in rest], [t for _, t in rest]
     m = np.fromiter(map(len, x), np.int64, len(x))
     n = np.fromiter(map(len, y), np.int64, len(y))
     out = np.abs(m - n) <= most
-    out[m == 0] = (n <= most)[m == 0]
     longest = np.maximum(m, n)
-    todo = np.flatnonzero(out & (m > 0))
+    # no distance is above the longer length; beyond it, neither text is empty
+    todo = np.flatnonzero(out & (longest > most))
+    todo = np.array([i for i in todo.tolist() if not _aligned(x[i], y[i], int(most[i]))], np.int64)
     for i in todo[longest[todo] > SHORT].tolist():
         out[i] = _alone(x[i], y[i], int(most[i])) <= most[i]
     todo = todo[longest[todo] <= SHORT]
-    todo = todo[np.lexsort((n[todo], -(-m[todo] // 64)))]
+    filled = -(-m // 64)
+    todo = todo[np.lexsort((n[todo], -filled[todo]))]
     begin = 0
     while begin < len(todo):
-        blocks = -(-int(m[todo[begin]]) // 64)
+        blocks = int(filled[todo[begin]])
         own = todo[begin : begin + max(1, CELLS // (32 * blocks))]
-        own = own[m[own] <= 64 * blocks]
-        different = len(set("".join(x[i] + y[i] for i in own.tolist())))
-        own = own[: max(1, CELLS // (different * blocks))]
-        score = _together([x[i] for i in own.tolist()], [y[i] for i in own.tolist()], m[own], n[own])
+        # a few shorter texts join in, lengthened by the same beginning in both
+        own = own[: max(int((filled[own] == blocks).sum()), FILLED // blocks)]
+        own = own[2 * filled[own] >= blocks]
+        different = np.cumsum([len(set(x[i] + y[i])) + 1 for i in own.tolist()])
+        own = own[: max(1, int(np.searchsorted(different, CELLS // blocks, "right")))]
+        more = 64 * (blocks - filled[own])
+        both = [(" " * k + x[i], " " * k + y[i]) for i, k in zip(own.tolist(), more.tolist())]
+        score = _together([s for s, _ in both], [t for _, t in both], m[own] + more, n[own] + more)
         out[own] = score <= most[own]
         begin += len(own)
     return out

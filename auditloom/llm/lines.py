@@ -33,9 +33,10 @@ TOGETHER = 8192
 #: Rounds that link lines to leaders before the remaining pairs are joined.
 LEADER_ROUNDS = 2
 
+#: Words whose votes are counted in one go, lines that go together; results do not depend on either.
+PIECE, ABREAST = 255, 1024
+
 _U = np.uint64
-#: A byte's bits, each in a byte of its own: eight counters that are added at once.
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 #: ASCII: capitals to small letters, digits to 0, punctuation goes.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)
@@ -50,28 +51,76 @@ def normalised(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD, _PUNCTUATION)
 
 
+def _counters(words: np.ndarray, first: np.ndarray, count: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Votes of `PIECE` words at most for each bit of their hashes, the largest `count` first.
+
+    The counters lie across: the `p`-th plane holds bit `p` of 64 counters in each of its numbers. Two words
+    are added at a time.
+    """
+    planes, less = np.zeros((PIECE.bit_length(), len(count), len(seeds)), np.uint64), -count
+    for j in range(0, int(count.max(initial=0)), 2):
+        many, pairs = np.searchsorted(less, [-j, -j - 1]).tolist()
+        one = _seeded(words[first[:many] + j], seeds)
+        other = np.zeros_like(one)
+        other[:pairs] = _seeded(words[first[:pairs] + j + 1], seeds)
+        plane = planes[0, :many]
+        both = one ^ other
+        carry = one & other
+        carry |= both & plane
+        plane ^= both
+        for p in range(1, min(j + 2, PIECE).bit_length()):
+            plane = planes[p, :many]
+            over = plane & carry
+            plane ^= carry
+            carry = over
+    return planes
+
+
+def _seeded(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The words' hashes for each of the `seeds`; the first is the word itself."""
+    out = mix(words[:, None] + seeds)
+    out[:, 0] = words
+    return out
+
+
 def simhashes(words: np.ndarray, first: np.ndarray, count: np.ndarray, many: int) -> np.ndarray:
     """`many` SimHashes of each line, whose word hashes begin at `first`; every one given has one vote.
 
     The first decides a tie (of two, a hash of both), so bits are even in lines of any length.
     """
-    pairs = np.flatnonzero(count == 2)
+    seeds = np.arange(many, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
+    deciding, pairs = _seeded(words[first], seeds), np.flatnonzero(count == 2)
+    deciding[pairs] = mix(deciding[pairs] + _seeded(words[first[pairs] + 1], seeds))
     out = np.empty((len(count), many), np.uint64)
-    pieces = -(-count // 255)  # a counter has 8 bits
-    begin = np.cumsum(pieces) - pieces
-    starts = np.repeat(first, pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(begin, pieces))
-    for k in range(many if len(count) else 0):
-        own = mix(words + _U(k * 0x9E3779B97F4A7C15 % 2**64)) if k else words
-        hashes, deciding = own.astype(">u8"), own[first]
-        deciding[pairs] = mix(deciding[pairs] + own[first[pairs] + 1])
-        each = hashes.view(np.uint8).reshape(-1, 8)
-        sums = [np.add.reduceat(_SPREAD[each[:, byte]], starts) for byte in range(8)]
-        votes = np.stack(sums, axis=1).view(np.uint8).reshape(-1, 64).astype(np.int16)
-        if len(starts) > len(count):
-            votes = np.add.reduceat(votes.astype(np.int32), begin, axis=0)
-        leading = np.unpackbits(deciding.astype(">u8").view(np.uint8)).reshape(-1, 64)
-        bits = 2 * votes + leading > count[:, None]
-        out[:, k] = np.packbits(bits, axis=1).view(">u8").ravel()
+    short = np.flatnonzero(count <= PIECE)
+    short = short[np.argsort(-count[short], kind="stable")]
+    for at in range(0, len(short), ABREAST):
+        own = short[at : at + ABREAST]
+        planes = _counters(words, first[own], count[own], seeds)
+        half, more, even = count[own] // 2, np.zeros((len(own), many), np.uint64), ~np.zeros((len(own), many), np.uint64)
+        for p in range(len(planes) - 1, -1, -1):
+            bit = (_U(0) - (half >> p & 1).astype(np.uint64))[:, None]
+            more |= even & planes[p] & ~bit
+            even &= ~(planes[p] ^ bit)
+        tie = (_U(0) - (count[own] % 2 == 0).astype(np.uint64))[:, None]
+        out[own] = more | even & deciding[own] & tie
+    long = np.flatnonzero(count > PIECE)  # votes of pieces are added up
+    pieces = -(-count[long] // PIECE)
+    line = np.repeat(np.arange(len(long)), pieces)
+    start = PIECE * (np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    votes = np.zeros((len(long), 64 * many), np.int32)
+    for at in range(0, len(line), ABREAST):
+        own, begin = line[at : at + ABREAST], start[at : at + ABREAST]
+        size = np.minimum(count[long[own]] - begin, PIECE)
+        order = np.argsort(-size, kind="stable")
+        planes = _counters(words, (first[long[own]] + begin)[order], size[order], seeds).astype(">u8")
+        each = np.zeros((len(own), 64 * many), np.uint8)
+        for p, plane in enumerate(planes):
+            each[order] |= np.unpackbits(plane.view(np.uint8), axis=1) << p
+        edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        votes[own[edges]] += np.add.reduceat(each, edges, axis=0, dtype=np.int32)
+    leading = np.unpackbits(deciding[long].astype(">u8").view(np.uint8), axis=1).reshape(votes.shape)
+    out[long] = np.packbits(2 * votes + leading > count[long, None], axis=1).view(">u8")
     return out
 
 
@@ -137,14 +186,17 @@ def document_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             for step in steps(batch, 2):
                 found = _Lines(step.column(2).to_pylist(), min_words)
-                sketch = [None] * len(found.names)
-                for at, own in zip(found.once.tolist(), found.sketches):
-                    sketch[at] = own.tobytes()
+                first = np.isin(np.arange(len(found.names)), found.once)
+                sketch = pa.Array.from_buffers(pa.binary(), len(first), [
+                    pa.py_buffer(np.packbits(first, bitorder="little").tobytes()),
+                    pa.py_buffer((8 * SIMHASHES * np.r_[0, np.cumsum(first)]).astype(np.int32).tobytes()),
+                    pa.py_buffer(found.sketches[np.argsort(found.once)].tobytes()),
+                ])
                 owner = pa.array(found.text)
                 yield pa.RecordBatch.from_arrays([
                     step.column(0).take(owner), step.column(1).take(owner),
                     pa.array(found.place, pa.int32()), pa.array(found.names.view(np.int64)),
-                    pa.array(found.length, pa.int32()), pa.array(sketch, pa.binary()),
+                    pa.array(found.length, pa.int32()), sketch,
                 ], ["doc_id", "row", "line", "name", "length", "sketch"])
 
     schema = "doc_id long, row long, line int, name long, length int, sketch binary"
@@ -156,15 +208,15 @@ def _keys(column: pa.Array) -> np.ndarray:
     return block_keys(np.frombuffer(data.tobytes(), _U).reshape(len(column), SIMHASHES))
 
 
-def shared_keys(found: DataFrame) -> DataFrame:
+def shared_keys(names: DataFrame) -> DataFrame:
     """`key, name, length`, written: the blocks' keys that several lines have, each with those lines.
 
-    Keys that occur once never travel. Those of one line that stands in many texts do, once per task, and
-    are dropped then.
+    `names` has one row `name, length, sketch` for each different line, written; so the keys of a line that
+    stands in many texts are made once, and keys that occur once never travel.
     """
-    once = found.filter("sketch IS NOT NULL").select("sketch", "name", "length")
+    once = names.select("sketch", "name", "length")
     shared = shared_names(once.select("sketch"), lambda b: _keys(b.column(0)).ravel(), slices=lambda b: [b])
-    table = found.sparkSession.sparkContext.broadcast((shared.bits, shared.levels))
+    table = names.sparkSession.sparkContext.broadcast((shared.bits, shared.levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Shared(*table.value)
@@ -298,10 +350,11 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     found = cut(document_lines(texts, min_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     names = cut(found.groupBy("name").agg(
-        F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("several")
+        F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("several"),
+        F.first("length").alias("length"), F.first("sketch", ignorenulls=True).alias("sketch"),
     ))
-    groups = line_groups(shared_keys(found), texts, percent, min_words)
-    grouped = names.join(groups.withColumnRenamed("id", "name"), "name", "left")
+    groups = line_groups(shared_keys(names), texts, percent, min_words)
+    grouped = names.select("name", "first", "several").join(groups.withColumnRenamed("id", "name"), "name", "left")
     grouped = cut(grouped.filter("component IS NOT NULL OR several"))
     least = grouped.filter("component IS NOT NULL").groupBy("component").agg(
         F.min("first").alias("least")
@@ -316,7 +369,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WO
     )
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     text = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
-    n_lines = F.length("own.text") - F.length(F.replace("own.text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length("own.text") - F.octet_length(F.replace("own.text", F.lit("\n"), F.lit(""))) + 1
     replaced = ("n_lines", "n_removed")
     return joined.select(
         *((F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(text) if c == "text"

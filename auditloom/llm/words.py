@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step hashes; a bound of memory.
 STEP_BYTES = 2 << 20
+#: Bytes whose hashes are made at once, few enough for a processor's cache.
+HASHED_BYTES = 1 << 16
 #: Names a task gathers before it sends their counts on.
 GATHERED = 2 << 20
 #: Fixed sizes of what is broadcast: bits of the table of shared names, slots of that of heavy names.
@@ -28,9 +30,12 @@ _INVERSE = pow(_RADIX, -1, 1 << 64)
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer: every input bit reaches every output bit."""
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
+    h = h ^ (h >> _U(30))
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(27)
+    h *= _U(0x94D049BB133111EB)
+    h ^= h >> _U(31)
+    return h
 
 
 def _letters(fold: bool) -> np.ndarray:
@@ -94,14 +99,18 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     """Hash of the bytes of each span (in order, not overlapping)."""
     out = np.empty(len(starts), np.uint64)
     table = _letters(fold)
+    factors = inverse = np.zeros(0, np.uint64)
     at = 0
     while at < len(starts):  # long texts in pieces, so that helpers stay small
-        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + 2 * STEP_BYTES, "right")))
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED_BYTES, "right")))
         low, high = int(starts[at]), int(ends[upto - 1])
+        if high - low > len(factors):
+            size = max(high - low, min(HASHED_BYTES, len(data)))
+            factors, inverse = powers(_RADIX, size), powers(_INVERSE, size)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(table[data[low:high]] * powers(_RADIX, high - low), out=sums[1:])
+        np.cumsum(table[data[low:high]] * factors[: high - low], out=sums[1:])
         s, e = starts[at:upto] - low, ends[at:upto] - low
-        out[at:upto] = (sums[e] - sums[s]) * powers(_INVERSE, high - low)[s]
+        out[at:upto] = (sums[e] - sums[s]) * inverse[s]
         at = upto
     return mix(out ^ (ends - starts).astype(np.uint64))
 

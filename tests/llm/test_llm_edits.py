@@ -57,5 +57,36 @@ def test_length_of_blocks():
         assert edits.within([x, y, x], [y, x, x], np.array([d, d - 1, 0])).tolist() == [True, False, True]
 
 
+def test_changed_words_need_no_table(monkeypatch):
+    """What both texts begin and end with goes, then words are met in order; only other pairs get a table."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(60)]
+    pairs = []
+    for left, new in (([0], ["x"]), ([3, 40], ["xy", "z"]), ([5, 30, 59], [])):
+        other = [w for i, w in enumerate(words) if i not in left]
+        for i, w in zip(left, new):
+            other.insert(i, w)
+        pairs.append((" ".join(words), " ".join(other)))
+    most = np.array([plain(*p) + 30 for p in pairs])
+    with monkeypatch.context() as patch:
+        patch.setattr(edits, "_together", None)
+        patch.setattr(edits, "_alone", None)
+        assert edits.within([p[0] for p in pairs], [p[1] for p in pairs], most).all()
+    for x, y in pairs:
+        d = plain(x, y)
+        assert edits.within([x, x], [y, y], np.array([d, d - 1])).tolist() == [True, False]
+
+
+def test_texts_of_several_lengths_move_together(monkeypatch):
+    draw, calls = random.Random(6), []
+    together = edits._together
+    monkeypatch.setattr(edits, "_together", lambda *a: calls.append(len(a[0])) or together(*a))
+    x = ["".join(draw.choices("abcd", k=k)) for k in range(130, 250, 12)]
+    y = ["".join(draw.choices("abcd", k=len(s))) for s in x]
+    d = np.array([plain(*p) for p in zip(x, y)])
+    assert edits.within(x, y, d).all() and not edits.within(x, y, d - 1).any()
+    assert calls == [len(x)] * 2
+
+
 def test_none():
     assert edits.within([], [], np.zeros(0, np.int64)).tolist() == []

@@ -300,6 +300,35 @@ def test_simhashes_count_votes():
     assert len(np.unique(found)) == found.size
 
 
+def test_simhashes_of_pieces(monkeypatch):
+    """Lines of every length around a piece's, in groups of several sizes."""
+    rng = np.random.default_rng(3)
+    count = np.r_[np.arange(1, 40), 254:258, [509, 510, 511, 600]]
+    words_ = rng.integers(0, 1 << 63, int(count.sum()), np.uint64) << np.uint64(1)
+    first = np.cumsum(count) - count
+    whole = lines.simhashes(words_, first, count, 2)
+    for abreast in (1, 7):
+        monkeypatch.setattr(lines, "ABREAST", abreast)
+        assert (lines.simhashes(words_, first, count, 2) == whole).all()
+    for i, (a, n) in enumerate(zip(first.tolist(), count.tolist())):
+        own = words_[a : a + n]
+        if n != 2:
+            votes = np.unpackbits(own.astype(">u8").view(np.uint8)).reshape(n, 64).sum(axis=0, dtype=int)
+            leading = np.unpackbits(own[:1].astype(">u8").view(np.uint8))
+            assert (np.unpackbits(whole[i, :1].astype(">u8").view(np.uint8)) == (2 * votes + leading > n)).all()
+
+
+def test_lines_that_stand_in_many_texts_are_sketched_once(spark):
+    """Their keys alone are no keys that several lines have, so none travels."""
+    names = spark.createDataFrame(
+        [(i, 5, bytearray(np.random.default_rng(i).bytes(8 * lines.SIMHASHES))) for i in (1, 2, 3)] +
+        [(4, 5, bytearray(np.random.default_rng(1).bytes(8 * lines.SIMHASHES)))],
+        "name long, length int, sketch binary",
+    )
+    found = lines.shared_keys(names).collect()
+    assert {r.name for r in found} == {1, 4} and len(found) == 2 * len({r.key for r in found}) == 4 * lines.SIMHASHES
+
+
 def test_block_keys_meet():
     """Sketches that differ in fewer bits than there are blocks share a key."""
     rng = np.random.default_rng(0)
