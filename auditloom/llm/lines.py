@@ -22,6 +22,7 @@ from auditloom.llm.edits import within
 from auditloom.llm.words import (
     Shared, buffers, distinct, hash_spans, mix, name_filter, shared_names, spans, steps,
 )
+from auditloom.llm.worker import given_back
 from auditloom.session import cut
 
 #: Least edit similarity in percent, words of the shortest line that takes part.
@@ -200,7 +201,7 @@ def document_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 ], ["doc_id", "row", "line", "name", "length", "sketch"])
 
     schema = "doc_id long, row long, line int, name long, length int, sketch binary"
-    return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "row", "text").mapInArrow(given_back(run), schema)
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -228,7 +229,7 @@ def shared_keys(names: DataFrame) -> DataFrame:
                 ["key", "name", "length"],
             )
 
-    keyed = cut(once.mapInArrow(run, "key long, name long, length int").distinct())
+    keyed = cut(once.mapInArrow(given_back(run), "key long, name long, length int").distinct())
     several = keyed.groupBy("key").agg((F.min("name") != F.max("name")).alias("several")).filter("several")
     return cut(keyed.join(several.select("key"), "key", "left_semi"))
 
@@ -248,7 +249,7 @@ def line_texts(docs: DataFrame, wanted: Shared, min_words: int) -> DataFrame:
                     pa.array([found.line(i).decode("utf-8", "replace") for i in first.tolist()], pa.string()),
                 ], ["name", "text"])
 
-    return docs.select("text").mapInArrow(run, "name long, text string")
+    return docs.select("text").mapInArrow(given_back(run), "name long, text string")
 
 
 def _near(one: str, other: str, percent: int) -> Column:
@@ -285,7 +286,7 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield from checked(waiting).to_batches()
 
     met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return cut(met.mapInArrow(run, "a long, b long"))
+    return cut(met.mapInArrow(given_back(run), "a long, b long"))
 
 
 def line_groups(keyed: DataFrame, docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:

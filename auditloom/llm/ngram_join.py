@@ -21,6 +21,7 @@ from auditloom.llm.components import components
 from auditloom.llm.words import (
     Shared, distinct, hash_words, mix, of_windows, sequences, shared_names, steps,
 )
+from auditloom.llm.worker import given_back
 from auditloom.session import cut
 
 #: Words of an n-gram, least similarity in percent, required matches a document can choose from.
@@ -119,7 +120,7 @@ def prefixes(docs: DataFrame, shared: Shared, words: int, percent: int) -> DataF
                     pa.array(sets, pa.binary()),
                 ], ["doc_id", "n", "cls", "matches", "popular", "grams", "ngrams"])
 
-    return docs.mapInArrow(run, PREFIXES)
+    return docs.mapInArrow(given_back(run), PREFIXES)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +139,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return cut(whole.mapInArrow(run, "a long, b long"))
+    return cut(whole.mapInArrow(given_back(run), "a long, b long"))
 
 
 def _alike(percent: int, one: str, other: str):

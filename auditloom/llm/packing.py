@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.worker import kept
+from auditloom.llm.worker import given_back, kept
 from auditloom.session import cut
 
 CAPACITY = 4096
 #: Pieces that one group holds on average, and from which fill a bin takes no further part.
 GROUP, SETTLED = 4096, 0.97
-#: Words whose ids a worker remembers; a bound of memory, results do not depend on it.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, twice: those met lately and those before; a bound of memory, results
+#: do not depend on it.
+REMEMBERED = 200_000
 
 
 def _bytes_in(some: bytes) -> np.ndarray:
@@ -60,6 +61,7 @@ class WordEncoder:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def split(texts: list[bytes]) -> list[list[bytes]]:
@@ -85,9 +87,12 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
+        if len(self.words) + len(new) > REMEMBERED:  # words that do not come again soon are forgotten
+            self.older, self.words = self.words, {}
             new = words
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.words.update(again)
+        new = new.difference(again)
         texts = [(w, w.decode("utf-8", "replace")) for w in new]
         plain = [x for x in texts if x[1].isalpha()]
         other = [x for x in texts if not x[1].isalpha()]
@@ -142,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(given_back(run), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm.worker import given_back
+
 #: Bytes of text that one step hashes; a bound of memory.
 STEP_BYTES = 2 << 20
 #: Bytes whose hashes are made at once, few enough for a processor's cache.
@@ -271,9 +273,9 @@ def shared_names(
             yield out()
 
     found = (
-        rows.mapInArrow(gather, "part int, names binary, counts binary")
+        rows.mapInArrow(given_back(gather), "part int, names binary, counts binary")
         .repartition(partitions, "part").sortWithinPartitions("part")
-        .mapInArrow(count, "part int, flags binary, levels binary")
+        .mapInArrow(given_back(count), "part int, flags binary, levels binary")
     )
     flags = np.zeros((1 << bits, 1 << max(SHARED_BITS - bits - 3, 0)), np.uint8)
     levels = np.zeros((1 << bits, 1 << (HEAVY_SLOT_BITS - bits)), np.uint8)

@@ -8,11 +8,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from auditloom.llm import mixing, packing
 from auditloom.llm.queries import vocabulary
+from auditloom.llm.worker import given_back
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string"
@@ -174,3 +176,54 @@ def test_step_of_a_bin_with_many_documents():
     gain, group, receiver, other = packing._step(lengths, bins, list(range(26)), 0, fill, room)
     assert (gain, len(group), receiver, other) == (1, 2, 1, 26)
     assert packing._step(lengths, bins, [26, 27], 1, fill, room) is None
+
+
+def own_memory():
+    """MB that this process alone holds, without mapped files."""
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_memory_goes_back_when_a_task_ends():
+    stays = []
+
+    def run(batches):
+        for batch in batches:
+            parts = [bytes(50_000) for _ in range(4000)]
+            stays.append(bytes(50_000))  # lies behind the rest, as what a worker keeps may
+            yield batch.slice(0, len(parts) // 4000)
+
+    before = own_memory()
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert [b.num_rows for b in given_back(run)(iter([batch, batch]))] == [1, 1]
+    assert len(stays) == 2 and own_memory() - before < 50
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    path = vocabulary("word_bpe_49k.json")
+    encoder, whole = packing.WordEncoder(path), packing.WordEncoder(path)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for i in range(40):
+        text = " ".join(["often", *(str(1000 + (20 * i + k) % 700).translate(letters) for k in range(20)), "a-b"])
+        ids = np.array(whole.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode([text.encode()]) == [ids]
+        assert len(encoder.words) <= 60 and len(encoder.older) <= 60 and b"often" in encoder.words
+    assert len(encoder.older) > 0  # words met lately are not encoded again
+
+
+def test_worker_memory_after_packing(spark):
+    """A million different words leave less in a worker than the words themselves take."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.translate(
+        F.hex(F.col("id") * 500 + i + (1 << 24)), "0123456789", "ghijklmnop"))
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    assert packing.pieces(docs, vocabulary("word_bpe_49k.json")).agg(F.sum("length")).first()[0] > 1_000_000
+
+    def held(batches):
+        for batch in batches:
+            with open("/proc/self/smaps_rollup") as f:
+                mb = int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+            yield pa.RecordBatch.from_pydict({"mb": [mb] * batch.num_rows})
+
+    most = spark.range(0, 16, 1, 16).mapInArrow(held, "mb double").agg(F.max("mb")).first()[0]
+    assert most < 190
