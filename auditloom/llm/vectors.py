@@ -5,19 +5,26 @@ every shard with a beam; where it meets neighbours above the threshold, the sear
 links until no more are found. A shard's beam is widened until an audit against brute force passes:
 members with links, vectors of other shards and planted ones are asked, groups of each size by themselves.
 Links are verified by cosine in double precision.
+
+A task holds one graph. Graphs and vectors travel in pieces of about a megabyte, each graph once per
+shard whose vectors ask it, and a task's vectors pass by a piece at a time.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from auditloom.llm.components import components
+from auditloom.llm.worker import batches_of, given_back
 from auditloom.session import cut
 
 #: Neighbours of a node in the lowest and the upper layers; beam of the build; nodes per build step.
@@ -27,14 +34,23 @@ BEAM, RECALL, AUDITED = 32, 0.99, 512
 #: Members that an audit looks through for links, vectors of other shards that it asks, and vectors
 #: that a size of groups needs to be judged by itself.
 EXAMINED, FOREIGN, FEW = 8192, 1024, 30
-#: Shards at least, vectors of a shard at most, queries of one search task.
-SHARDS, SHARD_SIZE, BLOCK = 4, 100_000, 16_384
+#: Shards at least, vectors and numbers (vectors times length) of a shard at most.
+SHARDS, SHARD_SIZE, SHARD_VALUES = 4, 100_000, 16_000_000
+#: Bytes and vectors of a piece that travels, rows of a batch of pieces, links that a task holds.
+PIECE, PIECE_ROWS, BATCH_PIECES, HELD_LINKS = 1 << 20, 4096, 8, 1 << 19
+#: Numbers that a step of a comparison, of a build or of an audit holds at once.
+HELD = 4 << 20
 #: Nodes a beam expands at once, and what rounding to single precision may hide.
 EXPANDED, SLACK = 4, 1e-4
 #: How far below the threshold a search still follows links.
 REACH = 0.05
 
 
+def _rows_of(numbers: int, most: int = 512) -> int:
+    """Rows of so many numbers that are held at once."""
+    return max(1, min(most, HELD // max(numbers, 1)))
+
+
 def choose(x: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
     """At most `most` of the candidates `ids` (rows padded with -1) of each node `own`.
 
@@ -44,8 +60,9 @@ def choose(x: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, mo
     order = np.argsort(-sims, axis=1, kind="stable")
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     out = np.full((len(own), most), -1, np.int32)
-    for at in range(0, len(own), 512):
-        some, near = ids[at : at + 512], sims[at : at + 512]
+    step = _rows_of(ids.shape[1] * x.shape[1])
+    for at in range(0, len(own), step):
+        some, near = ids[at : at + step], sims[at : at + step]
         real = some >= 0
         v = x[np.where(real, some, 0)]
         between = v @ v.transpose(0, 2, 1)
@@ -60,7 +77,7 @@ def choose(x: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, mo
         rank = np.where(taken, 0, np.where(real, 1, 2))
         best = np.argsort(rank, axis=1, kind="stable")[:, :most]
         picked = np.take_along_axis(some, best, 1)
-        out[at : at + 512, : picked.shape[1]] = picked
+        out[at : at + step, : picked.shape[1]] = picked
     return out
 
 
@@ -131,8 +148,12 @@ class Graph:
         source, target = source[order].astype(np.int32), target[order]
         edges = np.flatnonzero(np.r_[len(target) > 0, target[1:] != target[:-1]])
         count = np.diff(np.r_[edges, len(target)])
-        for at in range(0, len(edges), 512):
-            own, many = target[edges[at : at + 512]], count[at : at + 512]
+        at = 0
+        while at < len(edges):
+            wanted = count[at : at + 512] + lists.shape[1]  # a hub has many: then fewer targets at once
+            held = np.maximum.accumulate(wanted) * np.arange(1, len(wanted) + 1) * self.x.shape[1]
+            step = max(1, int(np.searchsorted(held, 2 * HELD, side="right")))
+            own, many = target[edges[at : at + step]], count[at : at + step]
             wide = np.full((len(own), int(many.max())), -1, np.int32)
             spot = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             begin = int(edges[at])
@@ -146,6 +167,7 @@ class Graph:
                 near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
                 ids, sims = np.take_along_axis(ids, near, 1), np.take_along_axis(sims, near, 1)
             lists[own] = choose(self.x, own, ids, sims, lists.shape[1])
+            at += step
 
     def _insert(self, nodes: np.ndarray) -> None:
         ids, sims = self.nearest(self.x[nodes], BUILD_BEAM)
@@ -203,7 +225,7 @@ class Graph:
         """Node numbers (-1: none) and similarities of about the `width` nearest of each query."""
         queries = np.asarray(queries, np.float32)
         out = []
-        size = max(1, min(512, (32 << 20) // max(len(self.x), 1)))
+        size = max(1, min(512, (32 << 20) // max(len(self.x), 1), 16 * HELD // (EXPANDED * LINKS * self.x.shape[1])))
         for at in range(0, len(queries), size):
             some = queries[at : at + size]
             start = np.full(len(some), self.entry)
@@ -215,15 +237,23 @@ class Graph:
 
     def above(self, queries: np.ndarray, least: float, width: int | None = None) -> list[np.ndarray]:
         """Nodes of each query with a similarity of `least` or more that the search finds."""
+        return list(self.answers(queries, least, width))
+
+    def answers(self, queries: np.ndarray, least: float, width: int | None = None) -> Iterator[np.ndarray]:
+        """What `above` returns, one query after the other."""
         queries = np.asarray(queries, np.float32)
         width = width or self.beam
-        if width >= len(self.x):
-            return [
-                np.flatnonzero(row)
-                for at in range(0, len(queries), 256) for row in queries[at : at + 256] @ self.x.T >= least
-            ]
+        whole = width >= len(self.x)
+        step = _rows_of(len(self.x), 256) if whole else 512
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            if whole:
+                yield from (np.flatnonzero(row) for row in some @ self.x.T >= least)
+            else:
+                yield from self._followed(some, least, width)
+
+    def _followed(self, queries: np.ndarray, least: float, width: int) -> Iterator[np.ndarray]:
         ids, sims = self.nearest(queries, width)
-        found = []
         seen = np.zeros(len(self.x), bool)
         for q, near, sim in zip(queries, ids, sims):
             edge = near[(sim >= least - REACH) & (near >= 0)]
@@ -238,8 +268,7 @@ class Graph:
                 close.append(edge)
             seen[np.concatenate(met)] = False
             hits = np.concatenate(close)
-            found.append(hits[self.x[hits] @ q >= least])
-        return found
+            yield hits[self.x[hits] @ q >= least]
 
     def planted(self, least: float, many: int, rng: np.random.Generator) -> np.ndarray:
         """Vectors at a cosine between `least` and 1 of random members, in random directions."""
@@ -272,17 +301,19 @@ class Graph:
         asked, true, strata = [], [], []
         for kind, (queries, own) in enumerate(kinds):
             upto = len(asked) + audited
+            step = _rows_of(n, 256)
             for at in range(0, len(queries), 256):
-                part = queries[at : at + 256]
-                sims = part @ self.x.T
-                if own is not None:
-                    sims[np.arange(len(part)), own[at : at + 256]] = -np.inf
-                for q, row in zip(part, sims >= least + 1e-6):  # what rounding cannot hide
-                    links = np.flatnonzero(row)
-                    if len(links):
-                        asked.append(q)
-                        true.append(links)
-                        strata.append(16 * kind + int(math.log(len(links), 4)))
+                for low in range(at, min(at + 256, len(queries)), step):
+                    part = queries[low : min(low + step, at + 256)]
+                    sims = part @ self.x.T
+                    if own is not None:
+                        sims[np.arange(len(part)), own[low : low + len(part)]] = -np.inf
+                    for q, row in zip(part, sims >= least + 1e-6):  # what rounding cannot hide
+                        links = int(np.count_nonzero(row))
+                        if links:
+                            asked.append(q)
+                            true.append((links, np.packbits(row)))  # a bit a member, however many links
+                            strata.append(16 * kind + int(math.log(links, 4)))
                 if len(asked) >= upto:
                     break
         if not asked:
@@ -292,90 +323,219 @@ class Graph:
         strata[np.isin(strata, names[many < FEW])] = -1
         names = np.unique(strata)
         while True:
-            found = self.above(np.stack(asked), least)
-            shares = np.array([len(np.intersect1d(t, f)) / len(t) for t, f in zip(true, found)])
+            found = self.answers(np.stack(asked), least)
+            shares = np.array([
+                np.count_nonzero(np.unpackbits(bits, count=n)[np.unique(f)]) / links for (links, bits), f in zip(true, found)
+            ])
             share = float(min(shares[strata == s].mean() for s in names))
             if share >= recall or self.beam >= n:
                 return share
             self.beam = 2 * self.beam if 16 * self.beam <= n else n  # from there comparing all is faster
 
-    def pack(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, x=self.x, at=[self.entry, self.beam], **{f"l{i}": a for i, a in enumerate(self.layers)})
+    def pack(self, vectors: bool = True) -> bytes:
+        """The graph as bytes; without `vectors` only its lists, of upper layers the rows in use."""
+        out, parts = io.BytesIO(), {"at": np.array([self.entry, self.beam]), "l0": self.layers[0]}
+        for i, lists in enumerate(self.layers[1:], 1):
+            nodes = np.flatnonzero((lists >= 0).any(axis=1))
+            parts |= {f"n{i}": nodes, f"l{i}": lists[nodes]}
+        np.savez(out, **parts, **({"x": self.x} if vectors else {}))
         return out.getvalue()
 
     @classmethod
-    def unpack(cls, data: bytes) -> Graph:
+    def unpack(cls, data: bytes, x: np.ndarray | None = None) -> Graph:
+        """The graph that `pack` wrote; `x` are its vectors where they were left out."""
         with np.load(io.BytesIO(data)) as f:
-            layers = [f[f"l{i}"] for i in range(len(f.files) - 2)]
-            return cls(f["x"], layers, int(f["at"][0]), int(f["at"][1]))
+            layers = [f["l0"]]
+            for i in range(1, sum(name.startswith("l") for name in f.files)):
+                lists = np.full((len(layers[0]), f[f"l{i}"].shape[1]), -1, np.int32)
+                lists[f[f"n{i}"]] = f[f"l{i}"]
+                layers.append(lists)
+            return cls(f["x"] if x is None else x, layers, int(f["at"][0]), int(f["at"][1]))
 
 
-def _unit(values: pd.Series) -> np.ndarray:
-    x = np.stack(values.to_numpy()).astype(np.float64)
+def _unit(values: np.ndarray) -> np.ndarray:
+    x = values.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def graphs(points: DataFrame, least: float) -> DataFrame:
-    """`shard, beam, recall, classes, graph` from `shard, dim, cls, v`: an audited graph per shard."""
-    members = points.select("shard", "cls", "v", F.lit(False).alias("foreign"))
+def _single(values: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision."""
+    out = np.empty(values.shape, np.float32)
+    for at in range(0, len(values), PIECE_ROWS):
+        out[at : at + PIECE_ROWS] = _unit(values[at : at + PIECE_ROWS])
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of sorted batches with equal `keys`; rows of one key may come in several slices."""
+    for batch in batches:
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        ends = np.flatnonzero(np.r_[(columns[:, 1:] != columns[:, :-1]).any(axis=0), len(batch) > 0]) + 1
+        for low, high in zip([0, *ends[:-1]], ends):
+            yield tuple(int(c) for c in columns[:, low]), batch.slice(low, high - low)
+
+
+#: Pieces of a shard: its graph's lists (kind 0) and its vectors with their classes (kind 1).
+_PIECES = pa.schema([
+    ("shard", pa.int64()), ("dim", pa.int32()), ("beam", pa.int32()), ("recall", pa.float64()),
+    ("kind", pa.int32()), ("seq", pa.int32()), ("classes", pa.binary()), ("data", pa.binary()),
+])
+#: Links of two classes and the vectors in them; those marked `tree` connect all that the others connect.
+_LINKS = pa.schema([
+    ("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("tree", pa.bool_()),
+])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return from_arrow_schema(schema).simpleString()
+
+
+def _spot(number: Column, tasks: int) -> Column:
+    """The task of a numbered shard or pair; vectors of one length have a task for each number."""
+    return F.pmod(F.pmod(F.xxhash64("dim"), F.lit(1 << 30)) + number, F.lit(tasks)).cast("int")
+
+
+def _number(shard: str) -> Column:
+    return F.col(shard).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _pieces(
+    shard: int, classes: np.ndarray, values: np.ndarray, others: np.ndarray | None, least: float
+) -> Iterator[pa.RecordBatch]:
+    """A shard's graph, built and audited, and its vectors."""
+    graph = Graph.build(_single(values))
+    recall = graph.audit(least - SLACK, None if others is None else _unit(others))
+    beam, lists = graph.beam, graph.pack(vectors=False)
+    del graph
+
+    def piece(kind: int, seq: int, own: bytes, data: bytes) -> pa.RecordBatch:
+        row = [shard, values.shape[1], beam, recall, kind, seq, own, data]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PIECES)], schema=_PIECES)
+
+    for seq, at in enumerate(range(0, len(lists), PIECE)):
+        yield piece(0, seq, b"", lists[at : at + PIECE])
+    step = max(1, min(PIECE_ROWS, PIECE // values[0].nbytes))
+    for seq, at in enumerate(range(0, len(values), step)):
+        yield piece(1, seq, classes[at : at + step].tobytes(), values[at : at + step].tobytes())
+
+
+def graphs(points: DataFrame, least: float, shards: int) -> DataFrame:
+    """The pieces of an audited graph per shard, from `shard, dim, cls, size, v`; of one `dim` there are `shards`."""
+    members = points.select("shard", "dim", F.lit(0).alias("foreign"), "cls", "size", "v")
     share = FOREIGN / max(points.count(), 1)
     drawn = points.filter(F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30))
     numbers = points.select("dim", F.col("shard").alias("to")).distinct()
     asked = drawn.join(numbers, "dim").filter("shard <> to").select(
-        F.col("to").alias("shard"), "cls", "v", F.lit(True).alias("foreign")
+        F.col("to").alias("shard"), "dim", F.lit(1).alias("foreign"), "cls", "size", "v"
     )
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        others = part.loc[part["foreign"], "v"]
-        part = part[~part["foreign"]].sort_values("cls")
-        graph = Graph.build(_unit(part["v"]))
-        share = graph.audit(least - SLACK, _unit(others) if len(others) else None)
-        return pd.DataFrame({
-            "shard": [part["shard"].iloc[0]], "beam": [graph.beam], "recall": [share],
-            "classes": [part["cls"].to_numpy(np.int64).tobytes()],
-            "unit": [_unit(part["v"]).tobytes()], "graph": [graph.pack()],
-        })
-
-    return cut(members.unionByName(asked).groupBy("shard").applyInPandas(
-        run, "shard long, beam int, recall double, classes binary, unit binary, graph binary"
-    ))
-
-
-def search(points: DataFrame, built: DataFrame, least: float) -> DataFrame:
-    """Links `a, b` (`a < b`, classes) of all points with all shards."""
-    n = points.count()
-    blocks = -(-n // BLOCK) if n else 1
-    numbers = points.select("dim", "shard").distinct().select("dim", F.col("shard").alias("to"))
-    asked = points.select(
-        "cls", "v", "dim", F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(blocks)).cast("int").alias("block")
-    ).join(numbers, "dim").select("cls", "v", "block", F.col("to").alias("shard"))
-    spread = built.select(
-        "shard", "classes", "unit", "graph",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, classes, values, others = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if values:
+                parts = [np.concatenate(classes), np.concatenate(values), np.concatenate(others) if others else None]
+                for held in (classes, values, others):
+                    held.clear()
+                yield from _pieces(now, *parts, least)
+
+        for (shard, foreign), part in _runs(batches, "shard", "foreign"):
+            if shard != now:
+                yield from done()
+                now = shard
+            v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+            (others if foreign else values).append(v.copy())
+            if not foreign:
+                classes.append(np.stack([part.column(c).to_numpy() for c in ("cls", "size")], axis=1))
+        yield from done()
+
+    dealt = members.unionByName(asked).repartitionById(shards, _spot(_number("shard"), shards))
+    return cut(dealt.sortWithinPartitions("shard", "foreign", "cls").mapInArrow(given_back(run), _ddl(_PIECES)))
+
+
+class _Found:
+    """Links that a shard's answers make, with marks on those that connect classes for the first time."""
+
+    def __init__(self, classes: np.ndarray) -> None:
+        self.classes, self.roots = classes, np.arange(len(classes))
+        self.held, self.many = [], 0
+
+    def add(self, own: np.ndarray, hits: np.ndarray) -> None:
+        """The class `own` (name and size) links with the shard's members `hits`."""
+        hits = hits[self.classes[hits, 0] != own[0]]
+        if not len(hits):
+            return
+        root = self.roots[hits]
+        while (self.roots[root] != root).any():
+            root = self.roots[root]
+        self.roots[hits] = root
+        firsts, at = np.unique(root, return_index=True)
+        self.roots[firsts] = firsts[0]
+        tree = np.zeros(len(hits), bool)
+        tree[at] = True
+        ends = np.stack([np.broadcast_to(own, (len(hits), 2)), self.classes[hits]])
+        ends = np.where(ends[0, :, :1] < ends[1, :, :1], ends, ends[::-1])
+        self.held.append((ends, tree))
+        self.many += len(hits)
+
+    def links(self) -> Iterator[pa.RecordBatch]:
+        if self.many:
+            ends, tree = (np.concatenate(c, axis=axis) for c, axis in zip(zip(*self.held), (1, 0)))
+            self.held, self.many = [], 0
+            columns = [ends[0, :, 0], ends[1, :, 0], ends[0, :, 1], ends[1, :, 1], tree]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_LINKS)
+
+
+def search(points: DataFrame, built: DataFrame, least: float, shards: int) -> DataFrame:
+    """Links `a, b, size_a, size_b, tree` (`a < b`, classes) of all points with all shards.
+
+    `tree` marks links that connect whatever all of them connect, about one per vector and shard.
+    """
+    single = isinstance(points.schema["v"].dataType.elementType, T.FloatType)
+    numbers = F.broadcast(built.select("dim", F.col("shard").alias("one")).distinct())
+    met = built.join(numbers, "dim")
+    columns = ["dim", "seq", "classes", "data"]
+    held = met.select(F.col("one").alias("asker"), F.col("shard").alias("asked"), "kind", *columns)
+    asking = met.filter("kind = 1").select(
+        F.col("shard").alias("asker"), F.col("one").alias("asked"), F.lit(2).alias("kind"), *columns
     )
 
-    def run(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or graph.empty:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        tree = Graph.unpack(graph["graph"].iloc[0])
-        classes = np.frombuffer(graph["classes"].iloc[0], np.int64)
-        exact = np.frombuffer(graph["unit"].iloc[0], np.float64).reshape(len(classes), -1)
-        own, q = queries["cls"].to_numpy(np.int64), _unit(queries["v"])
-        one, other = [], []
-        for i, hits in enumerate(tree.above(q, least - SLACK)):
-            hits = hits[(exact[hits] * q[i]).sum(axis=1) >= least]
-            hits = classes[hits]
-            hits = hits[hits != own[i]]
-            one.append(np.minimum(hits, own[i]))
-            other.append(np.maximum(hits, own[i]))
-        return pd.DataFrame({"a": np.concatenate(one), "b": np.concatenate(other)})
-
-    found = asked.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(
-        run, "a long, b long"
-    )
-    return cut(found.distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists, names, values, tree = None, [], [], [], None
+        for (asker, asked, kind), part in _runs(batches, "asker", "asked", "kind"):
+            if (asker, asked) != now:
+                now, lists, names, values, tree = (asker, asked), [], [], [], None
+            for own, data in zip(part.column("classes").to_pylist(), part.column("data").to_pylist()):
+                if kind == 0:
+                    lists.append(data)
+                    continue
+                own = np.frombuffer(own, np.int64).reshape(-1, 2)
+                v = np.frombuffer(data, np.float32 if single else np.float64).reshape(len(own), -1)
+                if kind == 1:
+                    names.append(own)
+                    values.append(v)
+                    continue
+                if tree is None:
+                    found, exact = _Found(np.concatenate(names)), np.concatenate(values)
+                    names, values = [], []
+                    tree = Graph.unpack(b"".join(lists), _single(exact))
+                    lists = []
+                q = _unit(v)
+                for i, hits in enumerate(tree.answers(q, least - SLACK)):
+                    for low in range(0, len(hits), PIECE_ROWS):
+                        some = hits[low : low + PIECE_ROWS]
+                        found.add(own[i], some[(_unit(exact[some]) * q[i]).sum(axis=1) >= least])
+                    if found.many >= HELD_LINKS:
+                        yield from found.links()
+                yield from found.links()
+
+    pair = _number("asker") * F.lit(shards) + _number("asked")
+    dealt = held.unionByName(asking).repartitionById(shards * shards, _spot(pair, shards * shards))
+    order = dealt.sortWithinPartitions("asker", "asked", "kind", "seq")
+    with batches_of(points.sparkSession, BATCH_PIECES):
+        found = order.mapInArrow(given_back(run), _ddl(_LINKS))
+        return cut(found.groupBy("a", "b", "size_a", "size_b").agg(F.max("tree").alias("tree")))
 
 
 def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
@@ -386,28 +546,32 @@ def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     vectors of different lengths do not link. `component_id` is the least id reachable (a null id
     only if there is no other); repeated rows count as vectors of their own. Other columns are ignored.
     """
+    given = rows.schema["embedding"].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
     v = F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     some = F.exists("v", lambda c: c != 0)
     usable = F.coalesce(~bad & some, F.lit(False))
     plain = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    placed = cut(plain.withColumn("cls", F.when(usable, F.xxhash64("v"))))
-    classes = placed.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.count("*").alias("size"), F.min("vec_id").alias("first")
-    )
-    classes = cut(classes)
-    per_dim = placed.filter("cls IS NOT NULL").dropDuplicates(["cls"]).withColumn("dim", F.size("v"))
-    shards = max(SHARDS, -(-classes.count() // SHARD_SIZE))
-    points = cut(per_dim.select(
-        "cls", "v", "dim",
+    placed = plain.withColumn("cls", F.when(usable, F.xxhash64("v")))
+    if single:  # as short as they came, all the way
+        placed = placed.withColumn("v", F.col("v").cast("array<float>"))
+    placed = cut(placed)
+    classes = cut(placed.filter("cls IS NOT NULL").groupBy("cls").agg(
+        F.count("*").alias("size"), F.min("vec_id").alias("first"), F.first("v").alias("v")
+    ).withColumn("dim", F.size("v")))
+    n, values = classes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(SHARDS, -(-n // SHARD_SIZE), -(-values // SHARD_VALUES))
+    points = classes.select(
+        "cls", "size", "v", "dim",
         (F.col("dim") * F.lit(1 << 32) + F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(shards))).alias("shard"),
-    ))
-    links = search(points, graphs(points, least), least)
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(classes.select(F.col("cls").alias("b"), "size"), "b").groupBy("a").agg(
-        F.sum("size").alias("others")
     )
-    found = components(links)
+    links = search(points, graphs(points, least, shards), least, shards)
+    ends = links.select(F.col("a"), F.col("size_b").alias("size")).unionByName(
+        links.select(F.col("b").alias("a"), F.col("size_a").alias("size")))
+    others = ends.groupBy("a").agg(F.sum("size").alias("others"))
+    tree = links.filter("tree").select("a", "b")
+    found = components(tree)
     named = (
         classes.join(others.withColumnRenamed("a", "cls"), "cls", "left")
         .join(found.withColumnRenamed("id", "cls"), "cls", "left")

@@ -6,6 +6,7 @@ import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -16,14 +17,26 @@ from auditloom.session import configure
 BATCH_ROWS = 2000
 
 _HOLDER = "auditloom_worker_state"
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """The engine's settings, with batches small enough for whole documents and their arrays."""
-    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    configure(spark).conf.set(_RECORDS, BATCH_ROWS)
     return spark
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most `rows` rows for what runs inside, where rows are large."""
+    before = spark.conf.get(_RECORDS)
+    spark.conf.set(_RECORDS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_RECORDS, before)
+
+
 def kept(name: str, make):
     """What `make()` returned when this Python process first asked for `name`.
 

@@ -375,6 +375,48 @@ def test_vectors(spark):
     assert vectors.near_vectors(table.filter("false")).count() == 0
 
 
+def test_graphs_travel_in_pieces(spark, monkeypatch):
+    """No row holds a whole graph or shard, and the marked links alone connect what all links connect."""
+    monkeypatch.setattr(vectors, "PIECE", 1 << 13)
+    monkeypatch.setattr(vectors, "SHARD_VALUES", 4000)
+    monkeypatch.setattr(vectors, "HELD_LINKS", 50)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(1200, 16))
+    x[600:] = x[rng.integers(0, 5, 600)] + rng.normal(size=(600, 16)) * 0.1
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    points = table.selectExpr("vec_id AS cls", "1L AS size", "embedding AS v", "16 AS dim", f"{16 << 32} + vec_id % 5 AS shard")
+    built = vectors.graphs(points, 0.9, 5)
+    held = built.agg(F.max(F.length("data")).alias("most"), F.count("*").alias("n"), F.count_distinct("shard").alias("shards")).first()
+    assert held.most <= vectors.PIECE and held.shards == 5 and held.n > 15
+    links = vectors.search(points, built, 0.9, 5).collect()
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.argwhere(np.triu(x @ x.T >= 0.9, 1)).tolist()
+    assert sorted([r.a, r.b] for r in links) == near
+    marked = [(r.a, r.b) for r in links if r.tree]
+    assert groups(range(1200), marked) == groups(range(1200), near) and len(marked) < len(near) / 3
+    degree = np.bincount(np.array(near).ravel(), minlength=1200)
+    found = vectors.near_vectors(table).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {
+        i: (degree[i], c) for i, c in groups(range(1200), near).items()
+    }
+
+
+def test_a_hub_is_linked_back_in_steps(monkeypatch):
+    """Many nodes that offer themselves to one, and small steps, leave the same graph."""
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(2500, 24))
+    x[1::2] = x[0] + rng.normal(size=(1250, 24)) * 0.3
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    whole = vectors.Graph.build(x)
+    monkeypatch.setattr(vectors, "HELD", 1 << 16)
+    steps = vectors.Graph.build(x)
+    assert all((a == b).mean() > 0.99 for a, b in zip(whole.layers, steps.layers))
+    assert steps.audit(0.9) >= vectors.RECALL
+    bare = vectors.Graph.unpack(steps.pack(vectors=False), steps.x)
+    assert all((a == b).all() for a, b in zip(bare.layers, steps.layers)) and bare.beam == steps.beam
+
+
 def test_graph_recall():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 32))
