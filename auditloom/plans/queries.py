@@ -150,7 +150,8 @@ def persist_findings(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def committed_findings(spark: SparkSession, folder: str) -> DataFrame:
     """What readers see after a commit, an attempt that died unpublished, two repeats and a compaction."""
-    kept = _kept(spark, folder).withColumns({
+    raw = findings.dealt_by_folder(bind(spark, folder, "findings"), RUN)
+    kept = findings.dedup(raw, [*RUN, "part"]).withColumns({
         "description": F.lit("d"), "recommendation": F.lit("r"), "line_end": F.col("line_start"),
     })
     stored = cut(findings.stored_form(kept), dense=True)

@@ -10,13 +10,15 @@ attempt counts: the least by name. All goes through Spark's readers and writers,
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,9 @@ MANIFEST = T.StructType([
     T.StructField("replaces", T.ArrayType(T.StringType())),
 ])
 
+#: The name of a folder of rows without a value.
+_NONE = "__HIVE_DEFAULT_PARTITION__"
+
 
 def manifest(spark: SparkSession, table: str) -> DataFrame:
     """`job, part, replaces` of the attempts that count; none where nothing was published yet."""
@@ -54,10 +59,15 @@ def publish(spark: SparkSession, table: str, job: str, part: str, replaces: Sequ
     row.coalesce(1).write.mode("append").parquet(f"{table}/_log/manifest")
 
 
+def is_committed(spark: SparkSession, table: str, job: str) -> bool:
+    """Whether an attempt of `job` counts; merged jobs are no longer known by name."""
+    return manifest(spark, table).filter(F.col("job") == job).head() is not None
+
+
 def commit(rows: DataFrame, table: str, job: str, by: Sequence[str] = ()) -> bool:
     """Append the rows of `job`, once however often it is repeated; whether this call did."""
     spark = rows.sparkSession
-    if manifest(spark, table).filter(F.col("job") == job).head() is not None:
+    if is_committed(spark, table, job):
         return False
     publish(spark, table, job, stage(rows, table, by))
     return True
@@ -76,15 +86,30 @@ def committed(spark: SparkSession, table: str, schema: T.StructType) -> DataFram
     return reader.parquet(*(f"{table}/staged/attempt={p}" for p in parts)).drop("attempt")
 
 
-def _folder_by_folder(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The rows of a table that is stored `by` these columns, each folder's in one partition, without a shuffle."""
-    folders = rows.select(*by).distinct().collect()
-    parts = [
-        rows.filter(reduce(and_, (F.col(c).eqNullSafe(F.lit(f[c])) for c in by))).coalesce(1) for f in folders
-    ]
-    while len(parts) > 1:  # pairs, as a chain of unions is analysed anew with every link
-        parts = [reduce(DataFrame.unionByName, parts[i : i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0] if parts else rows
+def _escaped(value: str) -> str:
+    """A folder's value as Spark reads it: ASCII signs by their numbers, letters of any script as they are."""
+    return re.sub(r"[\x00-\x2C/\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]", lambda sign: f"%{ord(sign[0]):02X}", value)
+
+
+def _stage_folders(rows: DataFrame, table: str, by: Sequence[str]) -> str:
+    """Write rows of a table that is stored `by` these columns, each folder in one task, without shuffle and sort.
+
+    A folder is a small job of its own, as one plan of all folders takes the driver longer than the rows take.
+    """
+    part, tasks = uuid.uuid4().hex, rows.sparkSession.sparkContext.defaultParallelism
+    texts = [F.col(c).cast("string") for c in by]
+    folders = rows.select(F.struct(*by).alias("values"), F.array(*texts).alias("texts")).distinct().collect()
+    if not folders:
+        return stage(rows, table, by)
+
+    def write(folder: Row) -> None:
+        own = rows.filter(reduce(and_, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, folder["values"]))))
+        name = "/".join(f"{c}={_escaped(v) if v else _NONE}" for c, v in zip(by, folder["texts"]))
+        packed(own.drop(*by).coalesce(1).write).parquet(f"{table}/staged/attempt={part}/{name}")
+
+    with ThreadPoolExecutor(min(tasks, 64)) as pool:
+        list(pool.map(write, folders))
+    return part
 
 
 def compact(spark: SparkSession, table: str, schema: T.StructType, by: Sequence[str] = ()) -> int:
@@ -97,5 +122,5 @@ def compact(spark: SparkSession, table: str, schema: T.StructType, by: Sequence[
     if len(parts) > 1:
         rows = committed(spark, table, schema)
         job = "compact " + hashlib.sha256(" ".join(parts).encode()).hexdigest()
-        publish(spark, table, job, stage(_folder_by_folder(rows, by) if by else rows, table, by, dense=True), parts)
+        publish(spark, table, job, _stage_folders(rows, table, by) if by else stage(rows, table, dense=True), parts)
     return len(parts)

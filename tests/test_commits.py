@@ -60,3 +60,21 @@ def test_compaction(spark, tmp_path):
     # merged jobs are still known by name only to their rows' ids; a new job goes on top
     assert commits.commit(rows(spark, 100, 102), table, "later", ["part"])
     assert ids(spark, table) == [*before, 100, 101]
+
+
+def test_compaction_of_odd_folders(spark, tmp_path):
+    """Folders named by nulls, blanks and signs, of several columns; one file each afterwards; nothing at all."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.StringType()), T.StructField("n", T.IntegerType())])
+    table, names = str(tmp_path / "t"), ["a b", "x/y=z%20", None, "é:*", "plain"]
+    odd = spark.createDataFrame([(i, names[i % 5], None if i % 3 == 0 else i % 3) for i in range(60)], schema)
+    for i in range(2):
+        commits.commit(odd.filter(F.col("id") % 2 == i).repartition(3), table, f"job {i}", ["k", "n"])
+    assert commits.compact(spark, table, schema, ["k", "n"]) == 2
+    left = commits.committed(spark, table, schema)
+    assert sorted(map(str, left.collect())) == sorted(map(str, odd.collect()))
+    assert len(left.inputFiles()) == odd.select("k", "n").distinct().count()
+    empty = str(tmp_path / "e")
+    for i in range(2):
+        commits.commit(odd.limit(0), empty, f"job {i}", ["k", "n"])
+    assert commits.compact(spark, empty, schema, ["k", "n"]) == 2
+    assert commits.committed(spark, empty, schema).count() == 0
