@@ -86,6 +86,21 @@ def committed(spark: SparkSession, table: str, schema: T.StructType) -> DataFram
     return reader.parquet(*(f"{table}/staged/attempt={p}" for p in parts)).drop("attempt")
 
 
+def _folder_by_folder(rows: DataFrame, by: Sequence[str], folders: Sequence[Row] | None = None) -> DataFrame:
+    """The rows of a table that is stored `by` these columns, each folder's in one partition, without a shuffle.
+
+    With `folders`, rows of these only.
+    """
+    if folders is None:
+        folders = rows.select(*by).distinct().collect()
+    parts = [
+        rows.filter(reduce(and_, (F.col(c).eqNullSafe(F.lit(f[c])) for c in by))).coalesce(1) for f in folders
+    ]
+    while len(parts) > 1:  # pairs, as a chain of unions is analysed anew with every link
+        parts = [reduce(DataFrame.unionByName, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else rows
+
+
 def _escaped(value: str) -> str:
     """A folder's value as Spark reads it: ASCII signs by their numbers, letters of any script as they are."""
     return re.sub(r"[\x00-\x2C/\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]", lambda sign: f"%{ord(sign[0]):02X}", value)
@@ -103,9 +118,9 @@ def _stage_folders(rows: DataFrame, table: str, by: Sequence[str]) -> str:
         return stage(rows, table, by)
 
     def write(folder: Row) -> None:
-        own = rows.filter(reduce(and_, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, folder["values"]))))
+        own = _folder_by_folder(rows, by, [folder["values"]]).drop(*by)
         name = "/".join(f"{c}={_escaped(v) if v else _NONE}" for c, v in zip(by, folder["texts"]))
-        packed(own.drop(*by).coalesce(1).write).parquet(f"{table}/staged/attempt={part}/{name}")
+        packed(own.write).parquet(f"{table}/staged/attempt={part}/{name}")
 
     with ThreadPoolExecutor(min(tasks, 64)) as pool:
         list(pool.map(write, folders))
